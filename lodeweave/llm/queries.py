@@ -8,12 +8,36 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import spread, table
 from .eval_leaks import find_leaks
+from .shared_spans import shared_characters, shared_intervals
 from .token_encoding import encode_corpus
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 
 
+def source_records(spark: SparkSession, base: str) -> DataFrame:
+    """Files and symbols as records of their file."""
+    files = table(spark, base, "files").select(F.lit("file").alias("kind"), F.col("file_id").alias("record"), F.col("file_id").alias("owner"), F.col("content"))
+    symbols = table(spark, base, "symbols").select(F.lit("symbol").alias("kind"), F.col("symbol_id").alias("record"), F.col("file_id").alias("owner"), F.col("content").cast("binary").alias("content"))
+    return files.union(symbols)
+
+
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    """Records with a stretch of 200 characters that a record of another file has too."""
+    shared = shared_intervals(source_records(spark, base))
+    return shared.select(F.col("kind").alias("record_kind"), F.col("record").alias("record_id")).distinct()
+
+
+def p1_shared(spark: SparkSession, base: str) -> DataFrame:
+    """For every record, its length and how many of its characters lie in shared stretches."""
+    records = source_records(spark, base)
+    sizes = records.where("record is not null").groupBy("kind", "record").agg(F.max(F.char_length(F.col("content").cast("string"))).alias("n_chars"))
+    return (
+        sizes.join(shared_characters(shared_intervals(records)), ["kind", "record"], "left")
+        .select(F.col("kind").alias("record_kind"), F.col("record").alias("record_id"), "n_chars", F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"))
+    )
+
+
 def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     """Token ids of every document."""
     return encode_corpus(spread(table(spark, base, "documents")), f"{TOKENIZERS}/byte_bpe_50k.json")
@@ -30,5 +54,5 @@ def p7_leaks(spark: SparkSession, base: str) -> DataFrame:
     return find_leaks(spread(table(spark, base, "documents")), table(spark, base, "eval_items")).where("overlap_words >= 12")
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks}
+QUERIES = {"p1_found": p1_found, "p1_shared": p1_shared, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks}
 ORACLE: dict[str, str] = {}
