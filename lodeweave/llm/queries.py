@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..sources.tables import spread, table
 from .eval_leaks import find_leaks
 from .shared_spans import shared_characters, shared_intervals
+from .similar_vectors import similar_vectors
 from .token_encoding import encode_corpus
 
 #: Folder of the public tokenizers' files.
@@ -38,6 +39,18 @@ def p1_shared(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    """Pairs of nodes of which one is among the 10 nearest of the other, with a cosine of at least 0.9."""
+    near = similar_vectors(table(spark, base, "node_vectors"), k=10, min_cosine=0.9)
+    return near.select(F.least("id", "neighbour").alias("node_a"), F.greatest("id", "neighbour").alias("node_b")).distinct()
+
+
+def p5_nearest(spark: SparkSession, base: str) -> DataFrame:
+    """The 10 nearest of all nodes for the twentieth of the nodes whose hash is divisible by 20."""
+    near = similar_vectors(table(spark, base, "node_vectors"), k=10, factor=0.5, asked=F.pmod(F.xxhash64("node_id"), F.lit(20)) == 0)
+    return near.select(F.col("id").alias("node_id"), "neighbour", F.round("cosine", 6).alias("cosine"), "rank")
+
+
 def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     """Token ids of every document."""
     return encode_corpus(spread(table(spark, base, "documents")), f"{TOKENIZERS}/byte_bpe_50k.json")
@@ -54,5 +67,5 @@ def p7_leaks(spark: SparkSession, base: str) -> DataFrame:
     return find_leaks(spread(table(spark, base, "documents")), table(spark, base, "eval_items")).where("overlap_words >= 12")
 
 
-QUERIES = {"p1_found": p1_found, "p1_shared": p1_shared, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks}
+QUERIES = {"p1_found": p1_found, "p1_shared": p1_shared, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks}
 ORACLE: dict[str, str] = {}
