@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import spread, table
 from .eval_leaks import find_leaks
+from .garbled_text import restore_texts
 from .shared_spans import shared_characters, shared_intervals
 from .similar_vectors import similar_vectors
 from .token_encoding import encode_corpus
@@ -67,5 +68,16 @@ def p7_leaks(spark: SparkSession, base: str) -> DataFrame:
     return find_leaks(spread(table(spark, base, "documents")), table(spark, base, "eval_items")).where("overlap_words >= 12")
 
 
-QUERIES = {"p1_found": p1_found, "p1_shared": p1_shared, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks}
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    """Documents with a garbled passage, restorable or not."""
+    return p8_restored(spark, base).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, base: str) -> DataFrame:
+    """Garbled documents with the wrong decodings that were undone and the restored text."""
+    documents = table(spark, base, "documents")
+    return restore_texts(documents, source=spread(documents))
+
+
+QUERIES = {"p1_found": p1_found, "p1_shared": p1_shared, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_restored": p8_restored}
 ORACLE: dict[str, str] = {}
