@@ -30,23 +30,19 @@ def distance(points: np.ndarray, to: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, 2 - 2 * (points @ to)))
 
 
-def split(points: np.ndarray, margin: float, tries: int = 12) -> tuple[np.ndarray, float] | None:
+def split(points: np.ndarray, margin: float, tries: int = 40) -> tuple[np.ndarray, float] | None:
     """A vantage point and radius: of some tried, those with the fewest points near the border, and balance."""
-    some = points[:: max(1, len(points) // 1024)]
-    best = None
-    for at in np.linspace(0, len(some) - 1, tries).astype(int):
+    some = points[:: max(1, len(points) // 2048)]
+    n, best = len(some), None
+    cuts = np.arange(max(1, n // 10), n - n // 10, max(1, n // 64))
+    for at in np.linspace(0, n - 1, min(tries, n // 8 + 4)).astype(int):
         d = np.sort(distance(some, some[at]))
-        for share in (0.3, 0.4, 0.5, 0.6, 0.7):
-            k = int(share * len(d))
-            mu = float(d[k - 1] + d[min(k, len(d) - 1)]) / 2
-            inside = np.searchsorted(d, mu, "right") / len(d)
-            if not 0.1 <= inside <= 0.9:
-                continue
-            near = (np.searchsorted(d, mu + margin) - np.searchsorted(d, mu - margin)) / len(d)
-            cost = near + 0.5 * abs(inside - 0.5)
-            if best is None or cost < best[0]:
-                best = (cost, some[at], mu)
-    return best and best[1:]
+        mu = (d[cuts - 1] + d[cuts]) / 2
+        near = (np.searchsorted(d, mu + margin) - np.searchsorted(d, mu - margin)) / n
+        cost = near + np.abs(cuts / n - 0.5) / 2 + 9.0 * (d[cuts - 1] == d[cuts])
+        if len(cuts) and (best is None or cost.min() < best[0]):
+            best = (cost.min(), some[at], float(mu[cost.argmin()]))
+    return best[1:] if best and best[0] < 9 else None
 
 
 class Tree:
@@ -71,20 +67,25 @@ class Tree:
         self.nodes[number] = (cut[0], cut[1], low, high)
         return number
 
-    def visits(self, queries: np.ndarray, reach: np.ndarray | float) -> Iterator[tuple[int, np.ndarray]]:
-        """(leaf, rows of the queries that come there): those with a ball of the size ``reach`` in it."""
+    def visits(self, queries: np.ndarray, reach: np.ndarray | float, outward: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+        """(leaf, rows of the queries that come there): those with a ball of the size ``reach`` in it.
+
+        ``outward``: at the border that parts two neighbours only the inner one crosses over, which is
+        enough if whoever comes to a leaf is found there too.
+        """
         reach = np.broadcast_to(np.asarray(reach, np.float32), len(queries))
-        todo = [(0, np.arange(len(queries)))]
+        todo = [(0, np.arange(len(queries)), np.full(len(queries), outward))]
         while todo:
-            node, rows = todo.pop()
+            node, rows, at_home = todo.pop()
             point, mu, low, high = self.nodes[node]
             if point is None:
                 yield mu, rows
                 continue
             d = distance(queries[rows], point)
-            for child, keep in ((low, d - reach[rows] <= mu), (high, d + reach[rows] > mu)):
+            inside = d <= mu
+            for child, own, keep in ((low, inside, inside | ~at_home & (d - reach[rows] <= mu)), (high, ~inside, ~inside | (d + reach[rows] > mu))):
                 if keep.any():
-                    todo.append((child, rows[keep]))
+                    todo.append((child, rows[keep], (at_home & own)[keep]))
 
 
 def _merge(best_s: np.ndarray, best_i: np.ndarray, rows: np.ndarray, sims: np.ndarray, names: np.ndarray, k: int) -> None:
@@ -148,7 +149,7 @@ def _unit(array: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 def similar_vectors(
     df: DataFrame,
     k: int = 10,
-    factor: float = 0.15,
+    factor: float = 0.12,
     min_cosine: float | None = None,
     asked: Column | None = None,
     id_col: str = "node_id",
@@ -166,8 +167,9 @@ def similar_vectors(
     (one vector for each two shards' border) is broadcast.
     """
     spark = df.sparkSession
+    everyone = asked is None
     total = df.count()
-    source = spread(df.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).cast("array<float>").alias("v"), (F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))).alias("asked")).where("id is not null"))
+    source = spread(df.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).cast("array<float>").alias("v"), (F.lit(True) if everyone else F.coalesce(asked, F.lit(False))).alias("asked")).where("id is not null"))
 
     def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +227,7 @@ def similar_vectors(
                 home[rows] = leaf
             parts = [(home, np.arange(len(x)), True)]
             at = np.flatnonzero(ask)
-            for leaf, rows in tree.visits(x[at], factor * radius[at]):
+            for leaf, rows in tree.visits(x[at], factor * radius[at], outward=everyone):
                 rows = at[rows]
                 rows = rows[home[rows] != leaf]
                 parts.append((np.full(len(rows), leaf), rows, False))
@@ -242,7 +244,7 @@ def similar_vectors(
         ids = table.column("ids").to_pylist()
         ask = np.array([any(i["asked"] for i in g) for g in ids])
         radius = np.asarray(table.column("radius").combine_chunks())
-        points, queries = np.flatnonzero(home), np.flatnonzero(ask)
+        points, queries = np.flatnonzero(home | everyone), np.flatnonzero(ask)  # if all are asked for, visitors are found too
         own = np.full(len(x), -1)
         own[points] = np.arange(len(points))
         q, p, s = search(x[points], x[queries], own[queries], k, factor, radius[queries], margin)
