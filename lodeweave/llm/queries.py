@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import spread, table
+from .documented_functions import documented_functions
 from .eval_leaks import find_leaks
 from .garbled_text import restore_texts
 from .shared_spans import shared_characters, shared_intervals
@@ -40,6 +41,16 @@ def p1_shared(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    """Functions and methods with a non-trivial description of their own."""
+    return p4_pairs(spark, base).select("symbol_id").distinct()
+
+
+def p4_pairs(spark: SparkSession, base: str) -> DataFrame:
+    """(name, signature, code) and description of every such function."""
+    return documented_functions(spread(table(spark, base, "symbols")))
+
+
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     """Pairs of nodes of which one is among the 10 nearest of the other, with a cosine of at least 0.9."""
     near = similar_vectors(table(spark, base, "node_vectors"), k=10, min_cosine=0.9)
@@ -79,5 +90,5 @@ def p8_restored(spark: SparkSession, base: str) -> DataFrame:
     return restore_texts(documents, source=spread(documents))
 
 
-QUERIES = {"p1_found": p1_found, "p1_shared": p1_shared, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p1_found": p1_found, "p1_shared": p1_shared, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_restored": p8_restored}
 ORACLE: dict[str, str] = {}
