@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..sources.tables import spread, table
 from .documented_functions import documented_functions
 from .eval_leaks import find_leaks
+from .foreign_files import foreign_files
 from .garbled_text import restore_texts
 from .shared_spans import shared_characters, shared_intervals
 from .similar_vectors import similar_vectors
@@ -41,6 +42,22 @@ def p1_shared(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    """Files that are generated, minified, third-party copies or data."""
+    return p3_reasons(spark, base).select("file_id")
+
+
+def p3_reasons(spark: SparkSession, base: str) -> DataFrame:
+    """Why a file is not the project's own hand-written source."""
+    return foreign_files(table(spark, base, "files"))
+
+
+def p3_handwritten(spark: SparkSession, base: str) -> DataFrame:
+    """The files that remain as hand-written source."""
+    files = table(spark, base, "files")
+    return files.select("file_id", "repo", "rel_path").distinct().join(foreign_files(files), "file_id", "left_anti")
+
+
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     """Functions and methods with a non-trivial description of their own."""
     return p4_pairs(spark, base).select("symbol_id").distinct()
@@ -90,5 +107,5 @@ def p8_restored(spark: SparkSession, base: str) -> DataFrame:
     return restore_texts(documents, source=spread(documents))
 
 
-QUERIES = {"p1_found": p1_found, "p1_shared": p1_shared, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p1_found": p1_found, "p1_shared": p1_shared, "p3_found": p3_found, "p3_reasons": p3_reasons, "p3_handwritten": p3_handwritten, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_restored": p8_restored}
 ORACLE: dict[str, str] = {}
