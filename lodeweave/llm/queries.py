@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import spread, table
+from .broken_files import broken_files, broken_rates
 from .documented_functions import documented_functions
 from .eval_leaks import find_leaks
 from .foreign_files import foreign_files
@@ -42,6 +43,21 @@ def p1_shared(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    """Files that are not valid in the language of their extension."""
+    return p2_verdicts(spark, base).where("broken").select("file_id").distinct()
+
+
+def p2_verdicts(spark: SparkSession, base: str) -> DataFrame:
+    """Every file's verdict, with position and cause of what failed."""
+    return broken_files(table(spark, base, "files"), table(spark, base, "file_types"))
+
+
+def p2_rates(spark: SparkSession, base: str) -> DataFrame:
+    """Share of broken files by repository and language."""
+    return broken_rates(p2_verdicts(spark, base))
+
+
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
     """Files that are generated, minified, third-party copies or data."""
     return p3_reasons(spark, base).select("file_id")
@@ -107,5 +123,5 @@ def p8_restored(spark: SparkSession, base: str) -> DataFrame:
     return restore_texts(documents, source=spread(documents))
 
 
-QUERIES = {"p1_found": p1_found, "p1_shared": p1_shared, "p3_found": p3_found, "p3_reasons": p3_reasons, "p3_handwritten": p3_handwritten, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p1_found": p1_found, "p1_shared": p1_shared, "p2_found": p2_found, "p2_verdicts": p2_verdicts, "p2_rates": p2_rates, "p3_found": p3_found, "p3_reasons": p3_reasons, "p3_handwritten": p3_handwritten, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_restored": p8_restored}
 ORACLE: dict[str, str] = {}
