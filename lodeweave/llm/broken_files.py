@@ -23,7 +23,7 @@ from .shared_spans import text_of
 
 #: Tokens whose kinds a task remembers.
 TOKENS = 300_000
-_CONFLICT = re.compile(r"^(?:<{7}|>{7}|\|{7})(?: |$)|^={7}$", re.M)
+_CONFLICT = re.compile(r"^[ \t]*(?:(?:<{7}|>{7}|\|{7})(?: |$)|={7}$)", re.M)
 _OPEN = {"(": ("paren", ")"), "[": ("brack", "]"), "{": ("brace", "}"), "\x05": ("subst", "\x06")}
 _INNER = re.compile(r"\(([^()\[\]{}\x05\x06]*)\)|\[([^()\[\]{}\x05\x06]*)\]|\{([^()\[\]{}\x05\x06]*)\}|\x05([^()\[\]{}\x05\x06]*)\x06")
 _LEFT = re.compile(r"[()\[\]{}\x05\x06\x01]")
