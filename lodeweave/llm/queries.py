@@ -124,4 +124,16 @@ def p8_restored(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_shared": p1_shared, "p2_found": p2_found, "p2_verdicts": p2_verdicts, "p2_rates": p2_rates, "p3_found": p3_found, "p3_reasons": p3_reasons, "p3_handwritten": p3_handwritten, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_restored": p8_restored}
-ORACLE: dict[str, str] = {}
+_WORDS = "list_transform(regexp_extract_all(coalesce({0}, ''), '[\\p{{L}}\\p{{N}}]+'), lambda w: lower(w))"
+
+#: Given where SQL can do the same on whole tables; the others are tested against brute force.
+ORACLE: dict[str, str] = {
+    "p5_found": """WITH valid AS (SELECT DISTINCT node_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM node_vectors WHERE node_id IS NOT NULL AND len(embedding) = 100
+      AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+    near AS (SELECT a, b, sim FROM (SELECT a, b, sim, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS n FROM (SELECT x.node_id AS a, y.node_id AS b, list_cosine_similarity(x.v, y.v) AS sim FROM valid x JOIN valid y ON x.node_id <> y.node_id) WHERE sim >= 0.9) WHERE n <= 10)
+    SELECT DISTINCT least(a, b) AS node_a, greatest(a, b) AS node_b FROM near""",
+    "p7_found": f"""WITH p AS (SELECT DISTINCT item_id, {_WORDS.format("text")} AS w FROM (SELECT item_id, question AS text FROM eval_items UNION ALL SELECT item_id, answer FROM eval_items)),
+    seeds AS (SELECT DISTINCT item_id, hash(w[k:k + 11]) AS h, w[k:k + 11] AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM p WHERE len(w) >= 12)),
+    d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents)
+    SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, w[k:k + 11] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12)) x JOIN seeds s ON s.h = hash(x.g) AND s.g = x.g""",
+}
