@@ -14,8 +14,8 @@ def code_tokens(text: Column) -> Column:
     """The set of a name's lower-case parts: the whole, its pieces at ``_ . -`` and white space, at camel case and at digits."""
     text = F.coalesce(text, F.lit(""))
     camel = F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2")
-    digits = F.regexp_replace(F.regexp_replace(camel, "([A-Za-z])([0-9])", "$1 $2"), "([0-9])([A-Za-z])", "$1 $2")
-    pieces = [F.split(F.lower(t), r"[_.\-\s]+") for t in (text, camel, digits)]
+    digits = lambda t: F.regexp_replace(F.regexp_replace(t, "([A-Za-z])([0-9])", "$1 $2"), "([0-9])([A-Za-z])", "$1 $2")
+    pieces = [F.split(F.lower(t), r"[_.\-\s]+") for t in (text, camel, digits(text), digits(camel))]
     return F.array_distinct(F.concat(F.array(F.lower(text)), F.filter(F.concat(*pieces), lambda t: t != "")))
 
 

@@ -526,7 +526,7 @@ def fts_bm25(spark, base):
     return search.bm25(search.postings(table(spark, base, "documents"), "doc_id", F.col("text")), "doc_id", list(dict.fromkeys(_QUERY_TERMS)), 20)
 
 
-@query("fts_code_tokens", f"WITH {_NODES}, split AS (SELECT id, name, regexp_replace(name, '([a-z])([A-Z])', '\\1 \\2', 'g') AS camel FROM nodes), digits AS (SELECT *, regexp_replace(regexp_replace(camel, '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g') AS digit FROM split) SELECT DISTINCT id, token FROM (SELECT id, lower(name) AS token FROM digits UNION ALL SELECT id, unnest(regexp_split_to_array(lower(name), '[_.\\-\\s]+') || regexp_split_to_array(lower(camel), '[_.\\-\\s]+') || regexp_split_to_array(lower(digit), '[_.\\-\\s]+')) FROM digits) WHERE token <> ''")
+@query("fts_code_tokens", f"WITH {_NODES}, split AS (SELECT id, name, regexp_replace(name, '([a-z])([A-Z])', '\\1 \\2', 'g') AS camel FROM nodes), digits AS (SELECT *, regexp_replace(regexp_replace(camel, '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g') AS digit, regexp_replace(regexp_replace(name, '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g') AS plain FROM split) SELECT DISTINCT id, token FROM (SELECT id, lower(name) AS token FROM digits UNION ALL SELECT id, unnest(regexp_split_to_array(lower(name), '[_.\\-\\s]+') || regexp_split_to_array(lower(camel), '[_.\\-\\s]+') || regexp_split_to_array(lower(digit), '[_.\\-\\s]+') || regexp_split_to_array(lower(plain), '[_.\\-\\s]+')) FROM digits) WHERE token <> ''")
 def fts_code_tokens(spark, base):
     """The parts of every symbol's name."""
     return CodeGraph(spark, base).symbols.select("id", F.explode(code_tokens(F.col("name"))).alias("token"))

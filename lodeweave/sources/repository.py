@@ -38,7 +38,7 @@ def is_ignored(path: Column, patterns: tuple[str, ...] = IGNORED) -> Column:
 def scan(spark: SparkSession, root: str, patterns: tuple[str, ...] = IGNORED) -> DataFrame:
     """(path, rel_path, language, content, sha256) of the source files below ``root``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").removeprefix("file:")
+    base = re.sub("^file:/*", "/", root.rstrip("/"))
     path = F.regexp_replace("path", "^file:/*", "/")
     rel = F.expr(f"substr(regexp_replace(path, '^file:/*', '/'), {len(base) + 2})")
     rows = files.select(path.alias("path"), rel.alias("rel_path"), "content")
