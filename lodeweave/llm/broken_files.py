@@ -362,10 +362,9 @@ class Script(Checker):
             if token == "<" and self.markup and last not in self._operand and re.match(r"<(?:>|[A-Za-z][\w.:-]*(?!\w*\s*(?:,|extends\b)))", text[start : start + 80]):
                 inner: list[tuple[str, int]] = []
                 end = self._element(text, start, inner)
-                if end > 0:
-                    out += [("\x04", start), *inner]
-                    at, last = end, "\x04"
-                    continue
+                out += [("\x04", start), *inner] if end > 0 else [(g.ERROR, start)]
+                at, last = end if end > 0 else len(text), "\x04"
+                continue
             kind = kinds[token]
             if until:
                 if token == "{":

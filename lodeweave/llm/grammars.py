@@ -36,7 +36,7 @@ PY_LEX = re.compile(
 PYTHON = r"""
 Stmts <- Simple (';' Simple)* ';'?
 Line <- Stmts END / Header
-Header <- 'async'? 'def' NAMES brack:TypeParams? paren:Params ('->' Test)? ':' Tail / 'class' NAMES brack:TypeParams? paren:Args? ':' Tail / 'if' Named ':' Tail / 'elif' Named ':' Tail / 'else' ':' Tail / 'while' Named ':' Tail / 'async'? 'for' Targets 'in' StarList ':' Tail / 'try' ':' Tail / 'except' '*'? (Test (',' Test)* ('as' NAMES)?)? ':' Tail / 'finally' ':' Tail / 'async'? 'with' (paren:WithItems / WithItem (',' WithItem)*) ':' Tail / 'match' SubjectList ':' END / 'case' Patterns ('if' Named)? ':' Tail / '@' Named END
+Header <- 'async'? 'def' NAMES brack:TypeParams? paren:Params ('->' Test)? ':' Tail / 'class' NAMES brack:TypeParams? paren:Args? ':' Tail / 'if' Named ':' Tail / 'elif' Named ':' Tail / 'else' ':' Tail / 'while' Named ':' Tail / 'async'? 'for' Targets 'in' StarList ':' Tail / 'try' ':' Tail / 'except' '*'? (Test (',' Test)* ('as' NAMES)?)? ':' Tail / 'finally' ':' Tail / 'async'? 'with' (paren:WithItems &':' / WithItem (',' WithItem)*) ':' Tail / 'match' SubjectList ':' END / 'case' Patterns ('if' Named)? ':' Tail / '@' Named END
 Tail <- Stmts? END
 WithItem <- Test ('as' Target)?
 WithItems <- WithItem (',' WithItem)* ','?
@@ -210,7 +210,8 @@ Assignment <- %TS ('=' Expr Eos / 'as' 'namespace' NAMES Eos)
 Statement <- brace:Block / ';' / Typed / Variables Eos / Function / Class / 'if' paren:ExprOnly Statement ('else' Statement)? / 'for' 'await'? paren:ForHead Statement / 'while' paren:ExprOnly Statement / 'do' Statement 'while' paren:ExprOnly ';'? / 'switch' paren:ExprOnly brace:Switch / Try / 'return' (NONL Expr)? Eos / 'throw' NONL Expr Eos / ('break' / 'continue') (NONL NAMES)? Eos / 'debugger' Eos / NAMES ':' Statement / !('function' / 'class' / BRACE) Expr Eos
 Eos <- ';' / NL
 Block <- Statement* END
-Space2 <- TopStatement* END
+Space2 <- (AmbientVariable / TopStatement)* END
+AmbientVariable <- %TS 'export'? ('const' / 'let' / 'var') NAMES ':' Type Eos
 Try <- 'try' brace:Block ('catch' paren:Catch? brace:Block ('finally' brace:Block)? / 'finally' brace:Block)
 Catch <- Binding Annotation? END
 Switch <- (('case' Expr / 'default') ':' Statement*)* END
