@@ -26,24 +26,34 @@ def modularity(adjacent: DataFrame, labels: DataFrame) -> DataFrame:
     return inside.crossJoin(total).select(F.round(F.col("inside") / F.col("total") - F.col("squares") / (F.col("total").cast("double") * F.col("total")), 6).alias("modularity"))  # one row each
 
 
-def components(adjacent: DataFrame, rounds: int = 40) -> DataFrame:
+def components(adjacent: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component): connected components, each named by its least id.
 
-    Every round takes the least label of the neighbours and then the label of that label, so that
-    long paths shrink quickly; rounds end when nothing changes.
+    In every round each node hooks to the neighbour that is least in a random order, if that is less than
+    itself; hooks are followed to their roots, which a random order keeps near; then the edges are
+    contracted to the roots, so that the graph shrinks quickly. All states are materialised in the
+    shared folder; it ends when no edge is left.
     """
     shared_folder(adjacent.sparkSession)
-    edges = adjacent.select("i", "j").where("i != j")
-    labels = adjacent.select(F.col("i").alias("id")).distinct().withColumn("component", F.col("id")).checkpoint()
+    random = lambda c: F.concat(F.lpad(F.hex(F.xxhash64(c)), 16, "0"), F.col(c).cast("string"))
+    labels = adjacent.select(F.col("i").alias("id"), random("i").alias("component")).distinct()
+    edges = adjacent.where("i != j").select(random("i").alias("i"), random("j").alias("j")).distinct().checkpoint()
     for _ in range(rounds):
-        least = edges.join(labels.select(F.col("id").alias("j"), "component"), "j").groupBy(F.col("i").alias("id")).agg(F.min("component").alias("near"))
-        step = labels.join(least, "id", "left").select("id", F.col("component").alias("before"), F.least("component", F.coalesce("near", "component")).alias("component"))
-        roots = step.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        after = step.join(roots, "component", "left").select("id", "before", F.coalesce("root", "component").alias("component")).checkpoint()
-        labels = after.select("id", "component")
-        if after.where("before != component").isEmpty():
+        if edges.isEmpty():
             break
-    return labels
+        hooks = edges.groupBy(F.col("i").alias("node")).agg(F.min("j").alias("near")).select("node", F.least("node", "near").alias("parent")).checkpoint()
+        while True:
+            up = hooks.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
+            further = hooks.join(up, "parent").select("node", F.col("root").alias("parent"), (F.col("root") != F.col("parent")).alias("moved")).checkpoint()
+            hooks = further.select("node", "parent")
+            if further.where("moved").isEmpty():
+                break
+        to = hooks.select(F.col("node").alias("component"), F.col("parent").alias("root"))
+        labels = labels.join(to, "component", "left").select("id", F.coalesce("root", "component").alias("component")).checkpoint()
+        a, b = (hooks.select(F.col("node").alias(k), F.col("parent").alias(f"{k}_root")) for k in ("i", "j"))
+        edges = edges.join(a, "i").join(b, "j").where("i_root != j_root").select(F.col("i_root").alias("i"), F.col("j_root").alias("j")).distinct().checkpoint()
+    names = labels.groupBy("component").agg(F.min("id").alias("name"))
+    return labels.join(names, "component").select("id", F.col("name").alias("component"))
 
 
 def communities(adjacent: DataFrame, sweeps: int = 8) -> DataFrame:
