@@ -22,8 +22,9 @@ def modularity(adjacent: DataFrame, labels: DataFrame) -> DataFrame:
     b = labels.select(F.col("id").alias("j"), F.col("community").alias("cj"))
     inside = adjacent.join(a, "i").join(b, "j").where("ci = cj").agg(F.coalesce(F.sum("w"), F.lit(0)).alias("inside"))
     sizes = degrees(adjacent).join(labels, "id").groupBy("community").agg(F.sum("degree").alias("d"))
-    total = sizes.agg(F.sum("d").alias("total"), F.sum(F.col("d").cast("double") * F.col("d")).alias("squares"))
-    return inside.crossJoin(total).select(F.round(F.col("inside") / F.col("total") - F.col("squares") / (F.col("total").cast("double") * F.col("total")), 6).alias("modularity"))  # one row each
+    d = F.col("d").cast("double")
+    parts = sizes.agg(F.sum(d).alias("total"), F.sum(d * d).alias("squares")).withColumn("inside", inside.scalar())
+    return parts.select(F.round(F.col("inside") / F.col("total") - F.col("squares") / (F.col("total") * F.col("total")), 6).alias("modularity"))
 
 
 def components(adjacent: DataFrame, rounds: int = 60) -> DataFrame:
@@ -65,7 +66,7 @@ def communities(adjacent: DataFrame, sweeps: int = 8) -> DataFrame:
     """
     shared_folder(adjacent.sparkSession)
     degree = degrees(adjacent).checkpoint()
-    total = degree.agg(F.sum("degree").cast("double").alias("W"))
+    total = degree.agg(F.sum("degree").cast("double"))
     labels = degree.select("id", F.col("id").alias("community"), "degree").checkpoint()
     edges = adjacent.where("i != j")
     for sweep in range(sweeps):
@@ -74,7 +75,7 @@ def communities(adjacent: DataFrame, sweeps: int = 8) -> DataFrame:
         near = edges.join(moving.select(F.col("id").alias("i"), F.col("community").alias("own"), "degree"), "i").join(labels.select(F.col("id").alias("j"), "community"), "j")
         links = near.groupBy(F.col("i").alias("id"), "own", "degree", "community").agg(F.sum("w").alias("k_in"))
         gain = F.col("k_in") / F.col("W") - F.col("degree") * (F.col("size") - F.when(F.col("community") == F.col("own"), F.col("degree")).otherwise(F.lit(0))) / (F.col("W") * F.col("W"))
-        rated = links.join(sizes, "community").join(F.broadcast(total)).withColumn("gain", gain)
+        rated = links.join(sizes, "community").withColumn("W", total.scalar()).withColumn("gain", gain)
         best = rated.groupBy("id").agg(F.max_by(F.struct("community", "gain"), F.struct("gain", F.col("community") == F.col("own"))).alias("best"))
         moved = labels.join(best, "id", "left").select("id", F.col("community").alias("before"), F.when(F.col("best.gain") > 0, F.col("best.community")).otherwise(F.col("community")).alias("community"), "degree").checkpoint()
         labels = moved.drop("before")

@@ -28,9 +28,9 @@ def term_search(index: DataFrame, key: str, query: list[str], limit: int) -> Dat
 def bm25(index: DataFrame, key: str, query: list[str], limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score) by Okapi BM25, whose lengths and frequencies come from the whole index."""
     lengths = index.groupBy(key).agg(F.sum("tf").alias("length"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))  # one row
+    n, mean = lengths.agg(F.count("*")).scalar(), lengths.agg(F.avg("length")).scalar()
     df = index.where(F.col("token").isin(*set(query))).groupBy("token").agg(F.count("*").alias("df"))  # a row for each query token
-    rows = index.join(F.broadcast(df), "token").join(lengths, key).join(F.broadcast(stats))
+    rows = index.join(F.broadcast(df), "token").join(lengths, key).withColumns({"n": n, "mean": mean})
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     return rows.groupBy(key).agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), key).limit(limit)
@@ -38,7 +38,7 @@ def bm25(index: DataFrame, key: str, query: list[str], limit: int, k1: float = 1
 
 def nearest(vectors: DataFrame, key: str, vector: str, query: DataFrame, limit: int) -> DataFrame:
     """(key, similarity) of the vectors most similar to the one of ``query`` (one row, column q); only positive ones."""
-    compared = vectors.join(F.broadcast(query.limit(1))).select(key, F.round(cosine(F.col(vector), F.col("q")), 6).alias("similarity"))
+    compared = vectors.withColumn("q", query.select("q").limit(1).scalar()).select(key, F.round(cosine(F.col(vector), F.col("q")), 6).alias("similarity"))
     return compared.where("similarity > 0").groupBy(key).agg(F.max("similarity").alias("similarity")).orderBy(F.desc("similarity"), key).limit(limit)
 
 
@@ -62,9 +62,9 @@ def vocabulary(docs: DataFrame, key: str, text: Column, size: int = VOCABULARY)
 
 def frequencies(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """(term, df, idf): documents with each term, and ln(N / df) over all N documents."""
-    n = docs.select(key).distinct().agg(F.count("*").alias("n"))
+    n = docs.select(key).distinct().agg(F.count("*")).scalar()
     df = docs.select(F.col(key), F.explode(F.array_distinct(tokens(text))).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("df"))
-    return df.join(F.broadcast(n)).select("term", "df", F.log(F.col("n") / F.col("df")).alias("idf"))
+    return df.withColumn("n", n).select("term", "df", F.log(F.col("n") / F.col("df")).alias("idf"))
 
 
 def tfidf(docs: DataFrame, key: str, text: Column, size: int = VOCABULARY) -> DataFrame:

@@ -194,7 +194,7 @@ def scan_nodes(spark, base):
 def node_get(spark, base):
     """The node of one id, here the least."""
     nodes = CodeGraph(spark, base).symbols
-    return nodes.join(F.broadcast(nodes.agg(F.min("id").alias("id"))), "id").select("id", "label", "name", "file_path")
+    return nodes.where(F.col("id") == nodes.agg(F.min("id")).scalar()).select("id", "label", "name", "file_path")
 
 
 @query("nodes_by_label", f"WITH {_NODES} SELECT id, name FROM nodes WHERE label = 'class'")
@@ -254,10 +254,10 @@ def run_summary(spark, base):
     """What indexing found, in one row."""
     g = CodeGraph(spark, base)
     paths = table(spark, base, "files").where("repo is not null and rel_path is not null").select(F.concat_ws("/", "repo", "rel_path")).distinct()
-    one = lambda df, name: df.agg(F.count("*").alias(name))
+    count = lambda df: df.agg(F.count("*")).scalar()
     pairs = coupling.co_changes(coupling.changes(table(spark, base, "commits")))
-    rows = one(paths, "files").crossJoin(one(g.symbols, "symbols")).crossJoin(one(g.calls, "calls"))  # one row each
-    return rows.crossJoin(one(deadcode.dead_code(g.symbols, g.calls, heritage_edges(g.symbols)), "dead")).crossJoin(one(pairs, "pairs"))
+    dead = deadcode.dead_code(g.symbols, g.calls, heritage_edges(g.symbols))
+    return paths.agg(F.count("*").alias("files")).withColumns({"symbols": count(g.symbols), "calls": count(g.calls), "dead": count(dead), "pairs": count(pairs)})
 
 
 @query("substring_search", f"WITH {_NODES} SELECT id, name FROM nodes WHERE contains(lower(name), 'cache') OR contains(lower(file_path), 'cache') ORDER BY id LIMIT 20")
@@ -634,9 +634,9 @@ def quiet_batches(spark, base):
 def snapshot_changes(spark, base):
     """What the scans of the last 30 days added or modified."""
     rows = table(spark, base, "files").where("repo is not null and rel_path is not null").select("repo", "rel_path", "scanned_at", "file_id", F.sha2("content", 256).alias("sha256")).distinct()
-    cut = rows.agg((F.max("scanned_at") - F.expr("INTERVAL 30 DAYS")).alias("cut"))  # one row
+    cut = rows.agg(F.max("scanned_at") - F.expr("INTERVAL 30 DAYS"))
     snapshot = lambda df: df.groupBy("repo", "rel_path").agg(F.max_by("sha256", F.struct("scanned_at", "file_id")).alias("sha256")).select(F.struct("repo", "rel_path").alias("at"), "sha256")
-    old = rows.join(F.broadcast(cut)).where("scanned_at <= cut")
+    old = rows.where(F.col("scanned_at") <= cut.scalar())
     return stream.route(snapshot(old), snapshot(rows), "at").select("at.repo", "at.rel_path", "change")
 
 

@@ -135,3 +135,23 @@ def test_communities(spark):
 def test_long_path_is_one_component(spark):
     path = community.adjacency(edges(spark, *((f"n{i:03}", f"n{i + 1:03}") for i in range(60))))
     assert {r.component for r in community.components(path).collect()} == {"n000"}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_of_random_graphs(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    pairs = [(f"v{r.randint(0, 150):03}", f"v{r.randint(0, 150):03}") for _ in range(90)]
+    parent = {v: v for p in pairs for v in p}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    got = {x.id: x.component for x in community.components(community.adjacency(edges(spark, *pairs))).collect()}
+    assert got == {v: root(v) for v in parent}
