@@ -17,6 +17,7 @@ stretch is a key of its own, aggregated before the shuffle.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,7 +102,7 @@ def _records(batch: pa.RecordBatch, width: int) -> Iterator[tuple[list[str], np.
 
 
 def sketch(records: DataFrame, width: int, bits: int, group_limit: int) -> np.ndarray:
-    """By row of the sketch and slot: 0 for at most one owner, 1 for more, 2 for more than ``group_limit``."""
+    """Bits by row of the sketch and slot: has it more than one owner; has it more than ``group_limit``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -132,9 +133,8 @@ def sketch(records: DataFrame, width: int, bits: int, group_limit: int) -> np.nd
         block, total = None, np.zeros(1 << BLOCK_BITS, np.int64)
 
         def out() -> pa.RecordBatch:
-            level = (total > 1).astype(np.uint8) + (total > group_limit)
-            at = np.flatnonzero(level)
-            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([at.astype("<u2").tobytes()]), pa.array([level[at].tobytes()])], ["block", "slots", "levels"])
+            bits = np.packbits(np.stack([total > 1, total > group_limit]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([zlib.compress(bits.tobytes(), 1)])], ["block", "bits"])
 
         for batch in batches:
             for b, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -148,12 +148,13 @@ def sketch(records: DataFrame, width: int, bits: int, group_limit: int) -> np.nd
             yield out()
 
     partial = records.mapInArrow(count, "block long, slots binary")
-    merged = partial.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block long, slots binary, levels binary")
-    levels = np.zeros((ROWS, 1 << bits), np.uint8)
-    for b, s, v in merged.toLocalIterator():
-        at = ((b & 0xFFFFFFFF) << BLOCK_BITS) + np.frombuffer(s, "<u2").astype(np.int64)
-        levels[b >> 32, at] = np.frombuffer(v, np.uint8)
-    return np.packbits(np.stack([levels > 0, levels > 1]), axis=2)
+    merged = partial.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block long, bits binary")
+    packed = np.zeros((2, ROWS, 1 << bits - 3), np.uint8)
+    size = 1 << BLOCK_BITS - 3
+    for b, found in merged.collect():  # 2 bits a slot at most, bounded by MOST_BITS
+        at = (b & 0xFFFFFFFF) * size
+        packed[:, b >> 32, at : at + size] = np.frombuffer(zlib.decompress(found), np.uint8).reshape(2, size)
+    return packed
 
 
 def _level(packed: np.ndarray, anchor: np.ndarray, bits: int) -> np.ndarray:
