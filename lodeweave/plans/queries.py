@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.paths import dirname
 from ..functions.text import code_tokens, describe as describe_node, short_text, tokens
 from ..operators import community, coupling, deadcode, graph as ops, search, traversal
+from ..sources.parsers import parse_imports, parse_symbols
 from ..sources.repository import is_ignored, language_of
 from ..sources.tables import shared_folder, table
 from ..streaming import changes as stream
@@ -157,6 +158,20 @@ def imports(spark, base):
     return import_edges(table(spark, base, "files"), table(spark, base, "imports"))
 
 
+@query("parse_symbols", "SELECT DISTINCT file_id, name, kind FROM symbols WHERE kind IN ('function', 'method') AND file_id IN (SELECT file_id FROM files WHERE content IS NOT NULL)")
+def parsed_symbols(spark, base):
+    """Functions and methods as parsed from the files, of files that the symbols table knows: the same as there."""
+    found = parse_symbols(table(spark, base, "files")).where("kind in ('function', 'method')").select("file_id", "name", "kind").distinct()
+    return found.join(table(spark, base, "symbols").select("file_id").distinct(), "file_id", "left_semi")
+
+
+@query("parse_imports", "SELECT DISTINCT file_id, module_path, is_relative FROM imports WHERE module_path <> 'logging' AND file_id IN (SELECT file_id FROM files WHERE content IS NOT NULL)")
+def parsed_imports(spark, base):
+    """Imported modules as parsed, of files that the imports table knows; it leaves out one module of the standard library."""
+    found = parse_imports(table(spark, base, "files")).where("module_path != 'logging'").select("file_id", "module_path", "is_relative").distinct()
+    return found.join(table(spark, base, "imports").select("file_id").distinct(), "file_id", "left_semi")
+
+
 @query("resolve_calls", f"WITH {_NODES}, {_CALLS} SELECT src, dst FROM calls")
 def resolve_calls(spark, base):
     """Calls, resolved to the nearest definition."""

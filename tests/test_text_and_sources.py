@@ -121,3 +121,21 @@ def test_stream_batches_and_reindex(spark, tmp_path):
     sink(spark.createDataFrame([("a.py", "new1"), ("a.py", "new2")], "file_path string, name string"), 1)
     sink(spark.createDataFrame([("a.py", "new1"), ("a.py", "new2")], "file_path string, name string"), 1)
     assert sorted((r.file_path, r.name) for r in spark.read.parquet(target).collect()) == [("a.py", "new1"), ("a.py", "new2"), ("b.py", "y")]
+
+
+def test_parsers(spark):
+    from lodeweave.sources.parsers import parse_imports, parse_symbols
+
+    go = 'package a\n\nimport (\n\t"fmt"\n\tx "other/y"\n)\n\nfunc greet(name string) string { return "func no() {" }\n\ntype Service struct {\n\tA int\n}\n\nfunc (s *Service) GetUser(id int) (string, error) {\n\treturn "", nil\n}\n\ntype Reader interface {\n\tRead()\n}\n'
+    python = 'from .a import b\nimport os, sys as s\n\nclass Base:\n    """class No: pass"""\n    def __init__(self, x: int = 1):\n        def inner(): pass\n\n    @property\n    async def value(self) -> str:\n        return ""\n\ndef free(\n    a,\n):\n    pass\n'
+    ts = "import { x } from './x';\nimport * as q from \"q\";\nexport function f(a: string): number { return 1 }\nexport const arrow = async (a: number): Promise<void> => { g() };\nexport class A extends B {\n  private m(x: { y: number }): void {\n    if (x) { h() }\n  }\n  static n() {}\n}\ninterface I { z(): void }\n// function no() {}\n"
+    rows = [(1, "r", "a.go", go.encode()), (2, "r", "b.py", python.encode()), (3, "r", "c.ts", ts.encode()), (4, "r", "d.txt", b"def f(): pass"), (5, "r", "e.py", None), (6, None, None, b""), (7, "r", "f.go", b"")]
+    files = spark.createDataFrame(rows, "file_id long, repo string, rel_path string, content binary").withColumn("name", F.lit("clash"))
+    got = {(r.file_id, r.kind, r.class_name, r.name, r.start_line, r.signature) for r in parse_symbols(files).collect()}
+    assert got == {
+        (1, "function", "", "greet", 8, "greet(name string) string"), (1, "class", "", "Service", 10, "type Service struct"), (1, "method", "Service", "GetUser", 14, "GetUser(id int) (string, error)"), (1, "interface", "", "Reader", 18, "type Reader interface"),
+        (2, "class", "", "Base", 4, "class Base"), (2, "method", "Base", "__init__", 6, "__init__(self, x: int = 1)"), (2, "method", "Base", "value", 10, "value(self) -> str"), (2, "function", "", "free", 13, "free( a, )"),
+        (3, "function", "", "f", 3, "f(a: string): number"), (3, "function", "", "arrow", 4, "arrow(a: number): Promise<void>"), (3, "class", "", "A", 5, "class A extends B"), (3, "method", "A", "m", 6, "m(x: { y: number }): void"), (3, "method", "A", "n", 9, "n()"), (3, "interface", "", "I", 11, "interface I"),
+    }
+    assert {(r.file_id, r.module_path, r.is_relative) for r in parse_imports(files).collect()} == {(1, "fmt", False), (1, "other/y", False), (2, ".a", True), (2, "os", False), (2, "sys", False), (3, "./x", True), (3, "q", False)}
+    assert parse_symbols(files.limit(0)).count() == 0
