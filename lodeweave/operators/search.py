@@ -28,9 +28,9 @@ def term_search(index: DataFrame, key: str, query: list[str], limit: int) -> Dat
 def bm25(index: DataFrame, key: str, query: list[str], limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score) by Okapi BM25, whose lengths and frequencies come from the whole index."""
     lengths = index.groupBy(key).agg(F.sum("tf").alias("length"))
-    n, mean = lengths.agg(F.count("*")).scalar(), lengths.agg(F.avg("length")).scalar()
+    stats = lengths.agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("mean"))).scalar()
     df = index.where(F.col("token").isin(*set(query))).groupBy("token").agg(F.count("*").alias("df"))  # a row for each query token
-    rows = index.join(F.broadcast(df), "token").join(lengths, key).withColumns({"n": n, "mean": mean})
+    rows = index.join(F.broadcast(df), "token").join(lengths, key).withColumn("stats", stats).withColumns({"n": F.col("stats.n"), "mean": F.col("stats.mean")})
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     return rows.groupBy(key).agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), key).limit(limit)
