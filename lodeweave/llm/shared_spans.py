@@ -31,6 +31,9 @@ ROWS = 2
 BLOCK_BITS = 16
 #: Bounds of the sketch: 2**bits slots a row; what is broadcast has 2 bits for each, 32 MB at most.
 LEAST_BITS, MOST_BITS = 16, 26
+#: Slots for each anchor, at best and at least; with fewer, anchors are grouped exactly from the start.
+SLOTS, LEAST_SLOTS = 8, 2
+FOUND = "anchor long, heavy boolean, kind string, record long, owner long, start int, piece string"
 #: Anchors that a task holds before it gives out their counts.
 FLUSH = 2_000_000
 
@@ -177,19 +180,52 @@ def _stretches(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np
     return mixed(stretch(prefix_hash(values), at, at + width)), row, place
 
 
-def shared_intervals(records: DataFrame, width: int = 200, group_limit: int = 200) -> DataFrame:
+def _exact_runs(records: DataFrame, width: int, group_limit: int) -> DataFrame:
+    """The runs whose anchor has several owners, with their text, where no sketch of a bounded size could tell.
+
+    Anchors are grouped without their text, aggregated before the shuffle; the runs found are
+    brought back to their records, which are joined once by their id.
+    """
+    bare = "anchor long, kind string, record long, owner long, start int, count int"
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts, kinds, ids, owners, names in _records(batch, width):
+                runs = Runs(texts, kinds, width)
+                pick = lambda values, kind: pa.array(np.array(values, kind)[runs.row])
+                yield pa.RecordBatch.from_arrays([pa.array(runs.anchor.view(np.int64)), pa.array(names).take(pa.array(runs.row)), pick(ids, np.int64), pick(owners, np.int64), pa.array(runs.start.astype(np.int32)), pa.array(runs.count.astype(np.int32))], ["anchor", "kind", "record", "owner", "start", "count"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for kind, record, owner, content, runs in zip(*(c.to_pylist() for c in batch.columns)):
+                text = text_of(content)
+                rows += [(r["anchor"], r["heavy"], kind, record, owner, r["start"], text[r["start"] : r["start"] + r["count"] + width - 1]) for r in runs]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string()))], ["anchor", "heavy", "kind", "record", "owner", "start", "piece"])
+
+    runs = records.mapInArrow(anchors, bare)
+    several = runs.groupBy("anchor").agg(F.min("owner").alias("least"), F.max("owner").alias("most"), (F.count("*") > group_limit).alias("heavy")).where("least != most").select("anchor", "heavy")
+    wanted = runs.join(several, "anchor").groupBy("kind", "record", "owner").agg(F.collect_set(F.struct("anchor", "heavy", "start", "count")).alias("runs"))
+    return records.where("content is not null").join(wanted, ["kind", "record", "owner"]).select("kind", "record", "owner", "content", "runs").mapInArrow(cut, FOUND)
+
+
+def shared_intervals(records: DataFrame, width: int = 200, group_limit: int = 200, most_bits: int = MOST_BITS) -> DataFrame:
     """(kind, record, start, end): parts of records, each made of stretches of ``width`` characters
     that also occur in a record of the same kind with another owner.
 
     ``records``: kind STRING, record LONG, owner LONG, content STRING or BINARY. A record with a null
     id, owner or content and one shorter than ``width`` has none; a row that repeats another changes
-    nothing; what only recurs within one owner isn't shared.
+    nothing; what only recurs within one owner isn't shared. Beyond the anchors that a sketch of
+    ``2 ** most_bits`` slots can tell apart, anchors are grouped exactly without it, with the same result.
     """
     spark = records.sparkSession
     records = spread(records.select("kind", F.col("record").cast("long"), F.col("owner").cast("long"), "content"), "record")
     total = records.agg(F.sum(F.octet_length("content"))).first()[0] or 0
-    bits = int(np.clip(np.ceil(np.log2(max(8 * total / (width / 4), 1))), LEAST_BITS, MOST_BITS))
-    packed = spark.sparkContext.broadcast(sketch(records, width, bits, group_limit))
+    anchors = max(total / (width / 4), 1)
+    bits = int(np.clip(np.ceil(np.log2(SLOTS * anchors)), LEAST_BITS, most_bits))
+    sketched = (1 << bits) >= LEAST_SLOTS * anchors
+    packed = spark.sparkContext.broadcast(sketch(records, width, bits, group_limit) if sketched else None)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,7 +287,7 @@ def shared_intervals(records: DataFrame, width: int = 200, group_limit: int = 20
                 pick = lambda column, kind=None: pa.array(np.array(column, kind)[row])
                 yield pa.RecordBatch.from_arrays([pick(anchor, np.int64), pa.array(h.view(np.int64)), pa.array([kind[r] for r in row.tolist()]), pick(record, np.int64), pick(owner, np.int64), pa.array(at.astype(np.int32))], ["anchor", "stretch", "kind", "record", "owner", "start"])
 
-    found = records.mapInArrow(candidates, "anchor long, heavy boolean, kind string, record long, owner long, start int, piece string")
+    found = records.mapInArrow(candidates, FOUND) if sketched else _exact_runs(records, width, group_limit)
     out = "kind string, record long, start int, end int"
     few = found.where("not heavy").drop("heavy").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, out)
     many = found.where("heavy").drop("heavy").mapInArrow(keys, "anchor long, stretch long, kind string, record long, owner long, start int")
