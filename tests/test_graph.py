@@ -118,6 +118,23 @@ def test_coupling(spark):
     assert coupling.co_changes(changed, bulk=1).count() == 0
 
 
+def test_coupling_of_large_commits(spark):
+    import itertools
+    from collections import Counter
+
+    sizes = {"1": 300, "2": 290, "3": 300, "4": 5, "5": 2, "6": 150}
+    rows = [("r", c, f"f{i:03}") for c, n in sizes.items() for i in range(n)] + [("r", str(c), "f001") for c in range(10, 22)]
+    changed = coupling.changes(spark.createDataFrame(rows, "repo string, commit_id string, file string"))
+    pairs, totals = Counter(), Counter(f for _, _, f in rows)
+    for _, files in itertools.groupby(sorted((c, f) for _, c, f in rows), key=lambda x: x[0]):
+        pairs.update(itertools.combinations([f for _, f in files], 2))
+    assert {(r.file_a, r.file_b): r.co_changes for r in coupling.co_changes(changed).collect()} == pairs
+    want = {(a, b): (n, round(n / max(totals[a], totals[b]), 6)) for (a, b), n in pairs.items() if n >= 3 and n / max(totals[a], totals[b]) >= 0.3}
+    got = {(r.file_a, r.file_b): (r.co_changes, r.strength) for r in coupling.coupling(changed).collect()}
+    assert got == want
+    assert len(want) > 40_000
+
+
 def test_communities(spark):
     two = community.adjacency(edges(spark, ("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("y", "z"), ("z", "x")))
     labels = {r.id: r.community for r in community.communities(two).collect()}
