@@ -16,8 +16,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from .rolling import U, in_steps, mixed, word_hashes
 
-#: Masks over 12 words; together they meet every window of 12 words with one substitution and most with two.
-MASKS = ("111011001101", "110100111011", "101111010110")
+#: Masks over 12 words; any two of the 12 positions are zeros of one mask, so together they meet every window of 12 words with up to two substitutions.
+MASKS = (
+    "101110110101", "110011111100", "111111101000", "110111000111", "001011101111", "100101111011",
+    "111011010011", "111000101111", "101110011110", "011101011101", "010110111011", "011101110110",
+)
 #: Seeds of items that are joined at a time: the bound of what is broadcast (16 bytes each).
 BLOCK_SEEDS = 2_000_000
 _FILTER_BITS = 22
@@ -107,7 +110,8 @@ def find_leaks(
     documents with passages of items that share a spaced seed, one row for each pair and passage with
     its longest exact run and longest overlap with at most so many substitutions.
 
-    A run of at least as many words as the masks span is always found. Null texts and passages have
+    A run of at least as many words as the masks span is always found; with the default masks, so is
+    every stretch of at least 12 words with at most two substitutions. Null texts and passages have
     no words; a passage shorter than the masks has no seeds; repeated rows count once. The corpus is
     never shuffled except for the few matches. Items are joined in blocks of at most ``BLOCK_SEEDS``
     seeds, each of which is broadcast; the number of items isn't limited.

@@ -1,12 +1,13 @@
 """Shared spans and evaluation leaks against brute force."""
 
+import itertools
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodeweave.llm.eval_leaks import find_leaks
+from lodeweave.llm.eval_leaks import MASKS, find_leaks
 from lodeweave.llm.shared_spans import shared_characters, shared_intervals, text_of
 
 RECORD = "kind string, record long, owner long, content string"
@@ -122,6 +123,24 @@ def test_leaks_tolerate_substitutions(spark):
     assert (row.doc_id, row.item_id, row.passage, row.exact_words, row.overlap_words, row.substitutions) == (1, 7, "question", 7, 20, 2)
 
 
+def test_masks_meet_any_two_substitutions():
+    for pair in itertools.combinations(range(12), 2):
+        assert any(len(m) == 12 and all(m[k] == "0" for k in pair) for m in MASKS)
+
+
+def test_leaks_with_two_substitutions_anywhere(spark):
+    item = [f"word{i}" for i in range(20)]
+    docs, want = [], {}
+    for n in range(12, 18):
+        for pair in itertools.combinations(range(1, n - 1), 2):
+            piece = [f"other{i}" if i in pair else w for i, w in enumerate(item[:n])]
+            want[len(docs)] = (n, 2)
+            docs.append((len(docs), "and " + " ".join(piece) + " so"))
+    items = spark.createDataFrame([(7, " ".join(item), None)], "item_id long, question string, answer string")
+    got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).where("overlap_words >= 12").collect()
+    assert {r.doc_id: (r.overlap_words, r.substitutions) for r in got} == want
+
+
 def test_leaks_of_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a " * 20, None)], "item_id long, question string, answer string")
