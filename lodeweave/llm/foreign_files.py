@@ -19,8 +19,6 @@ from .shared_spans import text_of
 
 #: A copied directory has at least so many characters and files of this size; less is boilerplate.
 LEAST_TREE, LEAST_FILE = 500, 200
-#: Directories nested deeper than this aren't compared with other repositories.
-MOST_LEVELS = 64
 
 # Where third-party code is kept, names of generated files, and statements in headers.
 _PLACES = {
@@ -78,8 +76,7 @@ def by_layout(text: str) -> str | None:
     size = len(text)
     long = sum(n for n in map(len, lines) if n >= LONG_LINE)
     dense = long >= LONG_SHARE * size and sum(map(text.count, " \t\n\r")) <= BLANK_SHARE * size
-    digits = sum(map(text.count, "0123456789"))
-    if size < DATA_SIZE or not dense and digits < 0.12 * size and text.count('"') + text.count("'") + text.count("`") > 0.04 * size and max(map(len, lines)) < LONG_LINE and not _looks_encoded(lines):
+    if size < DATA_SIZE:
         return "minified" if dense and size >= LONG_LINE else None
     kept: list[str] = []
     notes, at = 0, 0
@@ -97,10 +94,6 @@ def by_layout(text: str) -> str | None:
     return "minified" if dense else None
 
 
-def _looks_encoded(lines: list[str]) -> bool:
-    return sum(" " not in s for line in lines[:40] if len(s := line.strip()) > 50) > 5
-
-
 def classify(df: DataFrame) -> DataFrame:
     """(file_id, repo, rel_path, size, h1, h2, reason) of every row of files: ``reason`` by path, header or layout, or null."""
 
@@ -130,7 +123,7 @@ def copied_directories(files: DataFrame) -> DataFrame:
     """
     parts = F.split("rel_path", "/")
     entries = files.where("repo is not null and rel_path is not null and h1 is not null").select("repo", F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("dir"), (F.size(parts) - 1).alias("level"), F.element_at(parts, -1).alias("name"), "h1", "h2", "size", F.greatest("size", F.lit(0)).alias("largest"))
-    deepest = min(entries.agg(F.max("level")).first()[0] or 0, MOST_LEVELS)
+    deepest = entries.agg(F.max("level")).first()[0] or 0
     done, above = None, None
     for level in range(deepest, 0, -1):
         here = entries.where(F.col("level") == level)

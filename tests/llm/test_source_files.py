@@ -124,6 +124,21 @@ def test_by_layout():
     assert by_layout("") is None
 
 
+def test_layout_of_short_strings():
+    words = "".join(f'  "{a}{b}{c}",\n' for a in ("ka", "lo", "mi", "nu") for b in ("ra", "se", "ti", "vo") for c in ("b", "d", "g", "l", "n"))
+    assert by_layout("WORDS = [\n" + words * 2 + "]\n") == "data"
+    assert by_layout("NAMES = {\n" + words.replace('",', '": "x",') * 2 + "}\n") == "data"
+    encoded = "".join('  "' + "abcdEFGH" * 8 + '",\n' for _ in range(40))
+    assert by_layout("# one\n" * 45 + "KEY = [\n" + encoded + "]\n") == "data"
+
+
+def test_deep_directories(spark):
+    deep = "/".join(["d"] * 66)
+    rows = [(r, f"same/{deep}/x.py", 900, 1, 1) for r in ("r1", "r2")] + [(r, f"other/{deep}/x.py", 900, n, n) for n, r in ((2, "r1"), (3, "r2"))] + [(r, "other/top.py", 900, 4, 4) for r in ("r1", "r2")]
+    got = copied_directories(spark.createDataFrame(rows, "repo string, rel_path string, size long, h1 long, h2 long"))
+    assert {tuple(r) for r in got.collect()} == {(r, "same" + "/d" * n) for r in ("r1", "r2") for n in range(67)}
+
+
 def test_copied_directories(spark):
     def tree(repo, base, text):
         return [(repo, f"{base}/a/x.py", 400, hash(text), 1), (repo, f"{base}/a/y.py", 300, hash(text + "y"), 1), (repo, f"{base}/z.py", 300, hash(text + "z"), 1)]
