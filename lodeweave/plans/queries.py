@@ -165,6 +165,12 @@ def parsed_symbols(spark, base):
     return found.join(table(spark, base, "symbols").select("file_id").distinct(), "file_id", "left_semi")
 
 
+@query("parse_symbols_all")
+def all_parsed_symbols(spark, base):
+    """All that is parsed from all files: functions, methods, classes and interfaces with all columns."""
+    return parse_symbols(table(spark, base, "files"))
+
+
 @query("parse_imports", "SELECT DISTINCT file_id, module_path, is_relative FROM imports WHERE module_path <> 'logging' AND file_id IN (SELECT file_id FROM files WHERE content IS NOT NULL)")
 def parsed_imports(spark, base):
     """Imported modules as parsed, of files that the imports table knows; it leaves out one module of the standard library."""
@@ -172,6 +178,12 @@ def parsed_imports(spark, base):
     return found.join(table(spark, base, "imports").select("file_id").distinct(), "file_id", "left_semi")
 
 
+@query("parse_imports_all")
+def all_parsed_imports(spark, base):
+    """The modules of all import statements of all files, with all columns."""
+    return parse_imports(table(spark, base, "files"))
+
+
 @query("resolve_calls", f"WITH {_NODES}, {_CALLS} SELECT src, dst FROM calls")
 def resolve_calls(spark, base):
     """Calls, resolved to the nearest definition."""

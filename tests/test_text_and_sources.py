@@ -139,3 +139,15 @@ def test_parsers(spark):
     }
     assert {(r.file_id, r.module_path, r.is_relative) for r in parse_imports(files).collect()} == {(1, "fmt", False), (1, "other/y", False), (2, ".a", True), (2, "os", False), (2, "sys", False), (3, "./x", True), (3, "q", False)}
     assert parse_symbols(files.limit(0)).count() == 0
+
+
+def test_all_that_is_parsed(spark, tmp_path):
+    from lodeweave.plans.queries import QUERIES
+
+    texts = {"a.py": "import logging\nimport os\n\nclass A:\n    def f(self):\n        pass\n", "b.ts": "import { x } from './x';\nexport interface I {\n  a: string;\n}\n"}
+    rows = [(i, "r", path, text.encode()) for i, (path, text) in enumerate(texts.items())]
+    spark.createDataFrame(rows, "file_id long, repo string, rel_path string, content binary").write.parquet(f"{tmp_path}/files.parquet")
+    symbols = QUERIES["parse_symbols_all"](spark, str(tmp_path))
+    assert {"file_id", "name", "kind", "start_line", "signature", "class_name", "is_exported"} <= set(symbols.columns)
+    assert {(r.file_id, r.name, r.kind) for r in symbols.collect()} == {(0, "A", "class"), (0, "f", "method"), (1, "I", "interface")}
+    assert {(r.file_id, r.module_path) for r in QUERIES["parse_imports_all"](spark, str(tmp_path)).collect()} == {(0, "logging"), (0, "os"), (1, "./x")}
