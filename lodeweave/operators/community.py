@@ -57,11 +57,13 @@ def components(adjacent: DataFrame, rounds: int = 60) -> DataFrame:
     return labels.join(names, "component").select("id", F.col("name").alias("component"))
 
 
-def communities(adjacent: DataFrame, sweeps: int = 8) -> DataFrame:
+def communities(adjacent: DataFrame, sweeps: int = 200) -> DataFrame:
     """(id, community): local moving by modularity, all nodes of a half at a time, named by a member's id.
 
     In each sweep the nodes of one half (by hash) move to the neighbouring community with the greatest
-    positive gain, of equal ones the least; halves alternate so that two neighbours don't just swap.
+    positive gain, of equal ones the least. Two successive sweeps are the two halves of one cut, and
+    each two have another cut, so that neighbours of one half don't swap for ever. It ends when both
+    sweeps of a cut move nothing; at most after ``sweeps``, as 100 for all nodes, converged or not.
     The gain of a move is k_in / W - k * total / W^2, the community's total counted without the node.
     """
     shared_folder(adjacent.sparkSession)
@@ -69,9 +71,10 @@ def communities(adjacent: DataFrame, sweeps: int = 8) -> DataFrame:
     total = degree.agg(F.sum("degree").cast("double"))
     labels = degree.select("id", F.col("id").alias("community"), "degree").checkpoint()
     edges = adjacent.where("i != j")
+    still = False
     for sweep in range(sweeps):
         sizes = labels.groupBy("community").agg(F.sum("degree").alias("size"))
-        moving = labels.where(F.pmod(F.xxhash64("id"), F.lit(2)) == sweep % 2)
+        moving = labels.where(F.pmod(F.xxhash64("id", F.lit(sweep // 2)), F.lit(2)) == sweep % 2)
         near = edges.join(moving.select(F.col("id").alias("i"), F.col("community").alias("own"), "degree"), "i").join(labels.select(F.col("id").alias("j"), "community"), "j")
         links = near.groupBy(F.col("i").alias("id"), "own", "degree", "community").agg(F.sum("w").alias("k_in"))
         gain = F.col("k_in") / F.col("W") - F.col("degree") * (F.col("size") - F.when(F.col("community") == F.col("own"), F.col("degree")).otherwise(F.lit(0))) / (F.col("W") * F.col("W"))
@@ -79,7 +82,8 @@ def communities(adjacent: DataFrame, sweeps: int = 8) -> DataFrame:
         best = rated.groupBy("id").agg(F.max_by(F.struct("community", "gain"), F.struct("gain", F.col("community") == F.col("own"))).alias("best"))
         moved = labels.join(best, "id", "left").select("id", F.col("community").alias("before"), F.when(F.col("best.gain") > 0, F.col("best.community")).otherwise(F.col("community")).alias("community"), "degree").checkpoint()
         labels = moved.drop("before")
-        if sweep % 2 and moved.where("before != community").isEmpty():
+        still = (still or sweep % 2 == 0) and moved.where("before != community").isEmpty()
+        if sweep % 2 and still:
             break
     return labels.select("id", "community")
 

@@ -149,6 +149,21 @@ def test_communities(spark):
     assert (row.member_count, row.label) == (6, "Community (name_a, name_b, name_c, +3 more)")
 
 
+def test_communities_end_where_no_move_gains(spark):
+    from collections import Counter
+
+    path = [(f"n{i:02}", f"n{i + 1:02}") for i in range(40)]
+    labels = {r.id: r.community for r in community.communities(community.adjacency(edges(spark, *path))).collect()}
+    near = {v: [b if a == v else a for a, b in path if v in (a, b)] for v in labels}
+    size, total = Counter(), 2 * len(path)
+    for v, c in labels.items():
+        size[c] += len(near[v])
+    for v, own in labels.items():
+        k = Counter(labels[n] for n in near[v])
+        gain = {c: k[c] / total - len(near[v]) * (size[c] - (len(near[v]) if c == own else 0)) / total**2 for c in {*k, own}}
+        assert max(gain.values()) <= gain[own] + 1e-12
+
+
 def test_long_path_is_one_component(spark):
     path = community.adjacency(edges(spark, *((f"n{i:03}", f"n{i + 1:03}") for i in range(60))))
     assert {r.component for r in community.components(path).collect()} == {"n000"}
