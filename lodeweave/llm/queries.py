@@ -12,7 +12,7 @@ from .documented_functions import documented_functions
 from .eval_leaks import find_leaks
 from .foreign_files import foreign_files
 from .garbled_text import restore_texts
-from .shared_spans import shared_characters, shared_intervals
+from .shared_spans import characters, shared_characters, shared_intervals
 from .similar_vectors import similar_vectors
 from .token_encoding import encode_corpus
 
@@ -36,7 +36,7 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
 def p1_shared(spark: SparkSession, base: str) -> DataFrame:
     """For every record, its length and how many of its characters lie in shared stretches."""
     records = source_records(spark, base)
-    sizes = records.where("record is not null").groupBy("kind", "record").agg(F.max(F.char_length(F.col("content").cast("string"))).alias("n_chars"))
+    sizes = characters(records.where("record is not null")).groupBy("kind", "record").agg(F.max("n_chars").alias("n_chars"))
     return (
         sizes.join(shared_characters(shared_intervals(records)), ["kind", "record"], "left")
         .select(F.col("kind").alias("record_kind"), F.col("record").alias("record_id"), "n_chars", F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"))

@@ -2,38 +2,39 @@
 
 A stretch of W characters contains W - W/2 + 1 windows of W/2 characters; the one with the least hash
 is the stretch's *anchor*. Equal stretches have equal anchors, so one anchor stands for a run of about
-W/4 stretches.
-
-* First pass: every partition sketches how many owners have each anchor (count-min, summed over
-  partitions), which can only overestimate.
-* Second pass: only runs whose anchor is estimated to have two owners or more are sent, with their
-  text, to be grouped by anchor; there the stretches of length W are compared exactly.
-
-No shared stretch is lost, since its anchor has at least two owners. The estimate also bounds the
-groups: an anchor that may have more than ``group_limit`` owners takes another way, in which each
-stretch is a key of its own, aggregated before the shuffle.
+W/4 stretches. The runs of all records are written once, without their text.
+
+* First pass: every partition sketches how many owners have each anchor; the partitions' count-min
+  sketches are summed, and can only overestimate. The sketch is cut by the range of the anchors into
+  blocks of a fixed size, each of which is a row of a table, so that it grows with the input.
+* Second pass: each run meets its anchor's block in a join. Only runs whose anchor is estimated to
+  have two owners or more are grouped by it exactly, and only the text of those that really have is
+  fetched from the records; there the stretches of length W are compared character by character.
+
+No shared stretch is lost, since its anchor has at least two owners. Anchors of more than
+``group_limit`` runs take another way: equal pieces of text become one row, aggregated before the
+shuffle, and each stretch of a distinct piece is a key of its own.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..sources.tables import spread
+from ..sources.tables import spread, stored
 from .rolling import U, code_points, in_steps, mixed, prefix_hash, stretch
 
-ROWS = 2
-BLOCK_BITS = 16
-#: Bounds of the sketch: 2**bits slots a row; what is broadcast has 2 bits for each, 32 MB at most.
-LEAST_BITS, MOST_BITS = 16, 26
-#: Slots for each anchor, at best and at least; with fewer, anchors are grouped exactly from the start.
-SLOTS, LEAST_SLOTS = 8, 2
-FOUND = "anchor long, heavy boolean, kind string, record long, owner long, start int, piece string"
+#: Rows of the sketch, slots for each anchor in a row, and slots of a block (2**SLOT_BITS in each row).
+ROWS, SLOTS, SLOT_BITS = 2, 8, 16
+#: Blocks are summed by zones, of which a task holds one at a time: 2**ZONE_BITS blocks at most.
+ZONE_BITS = 8
+RUN = "anchor long, kind string, record long, owner long, start int, count int"
+PIECE = "anchor long, heavy boolean, kind string, record long, owner long, start int, piece string"
+SHARED = "kind string, record long, start int, end int"
 #: Anchors that a task holds before it gives out their counts.
 FLUSH = 2_000_000
 
@@ -90,10 +91,6 @@ class Runs:
         self.anchor = mixed(least[first] ^ kinds[self.row])
 
 
-def _slots(anchor: np.ndarray, r: int, bits: int) -> np.ndarray:
-    return (mixed(anchor + U(r)) >> U(64 - bits)).astype(np.int64)
-
-
 def _records(batch: pa.RecordBatch, width: int) -> Iterator[tuple[list[str], np.ndarray, list[int], list[int], list[str]]]:
     """Steps of records that are long enough: texts, kind hashes, ids, owners, kinds."""
     kinds, ids, owners, contents = (c.to_pylist() for c in batch.columns)
@@ -104,69 +101,91 @@ def _records(batch: pa.RecordBatch, width: int) -> Iterator[tuple[list[str], np.
         yield list(t), np.array([seeds[x] for x in k], U), list(i), list(o), list(k)
 
 
-def sketch(records: DataFrame, width: int, bits: int, group_limit: int) -> np.ndarray:
-    """Bits by row of the sketch and slot: has it more than one owner; has it more than ``group_limit``."""
+def runs_of(records: DataFrame, width: int) -> DataFrame:
+    """Every run of every record, without its text: (anchor, kind, record, owner, start, count)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts, kinds, ids, owners, names in _records(batch, width):
+                r = Runs(texts, kinds, width)
+                pick = lambda values, kind: pa.array(np.array(values, kind)[r.row])
+                yield pa.RecordBatch.from_arrays([pa.array(r.anchor.view(np.int64)), pa.array(names).take(pa.array(r.row)), pick(ids, np.int64), pick(owners, np.int64), pa.array(r.start.astype(np.int32)), pa.array(r.count.astype(np.int32))], ["anchor", "kind", "record", "owner", "start", "count"])
+
+    return records.mapInArrow(run, RUN)
+
+
+def block_of(anchor: Column, bits: int) -> Column:
+    """The block of an anchor, of 2**bits: its uppermost bits."""
+    return F.shiftrightunsigned(anchor, 64 - bits) if bits else F.lit(0).cast("long")
+
+
+def sketch(runs: DataFrame, bits: int, slot_bits: int = SLOT_BITS) -> DataFrame:
+    """(block, words): for each of 2**bits blocks, a bit for each row and slot that counts two owners or more.
+
+    The slot of an anchor is its lowest bits in the first row and the next ones in the second. Counts
+    of all partitions are added, up to 255; blocks without such a slot have no row.
+    """
+    tasks = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    zone_bits = max(min(bits, (4 * tasks - 1).bit_length()), bits - ZONE_BITS)
+    size, mask = 1 << slot_bits, (1 << slot_bits) - 1
+    inner = (1 << bits - zone_bits) - 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            pairs = np.concatenate(held)
+            anchors, owners = np.concatenate(held, axis=1)
             held.clear()
-            _, one = np.unique(mixed(pairs[0::2] ^ mixed(pairs[1::2])), return_index=True)
-            anchors = pairs[0::2][one]
-            for r in range(ROWS):
-                slots = np.sort(_slots(anchors, r, bits))
-                blocks, begin = np.unique(slots >> BLOCK_BITS, return_index=True)
-                parts = np.split((slots & ((1 << BLOCK_BITS) - 1)).astype("<u2"), begin[1:])
-                yield pa.RecordBatch.from_arrays([pa.array(blocks + (r << 32)), pa.array([p.tobytes() for p in parts])], ["block", "slots"])
+            _, one = np.unique(mixed(anchors ^ mixed(owners)), return_index=True)
+            anchors = np.sort(anchors[one])
+            blocks = (anchors >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(anchors), np.int64)
+            zones, begin = np.unique(blocks >> bits - zone_bits, return_index=True)
+            at = [((blocks & inner) << slot_bits | ((anchors >> U(r * slot_bits)).astype(np.int64) & mask)).astype("<u4") for r in range(ROWS)]
+            rows = [np.split(a, begin[1:]) for a in at]
+            yield pa.RecordBatch.from_arrays([pa.array(zones), *(pa.array([p.tobytes() for p in parts], pa.binary()) for parts in rows)], ["zone", *(f"row{r}" for r in range(ROWS))])
 
         for batch in batches:
-            for texts, kinds, _, owners, _ in _records(batch, width):
-                runs = Runs(texts, kinds, width)
-                pairs = np.empty(2 * len(runs.anchor), U)
-                pairs[0::2], pairs[1::2] = runs.anchor, np.array(owners, np.int64).view(U)[runs.row]
-                held.append(pairs)
-            if sum(map(len, held)) > 2 * FLUSH:
+            held.append(np.stack([np.asarray(batch.column(k)).view(U) for k in (0, 1)]))
+            if sum(h.shape[1] for h in held) > FLUSH:
                 yield from flush()
         if held:
             yield from flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, total = None, np.zeros(1 << BLOCK_BITS, np.int64)
+        zone, totals = None, np.zeros((ROWS, (inner + 1) * size), np.uint8)
 
         def out() -> pa.RecordBatch:
-            bits = np.packbits(np.stack([total > 1, total > group_limit]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([zlib.compress(bits.tobytes(), 1)])], ["block", "bits"])
+            words = np.packbits((totals > 1).reshape(ROWS, inner + 1, size).swapaxes(0, 1), axis=2, bitorder="little").reshape(inner + 1, -1).view("<i8")
+            some = np.flatnonzero(words.any(axis=1))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * words.shape[1]), pa.array(words[some].ravel()))
+            return pa.RecordBatch.from_arrays([pa.array((zone << bits - zone_bits) + some), lists], ["block", "words"])
 
         for batch in batches:
-            for b, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if b != block:
-                    if block is not None:
+            for z, *parts in zip(*(c.to_pylist() for c in batch.columns)):
+                if z != zone:
+                    if zone is not None:
                         yield out()
-                    block = b
-                    total[:] = 0
-                total += np.bincount(np.frombuffer(s, "<u2"), minlength=1 << BLOCK_BITS)
-        if block is not None:
+                    zone = z
+                    totals[:] = 0
+                for total, part in zip(totals, parts):
+                    slots, n = np.unique(np.frombuffer(part, "<u4"), return_counts=True)
+                    total[slots] = np.minimum(total[slots] + n, 255)
+        if zone is not None:
             yield out()
 
-    partial = records.mapInArrow(count, "block long, slots binary")
-    merged = partial.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block long, bits binary")
-    packed = np.zeros((2, ROWS, 1 << bits - 3), np.uint8)
-    size = 1 << BLOCK_BITS - 3
-    for b, found in merged.collect():  # 2 bits a slot at most, bounded by MOST_BITS
-        at = (b & 0xFFFFFFFF) * size
-        packed[:, b >> 32, at : at + size] = np.frombuffer(zlib.decompress(found), np.uint8).reshape(2, size)
-    return packed
+    partial = runs.select("anchor", "owner").mapInArrow(count, "zone long, row0 binary, row1 binary")
+    return partial.repartition("zone").sortWithinPartitions("zone").mapInArrow(merge, "block long, words array<long>")
 
 
-def _level(packed: np.ndarray, anchor: np.ndarray, bits: int) -> np.ndarray:
-    out = np.full(len(anchor), 2, np.int8)
+def repeated(runs: DataFrame, sketched: DataFrame, bits: int, slot_bits: int = SLOT_BITS) -> DataFrame:
+    """The runs whose anchor is estimated to have two owners or more: a join with the sketch by block."""
+    size = 1 << slot_bits
+    hit = F.lit(True)
     for r in range(ROWS):
-        slot = _slots(anchor, r, bits)
-        bit = (7 - (slot & 7)).astype(np.uint8)
-        out = np.minimum(out, sum((packed[k, r][slot >> 3] >> bit) & 1 for k in (0, 1)).astype(np.int8))
-    return out
+        slot = F.shiftrightunsigned("anchor", r * slot_bits).bitwiseAND(F.lit(size - 1)).cast("int")
+        word = F.get("words", F.lit(r * size // 64) + F.shiftright(slot, 6))
+        hit = hit & (F.call_function("getbit", word, slot.bitwiseAND(F.lit(63))) == 1)
+    return runs.withColumn("block", block_of(F.col("anchor"), bits)).join(sketched, "block").where(hit).select(*runs.columns)
 
 
 def _stretches(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,94 +199,53 @@ def _stretches(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np
     return mixed(stretch(prefix_hash(values), at, at + width)), row, place
 
 
-def _exact_runs(records: DataFrame, width: int, group_limit: int) -> DataFrame:
-    """The runs whose anchor has several owners, with their text, where no sketch of a bounded size could tell.
-
-    Anchors are grouped without their text, aggregated before the shuffle; the runs found are
-    brought back to their records, which are joined once by their id.
-    """
-    bare = "anchor long, kind string, record long, owner long, start int, count int"
-
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for texts, kinds, ids, owners, names in _records(batch, width):
-                runs = Runs(texts, kinds, width)
-                pick = lambda values, kind: pa.array(np.array(values, kind)[runs.row])
-                yield pa.RecordBatch.from_arrays([pa.array(runs.anchor.view(np.int64)), pa.array(names).take(pa.array(runs.row)), pick(ids, np.int64), pick(owners, np.int64), pa.array(runs.start.astype(np.int32)), pa.array(runs.count.astype(np.int32))], ["anchor", "kind", "record", "owner", "start", "count"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for kind, record, owner, content, runs in zip(*(c.to_pylist() for c in batch.columns)):
-                text = text_of(content)
-                rows += [(r["anchor"], r["heavy"], kind, record, owner, r["start"], text[r["start"] : r["start"] + r["count"] + width - 1]) for r in runs]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string()))], ["anchor", "heavy", "kind", "record", "owner", "start", "piece"])
-
-    runs = records.mapInArrow(anchors, bare)
-    several = runs.groupBy("anchor").agg(F.min("owner").alias("least"), F.max("owner").alias("most"), (F.count("*") > group_limit).alias("heavy")).where("least != most").select("anchor", "heavy")
-    wanted = runs.join(several, "anchor").groupBy("kind", "record", "owner").agg(F.collect_set(F.struct("anchor", "heavy", "start", "count")).alias("runs"))
-    return records.where("content is not null").join(wanted, ["kind", "record", "owner"]).select("kind", "record", "owner", "content", "runs").mapInArrow(cut, FOUND)
-
-
-def shared_intervals(records: DataFrame, width: int = 200, group_limit: int = 200, most_bits: int = MOST_BITS) -> DataFrame:
-    """(kind, record, start, end): parts of records, each made of stretches of ``width`` characters
-    that also occur in a record of the same kind with another owner.
-
-    ``records``: kind STRING, record LONG, owner LONG, content STRING or BINARY. A record with a null
-    id, owner or content and one shorter than ``width`` has none; a row that repeats another changes
-    nothing; what only recurs within one owner isn't shared. Beyond the anchors that a sketch of
-    ``2 ** most_bits`` slots can tell apart, anchors are grouped exactly without it, with the same result.
-    """
-    spark = records.sparkSession
-    records = spread(records.select("kind", F.col("record").cast("long"), F.col("owner").cast("long"), "content"), "record")
-    total = records.agg(F.sum(F.octet_length("content"))).first()[0] or 0
-    anchors = max(total / (width / 4), 1)
-    bits = int(np.clip(np.ceil(np.log2(SLOTS * anchors)), LEAST_BITS, most_bits))
-    sketched = (1 << bits) >= LEAST_SLOTS * anchors
-    packed = spark.sparkContext.broadcast(sketch(records, width, bits, group_limit) if sketched else None)
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for texts, kinds, ids, owners, names in _records(batch, width):
-                runs = Runs(texts, kinds, width)
-                level = _level(packed.value, runs.anchor, bits)
-                at = np.flatnonzero(level)
-                if len(at):
-                    row, start, count = runs.row[at].tolist(), runs.start[at].tolist(), runs.count[at].tolist()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(runs.anchor[at].view(np.int64)), pa.array(level[at] > 1), pa.array([names[r] for r in row]), pa.array([ids[r] for r in row]), pa.array([owners[r] for r in row]), pa.array(start, pa.int32()), pa.array([texts[r][s : s + c + width - 1] for r, s, c in zip(row, start, count)])],
-                        ["anchor", "heavy", "kind", "record", "owner", "start", "piece"],
-                    )
-
-    def intervals(row: np.ndarray, place: np.ndarray, shared: np.ndarray, columns: list[list]) -> pa.RecordBatch:
-        """Joins neighbouring shared stretches."""
-        row, place = row[shared], place[shared]
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
-        first = np.flatnonzero(new)
-        final = np.append(first[1:], len(row)) - 1 if len(row) else first
-        rows = row[first].tolist()
-        start = np.array(columns[2], np.int64)[row[first]] if rows else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array([columns[0][r] for r in rows], pa.string()), pa.array([columns[1][r] for r in rows], pa.int64()), pa.array((start + place[first]).astype(np.int32)), pa.array((start + place[final] + width).astype(np.int32))], ["kind", "record", "start", "end"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole groups of an anchor at a time; rows come sorted by anchor."""
-        left: list[tuple] = []
-
-        def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            for a, b in _whole_groups(rows):
-                anchor, kind, record, owner, start, piece = zip(*rows[a:b])
-                h, row, place = _stretches(list(piece), width)
-                h ^= mixed(np.array(anchor, np.int64).view(U))[row]
+def _intervals(row: np.ndarray, place: np.ndarray, shared: np.ndarray, columns: list[list], width: int) -> pa.RecordBatch:
+    """Joins neighbouring shared stretches."""
+    row, place = row[shared], place[shared]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
+    first = np.flatnonzero(new)
+    final = np.append(first[1:], len(row)) - 1 if len(row) else first
+    rows = row[first].tolist()
+    start = np.array(columns[2], np.int64)[row[first]] if rows else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array([columns[0][r] for r in rows], pa.string()), pa.array([columns[1][r] for r in rows], pa.int64()), pa.array((start + place[first]).astype(np.int32)), pa.array((start + place[final] + width).astype(np.int32))], ["kind", "record", "start", "end"])
+
+
+def _verbatim(pieces: list[str], row: np.ndarray, place: np.ndarray, like_row: np.ndarray, like_place: np.ndarray, width: int) -> bool:
+    """Is every stretch the same text as the one it is like? Neighbouring stretches are compared together."""
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (like_row[1:] != like_row[:-1]) | (place[1:] != place[:-1] + 1) | (like_place[1:] != like_place[:-1] + 1)
+    first = np.flatnonzero(new)
+    final = np.append(first[1:], len(row))[: len(first)] - 1
+    return all(pieces[r][a : b + width] == pieces[s][c : c + b - a + width] for r, a, b, s, c in zip(row[first].tolist(), place[first].tolist(), place[final].tolist(), like_row[first].tolist(), like_place[first].tolist()))
+
+
+def _compare(pieces: DataFrame, width: int) -> DataFrame:
+    """(kind, record, start, end) of what pieces of one anchor share; whole groups of an anchor at a time."""
+
+    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for a, b in _whole_groups(rows):
+            anchor, kind, record, owner, start, piece = zip(*rows[a:b])
+            h, row, place = _stretches(list(piece), width)
+            h ^= mixed(np.array(anchor, np.int64).view(U))[row]
+            while True:
                 order = np.argsort(h, kind="stable")
                 begin = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
+                sizes = np.diff(np.append(begin, len(h)))
                 who = np.array(owner, np.int64)[row[order]]
                 several = np.minimum.reduceat(who, begin) != np.maximum.reduceat(who, begin)
-                shared = np.zeros(len(h), bool)
-                shared[order] = np.repeat(several, np.diff(np.append(begin, len(h))))
-                yield intervals(row, place, shared, [kind, record, start])
-
+                shared, like = np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+                shared[order] = np.repeat(several, sizes)
+                like[order] = np.repeat(order[begin], sizes)
+                at = np.flatnonzero(shared)
+                if _verbatim(list(piece), row[at], place[at], row[like[at]], place[like[at]], width):
+                    break
+                keys: dict[tuple[int, str], int] = {}  # two texts of one hash: group by the texts themselves
+                h = np.array([keys.setdefault((anchor[r], piece[r][p : p + width]), len(keys)) for r, p in zip(row.tolist(), place.tolist())], U)
+            yield _intervals(row, place, shared, [kind, record, start], width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[tuple] = []
         for batch in batches:
             rows = left + list(zip(*(c.to_pylist() for c in batch.columns)))
             cut = len(rows)
@@ -277,22 +255,66 @@ def shared_intervals(records: DataFrame, width: int = 200, group_limit: int = 20
             yield from solve(rows[:cut])
         yield from solve(left)
 
+    return pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, SHARED)
+
+
+def _classes(pieces: DataFrame, width: int) -> DataFrame:
+    """(kind, record, start, end) of what pieces of anchors with many runs share.
+
+    Equal pieces, by their anchor and 128 bits of hash, are one class, aggregated before the shuffle.
+    A class of several owners is shared as a whole; for the others each stretch is a key.
+    """
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = list(zip(*(c.to_pylist() for c in batch.columns)))
             for a, b in in_steps([len(r[5]) for r in rows]):
-                anchor, kind, record, owner, start, piece = zip(*rows[a:b])
-                h, row, place = _stretches(list(piece), width)
-                at = place + np.array(start, np.int64)[row]
-                pick = lambda column, kind=None: pa.array(np.array(column, kind)[row])
-                yield pa.RecordBatch.from_arrays([pick(anchor, np.int64), pa.array(h.view(np.int64)), pa.array([kind[r] for r in row.tolist()]), pick(record, np.int64), pick(owner, np.int64), pa.array(at.astype(np.int32))], ["anchor", "stretch", "kind", "record", "owner", "start"])
+                h, row, place = _stretches([r[5] for r in rows[a:b]], width)
+                pick = lambda k: pa.array(np.array([r[k] for r in rows[a:b]], np.int64)[row])
+                yield pa.RecordBatch.from_arrays([pick(0), pick(1), pick(2), pick(3), pick(4), pa.array(h.view(np.int64)), pa.array(place.astype(np.int32))], ["anchor", "a", "b", "least", "most", "stretch", "place"])
+
+    same = ["anchor", "a", "b"]
+    marked = pieces.select("anchor", "kind", "record", "owner", "start", F.char_length("piece").alias("n"), F.xxhash64("piece").alias("a"), F.xxhash64(F.lit("second"), "piece").alias("b"), "piece")
+    classes = marked.groupBy(*same).agg(F.min("owner").alias("least"), F.max("owner").alias("most"), F.first("piece").alias("piece"))
+    members = marked.select("kind", "record", "start", "n", *same)
+    whole = members.join(classes.where("least != most").select(*same), same).select("kind", "record", "start", (F.col("start") + F.col("n")).alias("end"))
+    stretches = classes.select(*same, "least", "most", "piece").mapInArrow(keys, "anchor long, a long, b long, least long, most long, stretch long, place int")
+    several = stretches.groupBy("anchor", "stretch").agg(F.min("least").alias("x"), F.max("most").alias("y")).where("x != y").select("anchor", "stretch")
+    hits = stretches.where("least = most").join(several, ["anchor", "stretch"], "left_semi").select(*same, "place")
+    parts = members.join(hits, same).select("kind", "record", (F.col("start") + F.col("place")).alias("start"), (F.col("start") + F.col("place") + width).alias("end"))
+    return whole.union(parts)
+
+
+def shared_intervals(records: DataFrame, width: int = 200, group_limit: int = 200, slot_bits: int = SLOT_BITS) -> DataFrame:
+    """(kind, record, start, end): parts of records, each made of stretches of ``width`` characters
+    that also occur in a record of the same kind with another owner.
+
+    ``records``: kind STRING, record LONG, owner LONG, content STRING or BINARY. A record with a null
+    id, owner or content and one shorter than ``width`` has none; a row that repeats another changes
+    nothing; what only recurs within one owner isn't shared. The content is read twice: for the runs,
+    and for the text of those that are repeated. The sketch has 2**``slot_bits`` slots in each row of a
+    block and as many blocks as the runs need; none of it passes through the driver.
+    """
+    records = records.select("kind", F.col("record").cast("long"), F.col("owner").cast("long"), "content")
+    runs = stored(runs_of(spread(records), width))
+    blocks = SLOTS * runs.count() / (1 << slot_bits)
+    bits = max(0, int(np.ceil(np.log2(max(blocks, 1)))))
+    likely = stored(repeated(runs, sketch(runs, bits, slot_bits), bits, slot_bits))
+    groups = likely.groupBy("anchor").agg(F.min("owner").alias("least"), F.max("owner").alias("most"), (F.count("*") > group_limit).alias("heavy")).where("least != most").select("anchor", "heavy")
+    wanted = likely.join(groups, "anchor").groupBy("kind", "record", "owner").agg(F.collect_set(F.struct("anchor", "heavy", "start", "count")).alias("runs"))  # as many as the record's text has
 
-    found = records.mapInArrow(candidates, FOUND) if sketched else _exact_runs(records, width, group_limit)
-    out = "kind string, record long, start int, end int"
-    few = found.where("not heavy").drop("heavy").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, out)
-    many = found.where("heavy").drop("heavy").mapInArrow(keys, "anchor long, stretch long, kind string, record long, owner long, start int")
-    several = many.groupBy("anchor", "stretch").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).where("least != most")
-    return few.union(many.join(several, ["anchor", "stretch"], "left_semi").select("kind", "record", "start", (F.col("start") + width).alias("end")))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for kind, record, owner, content, runs in zip(*(c.to_pylist() for c in batch.columns)):
+                text = text_of(content)
+                rows += [(r["anchor"], r["heavy"], kind, record, owner, r["start"], text[r["start"] : r["start"] + r["count"] + width - 1]) for r in runs]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string()))], ["anchor", "heavy", "kind", "record", "owner", "start", "piece"])
+
+    pieces = stored(records.where("content is not null").join(wanted, ["kind", "record", "owner"]).select("kind", "record", "owner", "content", "runs").mapInArrow(cut, PIECE))
+    few, many = (pieces.where(F.col("heavy") == heavy).drop("heavy") for heavy in (False, True))
+    return _compare(few, width).union(_classes(many, width))
 
 
 def _whole_groups(rows: list[tuple], most: int = 400_000) -> Iterator[tuple[int, int]]:
@@ -312,3 +334,16 @@ def shared_characters(intervals: DataFrame) -> DataFrame:
     w = Window.partitionBy("kind", "record").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.coalesce(F.max("end").over(w), F.lit(0))
     return intervals.distinct().withColumn("fresh", F.greatest(F.col("end") - F.greatest(F.col("start"), reached), F.lit(0))).groupBy("kind", "record").agg(F.sum("fresh").alias("shared_chars"))
+
+
+def characters(records: DataFrame) -> DataFrame:
+    """(kind, record, n_chars): the length of each row's text; what isn't UTF-8 is decoded as the stretches are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(text_of(c)) for c in batch.column(2).to_pylist()], pa.int32())], ["kind", "record", "n_chars"])
+
+    content = F.col("content").cast("binary")
+    valid = F.is_valid_utf8(content.cast("string"))
+    plain = records.where("content is null").select("kind", "record", F.lit(None).cast("int").alias("n_chars")).union(records.where(valid).select("kind", "record", F.char_length(content.cast("string"))))
+    return plain.union(records.where(~valid).select("kind", "record", content.alias("content")).mapInArrow(run, "kind string, record long, n_chars int"))

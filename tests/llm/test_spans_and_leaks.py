@@ -44,11 +44,11 @@ def texts(seed, n=60):
     return [*rows, rows[0], rows[1], ("file", 500, None, rows[2][3]), ("file", None, 7, rows[2][3]), ("file", 501, 3, None), ("file", 502, 3, ""), ("file", 503, 3, "short"), ("file", 504, 99, rows[3][3][:40])]
 
 
-@pytest.mark.parametrize(("width", "limit", "bits"), [(40, 200, 26), (41, 1, 26), (40, 200, 4), (41, 1, 4)])
+@pytest.mark.parametrize(("width", "limit", "bits"), [(40, 200, 16), (41, 1, 16), (40, 200, 6), (41, 1, 6)])
 def test_same_as_brute_force(spark, width, limit, bits):
     rows = texts(width + limit)
     df = spark.createDataFrame(rows, RECORD).withColumn("start", F.lit(1)).withColumn("anchor", F.lit("x"))
-    got = shared_characters(shared_intervals(df, width, group_limit=limit, most_bits=bits))
+    got = shared_characters(shared_intervals(df, width, group_limit=limit, slot_bits=bits))
     assert {(r.kind, r.record): r.shared_chars for r in got.collect()} == brute(rows, width)
 
 
