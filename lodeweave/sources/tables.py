@@ -42,11 +42,12 @@ def shared_folder(spark: SparkSession) -> str:
     return conf
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as a Parquet table of its own in the shared folder, and read from there.
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` written as a Parquet table of its own in the shared folder, partitioned ``by``, and read from there.
 
-    Cuts the lineage as a checkpoint does; columns that a later step doesn't need are not read again.
+    Cuts the lineage as a checkpoint does; columns and partitions that a later step doesn't need are
+    not read again.
     """
     path = f"{shared_folder(df.sparkSession)}/lodeweave-{uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
