@@ -2,7 +2,7 @@
 
 Third-party code shows itself by place, by its own statement, and by standing in several
 repositories: every directory gets a Merkle hash, made bottom-up from the names and hashes of what it
-holds, and a directory whose hash occurs in more than one repository is a copy. Headers, names and the
+holds, and a directory whose hash occurs in unrelated repositories is a copy. Headers, names and the
 layout of the text tell the rest.
 """
 
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..sources.tables import shared_folder, spread
+from ..sources.tables import spread, stored
 from .shared_spans import text_of
 
 #: A copied directory has at least so many characters and files of this size; less is boilerplate.
@@ -110,35 +110,43 @@ def classify(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], batch.column(7), pa.array(reasons, pa.string())], ["file_id", "repo", "rel_path", "size", "h1", "h2", "scanned_at", "reason"])
 
     content = F.col("content").cast("binary")
-    rows = df.select("file_id", "repo", "rel_path", F.octet_length(content).cast("long").alias("size"), F.xxhash64(content).alias("h1"), F.xxhash64(F.lit("second"), content).alias("h2"), content.alias("content"), F.col("scanned_at").cast("string").alias("scanned_at"))
-    return rows.mapInArrow(run, "file_id long, repo string, rel_path string, size long, h1 long, h2 long, scanned_at string, reason string")
+    known = lambda h: F.when(content.isNotNull(), h)
+    rows = df.select("file_id", "repo", "rel_path", F.octet_length(content).cast("long").alias("size"), known(F.xxhash64(content)).alias("h1"), known(F.xxhash64(F.lit("second"), content)).alias("h2"), content.alias("content"), F.col("scanned_at").cast("string").alias("scanned_at"))
+    return spread(rows).mapInArrow(run, "file_id long, repo string, rel_path string, size long, h1 long, h2 long, scanned_at string, reason string")
 
 
 def copied_directories(files: DataFrame) -> DataFrame:
-    """(repo, dir): directories whose Merkle hash occurs in more than one repository.
+    """(repo, dir): directories whose Merkle hash occurs in unrelated repositories.
 
     ``files`` (repo, rel_path, size, h1, h2), one row for each path. A directory's hash is a sum over
     its entries of the hash of name and content, so that it is aggregated before the shuffle however
-    many entries there are. Levels are done one after the other from the deepest, each materialised.
+    many entries there are. Entries are written once, by level; levels are then done one after the other
+    from the deepest, each materialised, up to the root. Repositories that have one root hash are copies
+    of each other as a whole and related; what only they share is no third party's.
     """
     parts = F.split("rel_path", "/")
-    entries = files.where("repo is not null and rel_path is not null and h1 is not null").select("repo", F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("dir"), (F.size(parts) - 1).alias("level"), F.element_at(parts, -1).alias("name"), "h1", "h2", "size", F.greatest("size", F.lit(0)).alias("largest"))
+    entries = files.where("repo is not null and rel_path is not null and h1 is not null").select("repo", F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("dir"), F.element_at(parts, -1).alias("name"), "h1", "h2", "size", F.greatest("size", F.lit(0)).alias("largest"), (F.size(parts) - 1).alias("level"))
+    entries = stored(entries, "level")
     deepest = entries.agg(F.max("level")).first()[0] or 0
-    done, above = None, None
-    for level in range(deepest, 0, -1):
-        here = entries.where(F.col("level") == level)
+    trees, done, above = None, None, None
+    for level in range(deepest, -1, -1):
+        here = entries.where(F.col("level") == level).drop("level")
         if above is not None:
             here = here.unionByName(above)
-        trees = here.groupBy("repo", "dir").agg(
-            F.expr("bit_xor(xxhash64(name, h1, h2))").alias("x"), F.expr("bit_xor(xxhash64(h2, name, h1, 'second'))").alias("y"), F.count("*").alias("n"), F.sum("size").alias("size"), F.max("largest").alias("largest")
-        ).select("repo", "dir", F.xxhash64("x", "n", "y").alias("h1"), F.xxhash64("y", "n", "x").alias("h2"), "size", "largest").checkpoint()
-        done = trees if done is None else done.union(trees)
-        split = F.split("dir", "/")
-        above = trees.select("repo", F.array_join(F.slice(split, 1, F.size(split) - 1), "/").alias("dir"), F.lit(level - 1).alias("level"), F.element_at(split, -1).alias("name"), "h1", "h2", "size", "largest")
+        trees = stored(
+            here.groupBy("repo", "dir").agg(
+                F.expr("bit_xor(xxhash64(name, h1, h2))").alias("x"), F.expr("bit_xor(xxhash64(h2, name, h1, 'second'))").alias("y"), F.count("*").alias("n"), F.sum("size").alias("size"), F.max("largest").alias("largest")
+            ).select("repo", "dir", F.xxhash64("x", "n", "y").alias("h1"), F.xxhash64("y", "n", "x").alias("h2"), "size", "largest")
+        )
+        if level:
+            done = trees if done is None else done.union(trees)
+            split = F.split("dir", "/")
+            above = trees.select("repo", F.array_join(F.slice(split, 1, F.size(split) - 1), "/").alias("dir"), F.element_at(split, -1).alias("name"), "h1", "h2", "size", "largest")
     if done is None:
         return entries.select("repo", "dir").limit(0)
+    family = trees.select("repo", F.xxhash64("h1", "h2").alias("family"))  # the roots
     large = done.where((F.col("size") >= LEAST_TREE) & (F.col("largest") >= LEAST_FILE))
-    copied = large.groupBy("h1", "h2").agg(F.min("repo").alias("a"), F.max("repo").alias("b")).where("a != b")
+    copied = large.join(family, "repo").groupBy("h1", "h2").agg(F.min("family").alias("a"), F.max("family").alias("b")).where("a != b")
     return large.join(copied, ["h1", "h2"], "left_semi").select("repo", "dir").distinct()
 
 
@@ -149,8 +157,7 @@ def foreign_files(df: DataFrame) -> DataFrame:
     each path; what is found holds for all scans below them. Null content or a null path is judged by
     the other alone; empty files are no cases unless their place is; repeated rows give one.
     """
-    shared_folder(df.sparkSession)
-    rows = classify(spread(df)).where("file_id is not null").checkpoint()
+    rows = stored(classify(df).where("file_id is not null"))
     latest = rows.groupBy("repo", "rel_path").agg(F.max(F.struct("scanned_at", "file_id", "size", "h1", "h2")).alias("l")).select("repo", "rel_path", "l.size", "l.h1", "l.h2")
     parts = F.split("rel_path", "/")
     below = rows.where("reason is null and rel_path is not null and size > 0").select("file_id", "repo", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("dir"))

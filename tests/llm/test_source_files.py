@@ -139,6 +139,21 @@ def test_deep_directories(spark):
     assert {tuple(r) for r in got.collect()} == {(r, "same" + "/d" * n) for r in ("r1", "r2") for n in range(67)}
 
 
+def test_hundred_levels(spark):
+    deep = "/".join(f"d{i}" for i in range(100))
+    rows = [(r, f"{deep}/x.py", 900, 1, 1) for r in ("r1", "r2")] + [("r1", "own.py", 900, 2, 2)]
+    got = copied_directories(spark.createDataFrame(rows, "repo string, rel_path string, size long, h1 long, h2 long"))
+    assert got.count() == 200
+
+
+def test_related_repositories(spark):
+    whole = [(r, f"lib/{f}.py", 900, ord(f), 7) for r in ("fork", "origin") for f in "ab"]
+    schema = "repo string, rel_path string, size long, h1 long, h2 long"
+    assert copied_directories(spark.createDataFrame(whole, schema)).count() == 0
+    third = [("third", f"deps/{f}.py", 900, ord(f), 7) for f in "ab"]
+    assert {tuple(r) for r in copied_directories(spark.createDataFrame(whole + third, schema)).collect()} == {("fork", "lib"), ("origin", "lib"), ("third", "deps")}
+
+
 def test_copied_directories(spark):
     def tree(repo, base, text):
         return [(repo, f"{base}/a/x.py", 400, hash(text), 1), (repo, f"{base}/a/y.py", 300, hash(text + "y"), 1), (repo, f"{base}/z.py", 300, hash(text + "z"), 1)]
