@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..sources.tables import spread
 from .rolling import U, mixed
 
-#: Rows of the sample on which the shards' tree is fitted, and of those that bound a search radius.
-SAMPLE_ROWS, RADIUS_ROWS = 20_000, 2_000
+#: Rows of the sample on which the shards' tree is fitted, at least and at most (80 MB), how many of them for each shard, and rows of those that bound a search radius.
+SAMPLE_ROWS, MOST_SAMPLE_ROWS, ROWS_A_SHARD, RADIUS_ROWS = 20_000, 200_000, 4, 2_000
 #: Vectors that a shard is meant to hold, and that a leaf of a shard's tree holds.
 SHARD_ROWS, LEAF_ROWS = 40_000, 128
 
@@ -163,8 +163,9 @@ def similar_vectors(
     several vectors is near to what any of them is near to. Of equal similarities the least id comes
     first. Ids with the very same vector are searched as one, so that a group of copies of any
     size costs k rows for each copy. ``asked``: which ids to search for, all if not given; all are
-    indexed. Only a sample of ``SAMPLE_ROWS`` vectors comes to the driver, and the tree fitted on it
-    (one vector for each two shards' border) is broadcast.
+    indexed. Only a sample comes to the driver, of ``ROWS_A_SHARD`` vectors for each shard within
+    ``SAMPLE_ROWS`` and ``MOST_SAMPLE_ROWS``, and the tree fitted on it (one vector for each two shards'
+    border) is broadcast. Beyond 2 billion vectors shards grow instead of their number.
     """
     spark = df.sparkSession
     everyone = asked is None
@@ -182,34 +183,26 @@ def similar_vectors(
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(h2.view(np.int64)), pa.array([raw[i : i + 4 * dim] for i in range(0, len(raw), 4 * dim)], pa.binary()), batch.column(0).take(at), batch.column(2).take(at)], ["h", "h2", "v", "id", "asked"])
 
     units = source.mapInArrow(unit_rows, "h long, h2 long, v binary, id string, asked boolean")
-    share = min(1.0, 1.3 * SAMPLE_ROWS / max(total, 1))
-    head = units.where(F.abs(F.col("h") % 1_000_000) < int(share * 1_000_000)).select("v").limit(SAMPLE_ROWS).toArrow().column(0)
+    shards = max(1, math.ceil(total / shard_rows), min(2 * spark.sparkContext.defaultParallelism, total // 2000))
+    most = min(MOST_SAMPLE_ROWS, max(SAMPLE_ROWS, ROWS_A_SHARD * shards))
+    share = min(1.0, 1.3 * most / max(total, 1))
+    head = units.where(F.abs(F.col("h") % 1_000_000_000) < int(share * 1_000_000_000)).select("v").limit(most).toArrow().column(0)
     sample = np.unique(np.frombuffer(b"".join(head.to_pylist()), "<f4").reshape(-1, dim), axis=0)
     sample = sample[np.argsort(mixed(sample.view("<u4")[:, 0]))] if len(sample) else np.zeros((0, dim), np.float32)
     widest = 2.0 if min_cosine is None else math.sqrt(2 - 2 * min_cosine)
     margin = factor * widest / (1 if min_cosine is not None else 10)
-    shards = max(1, math.ceil(total / shard_rows), min(2 * spark.sparkContext.defaultParallelism, total // 2000))
     top = spark.sparkContext.broadcast((Tree(sample, max(1, math.ceil(len(sample) / shards * 1.5)), margin), sample[:RADIUS_ROWS]))
 
-    # Copies of a vector become one row; its k + 1 least ids stand for them.
+    # Copies of a vector become one row; its k + 1 least ids stand for them. No task sends more than k + 2 of them.
 
     def within_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups: dict[tuple, dict] = {}
-            for h, h2, v, i, a in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = groups.setdefault((h, h2, v), {})
-                ids[i] = ids.get(i, False) or a
-            if groups:
-                keys = list(groups)
-                least = [sorted(g)[: k + 1] for g in groups.values()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in keys]), pa.array([x[1] for x in keys]), pa.array([x[2] for x in keys], pa.binary()), pa.array([[{"id": i, "asked": g[i]} for i in ids] for ids, g in zip(least, groups.values())], pa.list_(pa.struct([("id", pa.string()), ("asked", pa.bool_())]))), pa.array([len(g) for g in groups.values()], pa.int64())],
-                    ["h", "h2", "v", "ids", "n"],
-                )
-
-    batches = units.mapInArrow(within_batch, "h long, h2 long, v binary, ids array<struct<id:string,asked:boolean>>, n long")
-    classes = batches.groupBy("h", "h2").agg(F.first("v").alias("v"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"), F.sum("n").alias("n"))
-    classes = classes.select("h", "h2", "v", F.slice(F.array_sort("ids"), 1, k + 1).alias("ids"), "n")
+            seen = dict(zip(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4))), range(batch.num_rows)))
+            yield batch.take(pa.array(sorted(seen.values()), pa.int64()))
+
+    once = units.mapInArrow(within_batch, "h long, h2 long, v binary, id string, asked boolean")
+    least = once.withColumn("n", F.dense_rank().over(Window.partitionBy("h", "h2").orderBy("id"))).where(F.col("n") <= k + 2)
+    classes = least.groupBy("h", "h2").agg(F.first("v").alias("v"), F.array_sort(F.collect_set(F.when(F.col("n") <= k + 1, F.struct("id", "asked")))).alias("ids"), F.max("n").cast("long").alias("n"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, bound = top.value

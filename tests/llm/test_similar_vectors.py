@@ -67,3 +67,11 @@ def test_copies_ties_and_unusable_rows(spark):
     assert sorted(got["c000"]) == ["c001", "c002", "c003", "c004"]
     assert sorted(got["c030"]) == ["c000", "c001", "c002", "c003"]
     assert similar_vectors(spark.createDataFrame([], SCHEMA), dim=3).count() == 0
+
+
+def test_many_copies_of_one_vector(spark):
+    copies = spark.range(200_000).select(F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 7, "0")).alias("node_id"), F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)).cast("array<float>").alias("embedding"))
+    near = similar_vectors(copies.union(spark.createDataFrame([("other", [1.0, 2.0, 3.5])], SCHEMA)), k=3, factor=1.0, min_cosine=0.5, dim=3)
+    counts = near.groupBy("rank").count().collect()
+    assert {r["rank"]: r["count"] for r in counts} == {1: 200_001, 2: 200_001, 3: 200_001}
+    assert "WindowGroupLimit" in near._jdf.queryExecution().toString()
