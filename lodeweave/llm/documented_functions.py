@@ -1,9 +1,10 @@
 """Functions and methods paired with their documentation.
 
-Comment and string spans and declaration spans are taken from the sources independently, as positions
-in one long axis per batch. An as-of join then gives each declaration its nearest comment: the last
-one that ends before it, or, in Python, the first string that starts after its signature. The pair is
-rejected if a statement stands between them or if the comment belongs to another record.
+Comment and string spans and declaration spans are taken from the sources independently, each by its
+own pattern, as positions in one long axis per batch. An as-of join then gives each declaration its
+nearest comment: the last one that ends before it, or, in Python, the first string that starts after its
+signature. The pair is rejected if a statement stands between them or if the comment belongs to
+another record.
 """
 
 from __future__ import annotations
@@ -15,11 +16,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.tables import spread
+
 # How comments, strings and declarations are written.
 _C_SPANS = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?", re.S)
 _PY_SPANS = re.compile(r"#[^\n]*|(?<![\w])[A-Za-z]{0,2}(?:\"\"\"(?:\\.|[^\\])*?(?:\"\"\"|\Z)|'''(?:\\.|[^\\])*?(?:'''|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?)", re.S)
 _PY_DEF = re.compile(r"^[ \t]*(?:async[ \t]+)?def\b", re.M)
 _PY_SIGNATURE = re.compile(r"[()\[\]{}:]")
+_GO_DEF = re.compile(r"^[ \t]*func\b", re.M)
+_SCRIPT_DEF = re.compile(
+    r"^[ \t]*(?:@[\w$.]+(?:\([^()\n]*\))?[ \t]+)*"
+    r"(?:(?:(?:export|default|declare|async)[ \t]+)*function\b|(?:(?:export|declare)[ \t]+)*(?:const|let|var)[ \t]+[\w$]+[^=;\n]*=\s*(?:async\b\s*)?(?:function\b|\(|<|[\w$]+\s*=>)"
+    r"|(?:(?:public|private|protected|static|abstract|override|readonly|declare|async|get|set|accessor)[ \t]+)*\*?[ \t]*(?:\#?[A-Za-z_$][\w$]*|\[[^\]\n]*\]|\"[^\"\n]*\"|'[^'\n]*'|\d+)[?!]?\s*"
+    r"(?:(?P<open>\()|<[^()=;{}]*>\s*(?P<generic>\()|(?::[^=;\n]*)?=\s*(?:async\b\s*)?(?:function\b|\(|<|[\w$]+\s*=>)))",
+    re.M,
+)
+_STATEMENT = re.compile(r"[ \t]*(?:if|for|while|switch|catch|with|return|throw|new|await|typeof|else|do|try|case|yield|void|delete|super|import)\b")
+_BRACKET = re.compile(r"[()\[\]{}]")
 _DECORATOR = re.compile(r"@[\w$.]+(?:\s*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))?")
 _AFTER_DOC = re.compile(r"[ \t]*(?:[\r\n;#]|\Z|\\\r?\n)")
 
@@ -120,10 +133,46 @@ def _python_signature(text: str, spans: list[tuple[int, int]]) -> tuple[int, int
     return None
 
 
-def attach(texts: list[str], python: list[bool]) -> list[str | None]:
+def _outside(text: str, pattern: re.Pattern, spans: list[tuple[int, int]], at: int = 0) -> Iterator[re.Match]:
+    """Matches of a pattern that don't begin in a comment or string."""
+    inside = iter([*spans, (len(text) + 1, len(text) + 1)])
+    a, b = next(inside)
+    for m in pattern.finditer(text, at):
+        place = m.end() - len(m[0].lstrip())
+        while place >= b:
+            a, b = next(inside)
+        if not a <= place < b:
+            yield m
+
+
+def _script_declaration(text: str, spans: list[tuple[int, int]]) -> int | None:
+    """Where the first function or method of a TypeScript or JavaScript text starts."""
+    for m in _outside(text, _SCRIPT_DEF, spans):
+        start = m.end() - len(m[0].lstrip())
+        if m["open"] or m["generic"]:
+            if _STATEMENT.match(text, start):
+                continue
+            depth, end = 0, len(text)
+            for c in _outside(text, _BRACKET, spans, m.end() - 1):
+                depth += 1 if c[0] in "([{" else -1
+                if depth == 0:
+                    end = c.end()
+                    break
+            after = text[end:].lstrip()
+            if after and after[0] not in "{:" and not re.match(r"[ \t]*(?:public|private|protected|static|abstract|override|declare|async|get|set)[ \t]", text[start - 1 if start else 0 :]):
+                continue  # a call
+        while text[start] == "@":  # decorators on the line of the declaration
+            start = _DECORATOR.match(text, start).end()
+            start += len(text[start:]) - len(text[start:].lstrip())
+        return start
+    return None
+
+
+def attach(texts: list[str], languages: list[str]) -> list[str | None]:
     """The documentation of the declaration in each text, by as-of joins over all spans of the batch."""
     notes, strings, functions = _Spans(), _Spans(), []
     base, blanks = 0, []
+    python = [language == "python" for language in languages]
     for i, (text, py) in enumerate(zip(texts, python)):
         found = [m.span() for m in (_PY_SPANS if py else _C_SPANS).finditer(text)]
         for a, b in found:
@@ -135,19 +184,12 @@ def attach(texts: list[str], python: list[bool]) -> list[str | None]:
             if signature := _python_signature(text, found):
                 functions.append((i, base + signature[0], base + signature[1]))
         else:
-            at = 0
-            for a, b in [*found, (len(text), len(text))]:
-                rest = text[at:a]
-                bare = _DECORATOR.sub(lambda m: " " * len(m[0]), rest) if "@" in rest else rest
-                if bare.strip():
-                    start = at + len(bare) - len(bare.lstrip())
-                    functions.append((i, base + start, base + start))
-                    break
-                if a < len(text) and text[a] != "/":
-                    if not text[:a].rstrip().endswith("("):  # a string that is no decorator's argument
-                        functions.append((i, base + a, base + a))
-                    break
-                at = b
+            if languages[i] == "go":
+                start = next((m.end() - 4 for m in _outside(text, _GO_DEF, found)), None)
+            else:
+                start = _script_declaration(text, found)
+            if start is not None:
+                functions.append((i, base + start, base + start))
         blanks.append(base)
         base += len(text) + 1
     out: list[str | None] = [None] * len(texts)
@@ -192,14 +234,15 @@ def documented_functions(symbols: DataFrame, least_words: int = 5) -> DataFrame:
     Not counted: the symbol's own name (also in separate words), its parameters, tags and what is said
     for them, to-do lines, directives for tools, rulers and code. Needs the columns symbol_id,
     file_path, name, kind, content and signature; others are left out. Null content has no
-    description; a null name or signature just can't be discounted; repeated rows give one.
+    description; a null name or signature just can't be discounted; of several rows of one symbol_id the
+    least pair stands.
     """
     source = symbols.where("kind in ('function', 'method') and content is not null and symbol_id is not null").select("symbol_id", "file_path", "name", "signature", F.col("content").cast("string").alias("content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, paths, names, signatures, contents = (c.to_pylist() for c in batch.columns)
-            docs = attach(contents, [(p or "").endswith((".py", ".pyi")) for p in paths])
+            docs = attach(contents, ["python" if p.endswith((".py", ".pyi")) else "go" if p.endswith(".go") else "script" for p in ((p or "").lower() for p in paths)])
             keep, described, counts = [], [], []
             for i, (doc, name, signature) in enumerate(zip(docs, names, signatures)):
                 if doc:
@@ -211,4 +254,6 @@ def documented_functions(symbols: DataFrame, least_words: int = 5) -> DataFrame:
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), batch.column(3).take(at), batch.column(4).take(at), pa.array(described, pa.string()), pa.array(counts, pa.int32())], ["symbol_id", "name", "signature", "code", "description", "words"])
 
-    return source.mapInArrow(run, "symbol_id long, name string, signature string, code string, description string, words int")
+    pairs = spread(source).mapInArrow(run, "symbol_id long, name string, signature string, code string, description string, words int")
+    rest = F.struct("name", "signature", "code", "description", "words")
+    return pairs.groupBy("symbol_id").agg(F.min(rest).alias("pair")).select("symbol_id", "pair.*")

@@ -81,7 +81,7 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
 
 def p4_pairs(spark: SparkSession, base: str) -> DataFrame:
     """(name, signature, code) and description of every such function."""
-    return documented_functions(spread(table(spark, base, "symbols")))
+    return documented_functions(table(spark, base, "symbols"))
 
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:

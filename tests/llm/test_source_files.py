@@ -176,16 +176,16 @@ def test_foreign_operator(spark):
     [
         ("def f(a: str = ')'):\n    \"\"\"Says what.\"\"\"\n    return 1", True, "Says what."), ("@d('x')\nasync def f(\n    a,\n):\n    # note\n    r'''Raw.'''\n", True, "Raw."), ("# above\ndef f():\n    return 'x'", True, None), ("def f():\n    x = '''no'''", True, None), ("def f():\n    '''a'''.strip()", True, None),
         ("def f():\n    def g():\n        '''inner'''", True, None), ("def f(): 'one line'", True, "one line"), ("def f():\n    f'''no {x}'''", True, None), ("// One.\n// Two.\nfunc f() {}", False, "One.\n Two."), ("/** Doc. */\n@dec({ a: 1 })\nexport function f() {}", False, "Doc. "), ("func f() {\n\t// inside\n}", False, None),
-        ("// Far.\n\nfunc f() {}", False, None), ("// Other.\nx()\nfunc f() {}", False, "Other."), ("", False, None), ("", True, None), ("x = 1", True, None),
+        ("// Far.\n\nfunc f() {}", False, None), ("// Other.\nx()\nfunc f() {}", False, None), ("", False, None), ("", True, None), ("x = 1", True, None),
     ],
 )
 def test_attach(text, python, doc):
-    (got,) = attach([text], [python])
+    (got,) = attach([text], ["python" if python else "go" if "func " in text else "script"])
     assert (got and got.strip()) == (doc and doc.strip())
 
 
 def test_attach_keeps_records_apart():
-    assert attach(["// Doc of another.", "func f() {}"], [False, False]) == [None, None]
+    assert attach(["// Doc of another.", "func f() {}"], ["go", "go"]) == [None, None]
 
 
 @pytest.mark.parametrize(
@@ -207,3 +207,34 @@ def test_documented_operator(spark):
     assert {r.symbol_id for r in got.collect()} == {1, 3, 6, 7}
     assert got.where("symbol_id = 1").first().description == "Returns the greatest of all the given values."
     assert documented_functions(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("language", "code"), [
+    ("script", "// Says what the function does.\nconst limit = 1;\nfunction foo() {}"),
+    ("script", "/* Says what the method does. */\nfield = 2;\n  async run(a) {\n  }"),
+    ("script", "// Says what the function does.\nfoo(1);\nexport const bar = (x) => x;"),
+    ("go", "// Foo says what the function does.\nvar limit = 1\nfunc Foo() {}"),
+    ("python", 'def foo():\n    x = 1\n    """Says what the function does."""\n'),
+])
+def test_statement_between_rejects(language, code):
+    assert attach([code], [language]) == [None]
+
+
+@pytest.mark.parametrize(("language", "code"), [
+    ("script", "// Says what it does.\n@route('/a')\n@log()\nexport async function foo() {}"),
+    ("script", "// Says what it does.\n  static async *run<T>(a: T): Promise<T> {\n  }"),
+    ("script", "// Says what it does.\nexport const bar = async (x) => x;"),
+    ("script", "// Says what it does.\n  @memo() get size() { return 1; }"),
+    ("script", "const limit = 1;\n// Says what it does.\nfunction foo() {}"),
+    ("go", "var limit = 1\n// Says what it does.\nfunc (s *Set[T]) Foo() {}"),
+    ("python", 'def foo(\n    a,\n):\n    """Says what it does."""\n'),
+])
+def test_nearest_comment_is_attached(language, code):
+    assert [d.strip() for d in attach([code], [language])] == ["Says what it does."]
+
+
+def test_one_pair_for_each_symbol(spark):
+    row = (1, "r/a.py", "foo", "function", 'def foo():\n    """Collects all open orders of one customer."""\n', None)
+    other = (1, "r/a.py", "foo", "function", 'def foo():\n    """Gathers all open orders of one customer."""\n', None)
+    df = spark.createDataFrame([row, row, other], "symbol_id long, file_path string, name string, kind string, content string, signature string").withColumn("description", F.lit(1))
+    assert [r.description for r in documented_functions(df).collect()] == ["Collects all open orders of one customer."]
