@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..sources.tables import spread
 
-# How comments, strings and declarations are written.
+# How comments, strings and declarations are written; a text of another extension is read as Go, else as a script.
+_LANGUAGES = {"py": "python", "pyi": "python", "go": "go", **dict.fromkeys(("ts", "tsx", "js", "jsx", "mjs", "cjs"), "script")}
 _C_SPANS = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?", re.S)
 _PY_SPANS = re.compile(r"#[^\n]*|(?<![\w])[A-Za-z]{0,2}(?:\"\"\"(?:\\.|[^\\])*?(?:\"\"\"|\Z)|'''(?:\\.|[^\\])*?(?:'''|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?)", re.S)
 _PY_DEF = re.compile(r"^[ \t]*(?:async[ \t]+)?def\b", re.M)
@@ -184,9 +185,8 @@ def attach(texts: list[str], languages: list[str]) -> list[str | None]:
             if signature := _python_signature(text, found):
                 functions.append((i, base + signature[0], base + signature[1]))
         else:
-            if languages[i] == "go":
-                start = next((m.end() - 4 for m in _outside(text, _GO_DEF, found)), None)
-            else:
+            start = None if languages[i] == "script" else next((m.end() - 4 for m in _outside(text, _GO_DEF, found)), None)
+            if start is None and languages[i] != "go":
                 start = _script_declaration(text, found)
             if start is not None:
                 functions.append((i, base + start, base + start))
@@ -242,7 +242,7 @@ def documented_functions(symbols: DataFrame, least_words: int = 5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, paths, names, signatures, contents = (c.to_pylist() for c in batch.columns)
-            docs = attach(contents, ["python" if p.endswith((".py", ".pyi")) else "go" if p.endswith(".go") else "script" for p in ((p or "").lower() for p in paths)])
+            docs = attach(contents, [_LANGUAGES.get((p or "").rpartition(".")[2].lower(), "") for p in paths])
             keep, described, counts = [], [], []
             for i, (doc, name, signature) in enumerate(zip(docs, names, signatures)):
                 if doc:
