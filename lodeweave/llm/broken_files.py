@@ -8,21 +8,22 @@ furthest position of failure is worked out, and whether an unresolved merge is t
 
 from __future__ import annotations
 
-import ast
 import re
-import warnings
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import grammars as g
+from ..functions.paths import extension as extension_of
 from ..sources.tables import spread
-from .peg import Grammar
+from .peg import GROUP, GROUP_SIZE, MARK, Grammar
 from .shared_spans import text_of
 
 #: Tokens whose kinds a task remembers.
 TOKENS = 300_000
+#: The character of the first indent of Python's lines, and how many are kept from one text to the next; a text may have 800,000.
+INDENT, MOST_INDENTS = 0x20000, 10_000
 _CONFLICT = re.compile(r"^[ \t]*(?:(?:<{7}|>{7}|\|{7})(?: |$)|={7}$)", re.M)
 _OPEN = {"(": ("paren", ")"), "[": ("brack", "]"), "{": ("brace", "}"), "\x05": ("subst", "\x06")}
 _INNER = re.compile(r"\(([^()\[\]{}\x05\x06]*)\)|\[([^()\[\]{}\x05\x06]*)\]|\{([^()\[\]{}\x05\x06]*)\}|\x05([^()\[\]{}\x05\x06]*)\x06")
@@ -90,9 +91,12 @@ class Checker:
         if (out := self.groups.get(key)) is None:
             if len(self.groups) > TOKENS:
                 self.groups.clear()
-            out = self.groups[key] = self.grammar.group(bracket, content) or g.ERROR
+            out = self.groups[key] = self.marked(content, self.grammar.group(bracket, content)) or g.ERROR
         return out
 
+    def marked(self, content: str, group: str) -> str:
+        return group
+
     def reduced(self, shape: str) -> str:
         """The shape with every bracket group replaced, from the inside."""
 
@@ -154,12 +158,14 @@ class Python(Checker):
         if token[0] == "\n":
             blank = token[token.rfind("\n") + 1 :]
             if blank not in self.indents:
-                mark = self.indents[blank] = chr(0x3000 + len(self.indents) % 0x4000)
+                if len(self.indents) > 850_000:
+                    return g.ERROR
+                mark = self.indents[blank] = chr(INDENT + len(self.indents))
                 self.widths[mark] = (len(blank.expandtabs(8)), len(blank.expandtabs(1)))
             return "\n" + self.indents[blank]
         if token[-1] in "\"'" and len(token) > 1:
             return g.STRING
-        if token[0].isalpha() or token[0] == "_":
+        if token.isidentifier():
             return g.NUMBER if token in ("None", "True", "False") else g.NAME
         return g.NUMBER if len(token) > 1 and (token[0].isdigit() or token[0] == ".") or token.isdigit() else g.ERROR
 
@@ -182,7 +188,83 @@ class Python(Checker):
             self.lines[body] = out
         return out
 
+    _string = re.compile(r"#[^\n]*|([A-Za-z]{0,2})(\"\"\"|'''|\"|')", re.S)
+
+    @classmethod
+    def flat(cls, text: str) -> str:
+        """The text with formatted strings, whatever nests in them, as plain ones of the same length."""
+        parts, at, i = [], 0, 0
+        while m := cls._string.search(text, i):
+            i = m.end()
+            if m[2] is None or i > 1 and m.start() and text[m.start() - 1].isalnum():
+                continue
+            end = cls._end(text, i, m[2], bool(set(m[1]) & set("fFtT")))
+            if end < 0:
+                break
+            if set(m[1]) & set("fFtT"):
+                parts += [text[at:i], "x" * (end - i - len(m[2])), m[2]]
+                at = end
+            i = end
+        return "".join([*parts, text[at:]])
+
+    @classmethod
+    def _end(cls, text: str, i: int, quote: str, formatted: bool) -> int:
+        """The place after a string whose content begins at ``i``, or -1. ``stack``: quotes of strings and brackets of expressions that are open."""
+        stack = [quote] if formatted else [quote + "."]
+        while i < len(text) and stack:
+            top, c = stack[-1], text[i]
+            if top[0] in "\"'":  # in a string; a plain one ends with a dot
+                mark = top.removesuffix(".")
+                if text.startswith(mark, i):
+                    stack.pop()
+                    i += len(mark)
+                elif c == "\n" and len(mark) == 1:
+                    return -1
+                elif c == "{" and top == mark and text[i + 1 : i + 2] != "{":
+                    stack.append("{")
+                    i += 1
+                else:
+                    i += 2 if c == "\\" or c == "{" and top == mark else 1
+            elif top == ":":  # in the format of an expression
+                if c == "{":
+                    stack.append("{")
+                elif c == "}":
+                    del stack[-2:]
+                i += 1
+            elif c in "([{":
+                stack.append(c)
+                i += 1
+            elif c in ")]}":
+                stack.pop()
+                i += 1
+            elif c == ":" and top == "{" and stack[-2][0] in "\"':":
+                stack.append(":")
+                i += 1
+            elif c in "\"'":
+                mark = text[i : i + 3] if text[i : i + 3] in ('"""', "'''") else c
+                prefix = re.search(r"[A-Za-z]{0,2}\Z", text[max(0, i - 2) : i])[0]
+                stack.append(mark if set(prefix) & set("fFtT") else mark + ".")
+                i += len(mark)
+            else:
+                i += 1
+        return -1 if stack else i
+
+    def _begin(self) -> None:
+        """Marks of indents hold within a text; they are given anew before there are too many."""
+        if len(self.indents) > MOST_INDENTS:
+            self.indents.clear()
+            self.widths.clear()
+            self.kinds.clear()
+            self.kinds.update(self.kinds.fixed)
+
     def accepts(self, text: str) -> bool:
+        if self._accepts(text):
+            return True
+        flat = self.flat(text)  # quotes within quotes are rare; only what fails is read so
+        return flat != text and self._accepts(flat)
+
+    def _accepts(self, text: str) -> bool:
+        self._begin()
         shape = self.reduced(self.shape("\n" + text))
         return not _LEFT.search(shape) and self.nested(shape.split("\n")[1:]) is None
 
@@ -228,7 +310,7 @@ class Python(Checker):
         return None if not block or self.blocks.matches("Block", block) else number
 
     def failure(self, text: str) -> int:
-        return max(super().failure("\n" + text) - 1, 0)
+        return max(super().failure("\n" + self.flat(text)) - 1, 0)
 
     def at_root(self, items: list[tuple[str, int]], text: str) -> int:
         lines: list[list[tuple[str, int]]] = []
@@ -293,7 +375,8 @@ class Script(Checker):
 
     lex, root = g.JS_LEX, "Program"
     _starts = "".join(g.JS_TOKENS[w] for w in "var let const if for while function return switch try throw !".split()) + g.NAME
-    _cut = re.compile("(?<=[;\n])(?=[^\n])|(?<=[%s-%s])(?=[%s])" % (chr(0xE000 + 2048), chr(0xE000 + 3071), re.escape(_starts)))
+    _brace = "%s-%s" % (chr(GROUP + 2 * GROUP_SIZE), chr(GROUP + 3 * GROUP_SIZE - 1))
+    _cut = re.compile("(?<=[;\n])(?=[^\n])|(?<=[%s])(?=[%s])" % (_brace, re.escape(_starts)))
     units = {"Block": (_cut, "n;"), "Program": (_cut, "n;"), "ClassBody": (re.compile("(?<=[;\n])(?=[^\n])"), ""), "Space2": (_cut, "n;")}
     _substitution = re.compile(r"\$\{([^{}`]*)\}")
     _simple_template = re.compile(r"`(?:[^`\\$]|\\.|\$(?!\{)|\$\{[^{}`]*\})*`", re.S)
@@ -301,6 +384,15 @@ class Script(Checker):
     _special = re.compile(r"`|(?:[=(,:;!&|?{}\[+\-*%~^<>\n]|\breturn|\btypeof|\bcase)[ \t]*/(?![/*=])|(?:[=(,:?&|>{}\[]|\breturn|\bdefault)\s*<[A-Za-z>]")
     _operand = set(")]}") | {g.NAME, g.NUMBER, g.STRING, "t", "r", "\x03", "\x04", "\x06"} | set(g.JS_CLASSES["NAMES"] + g.JS_CLASSES["ATOM"])
 
+    _return = g.JS_TOKENS["return"]
+    #: A marked block that belongs to a statement, not to a function.
+    _of_statement = re.compile(
+        "(?:^|[;:%s]|[%s]\n*[%s-%s])\n*[%s]"
+        % ("".join(g.JS_TOKENS[w] for w in "else try finally do catch".split()), "".join(g.JS_TOKENS[w] for w in "if for while switch catch await".split()), chr(GROUP), chr(GROUP + GROUP_SIZE - 1),
+           "".join("%s-%s" % (chr(GROUP + 2 * GROUP_SIZE + k), chr(GROUP + 2 * GROUP_SIZE + k + MARK - 1)) for k in (MARK,)))
+    )
+    _jump = re.compile("(?:^|;)\n*[%s]" % (g.JS_TOKENS["break"] + g.JS_TOKENS["continue"]))
+
     def __init__(self, typed: bool, markup: bool) -> None:
         self.markup = markup
         super().__init__(g.typescript() if typed else g.javascript(), {**g.JS_TOKENS, "": ""})
@@ -320,6 +412,24 @@ class Script(Checker):
     def tidy(self, bracket: str, content: str) -> str:
         return content.replace("\n", "") if bracket in ("paren", "brack") else content
 
+    def marked(self, content: str, group: str) -> str:
+        """Marks a group with a ``return`` that no function in it encloses."""
+        return chr(ord(group) | MARK) if group and self._free_return(content) else group
+
+    def _free_return(self, content: str) -> bool:
+        return self._return in content or self._of_statement.search(content) is not None
+
+    def accepts(self, text: str) -> bool:
+        shape = self.reduced(self.shape(text))
+        return not _LEFT.search(shape) and not self._free_return(shape) and not self._jump.search(shape) and self.whole(self.root, shape)
+
+    def at_root(self, items: list[tuple[str, int]], text: str) -> int:
+        shape = "".join(k for k, _ in items)
+        if self.grammar.furthest(self.root, shape) is None:  # only a return, break or continue stands wrong
+            places = [m.end() - 1 for m in (self._of_statement.search(shape), self._jump.search(shape)) if m] + [shape.find(self._return)] * (self._return in shape)
+            return items[min(places)][1] if places else len(text)
+        return super().at_root(items, text)
+
     def shape(self, text: str) -> str:
         text = self._head(text)
         if self._special.search(text):
@@ -483,14 +593,6 @@ def verdict(checker: Checker, language: str, content: bytes) -> tuple[int, str]
     text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
     if not odd and "\0" not in text and checker.accepts(text):
         return None
-    if language == "python":  # an exact check of what the grammar rejects
-        try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(content)
-            return None
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            pass
     if "\0" in text:
         return text.index("\0"), "null character"
     if odd:
@@ -518,21 +620,19 @@ def broken_files(files: DataFrame, file_types: DataFrame) -> DataFrame:
     """(file_id, repo, language, broken, position, cause): a verdict on every file of a known extension.
 
     ``position`` is the furthest one at which the grammar failed, in characters. The extension decides
-    the language, by ``file_types`` (extension, language), a small fixed table. Null content is no
+    the language, by ``file_types`` (extension, language), which is joined. Null content is no
     case; an empty text is right in Python, TypeScript and JavaScript and broken in Go, which asks for a
     package clause; repeated rows stay repeated.
     """
-    languages = {r.extension.lower(): r.language.lower() for r in file_types.where("extension is not null and language is not null").limit(1000).collect()}
+    languages = file_types.where("extension is not null and language is not null").groupBy(F.lower("extension").alias("_extension")).agg(F.lower(F.min("language")).alias("_language"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not _CHECKERS:
             _CHECKERS.append(Checkers())
         for batch in batches:
             at, known, broken, positions, causes = [], [], [], [], []
-            for i, (path, content) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                extension = "." + (path or "").rpartition("/")[2].rpartition(".")[2].lower()
-                language = languages.get(extension)
-                checker = _CHECKERS[0].of(language, extension) if language else None
+            for i, (extension, language, content) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))):
+                checker = _CHECKERS[0].of(language, extension)
                 if checker is None:
                     continue
                 found = verdict(checker, language, content) if content is not None else None
@@ -544,7 +644,8 @@ def broken_files(files: DataFrame, file_types: DataFrame) -> DataFrame:
             rows = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(known, pa.string()), pa.array(broken, pa.bool_()), pa.array(positions, pa.int32()), pa.array(causes, pa.string())], ["file_id", "repo", "language", "broken", "position", "cause"])
 
-    rows = spread(files).select("file_id", "repo", "rel_path", F.col("content").cast("binary"))
+    rows = spread(files.select("file_id", "repo", extension_of(F.col("rel_path")).alias("_extension"), F.col("content").cast("binary").alias("_content")))
+    rows = rows.join(languages, "_extension").select("file_id", "repo", "_extension", "_language", "_content")
     return rows.mapInArrow(run, "file_id long, repo string, language string, broken boolean, position int, cause string")
 
 

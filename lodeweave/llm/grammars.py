@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from .peg import Grammar
+from .peg import GROUP, GROUP_SIZE, Grammar
 
 ERROR = "\x01"
 NAME, NUMBER, STRING = "n", "0", "s"
@@ -23,11 +23,13 @@ def _alphabet(words: list[str], start: int = 0x100) -> dict[str, str]:
 _PY_WORDS = "and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield match case type".split()
 _PY_OPS = "-> := ... ** // << >> <= >= == != += -= *= /= %= &= |= ^= @= **= //= <<= >>= + - * / % @ & | ^ ~ < > = , : . ;".split()
 PY_TOKENS = _alphabet(_PY_WORDS + _PY_OPS) | {b: b for b in "()[]{}"}
+#: What a name may go on with besides word characters: combining marks and a few others.
+_MARKS = "".join(c for c in map(chr, range(0x80, 0x20000)) if ("a" + c).isidentifier() and not re.match(r"\w", c))
 PY_LEX = re.compile(
     r"(?:[ \t\f]+|\\\n|\#[^\n]*)*("
-    r"\n(?:[ \t\f]*(?:\#[^\n]*)?\n)*[ \t\f]*|[^\W\d]\w*(?![\w\"'])"
+    r"\n(?:[ \t\f]*(?:\#[^\n]*)?\n)*[ \t\f]*|(?:[^\W\d]|[℘℮])[\w" + _MARKS + r"]*(?![\w\"'])"
     r"|(?:[rRbBuUfFtT]{0,2})(?:\"\"\"(?:[^\\\"]|\\.|\"(?!\"\"))*\"\"\"|'''(?:[^\\']|\\.|'(?!''))*'''|\"(?!\"\")(?:[^\\\"\n]|\\.)*\"|'(?!'')(?:[^\\'\n]|\\.)*')"
-    r"|[^\W\d]\w*"
+    r"|(?:[^\W\d]|[℘℮])[\w" + _MARKS + r"]*"
     r"|(?:0[xX](?:_?[0-9a-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:(?:\d(?:_?\d)*)?\.\d(?:_?\d)*|\d(?:_?\d)*\.)(?:[eE][-+]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*[eE][-+]?\d(?:_?\d)*[jJ]?|\d(?:_?\d)*[jJ]|0(?:_?0)*(?!\d)|[1-9](?:_?\d)*)(?!\w)"
     r"|\*\*=|//=|<<=|>>=|\.\.\.|->|:=|\*\*|//|<<|>>|[<>=!+\-*/%&|^@]=|[-+*/%@&|^~<>=,:.;()\[\]{}]|\Z|.)",
     re.S,
@@ -205,7 +207,10 @@ Clause <- NAMES (',' (Space / brace:Specs))? / Space / brace:Specs
 Space <- '*' 'as' NAMES
 Specs <- (Spec (',' Spec)* ','?)? END
 Spec <- 'type' !(',' / END) !('as' (',' / END)) (WORDS / STRING) ('as' (WORDS / STRING))? / (WORDS / STRING) ('as' (WORDS / STRING))?
-Export <- 'export' ('default' (Function / Class / 'abstract' Class / Typed / !('function' / 'class') Assign Eos) / 'type'? '*' ('as' (WORDS / STRING))? 'from' STRING Eos / 'type'? brace:Specs ('from' STRING)? Eos / Variables Eos / Function / Class / Typed / Assignment)
+Export <- Decorator+ 'export' ('default' Abstract? DefaultClass / Abstract? Class) / 'export' ('default' (Function / Class / DefaultFunction / Abstract? DefaultClass / Typed / !('function' / 'class') Assign Eos) / 'type'? '*' ('as' (WORDS / STRING))? 'from' STRING Eos / 'type'? brace:Specs ('from' STRING)? Eos / Variables Eos / Function / Class / Typed / Assignment)
+DefaultFunction <- 'async'? 'function' '*'? TypeParams? paren:Params Annotation? (brace:Block / Bodiless)
+DefaultClass <- Decorator* 'class' (NAMES TypeParams? Heritage brace:ClassBody / TypeParams? Heritage brace:ClassBody)
+Abstract <- %TS 'abstract'
 Assignment <- %TS ('=' Expr Eos / 'as' 'namespace' NAMES Eos)
 Statement <- brace:Block / ';' / Typed / Variables Eos / Function / Class / 'if' paren:ExprOnly Statement ('else' Statement)? / 'for' 'await'? paren:ForHead Statement / 'while' paren:ExprOnly Statement / 'do' Statement 'while' paren:ExprOnly ';'? / 'switch' paren:ExprOnly brace:Switch / Try / 'return' (NONL Expr)? Eos / 'throw' NONL Expr Eos / ('break' / 'continue') (NONL NAMES)? Eos / 'debugger' Eos / NAMES ':' Statement / !('function' / 'class' / BRACE) Expr Eos
 Eos <- ';' / NL
@@ -252,7 +257,7 @@ Assign <- Arrow / 'yield' ('*' Assign / NONL Assign / ) / LeftSide (ASSIGN / '>'
 Arrow <- 'async'? (NAMES / TypeParams? paren:Params Annotation?) '=>' (brace:Block / !BRACE Assign)
 Conditional <- Binary ('?' Assign ':' Assign)?
 Binary <- Unary (BINARY Unary / '>' '>'? '>'? Unary / Cast)*
-Cast <- %TS ('as' / 'satisfies') Type
+Cast <- %TS ('as' 'const' / ('as' / 'satisfies') Type)
 Unary <- ('await' / UNARY) Unary / OldCast / Postfix
 OldCast <- %TS '<' Type '>' Unary
 Postfix <- LeftSide (NONL ('++' / '--'))?
@@ -296,8 +301,8 @@ JS_CLASSES = {
     "ASSIGN": "".join(_J[w] for w in "= += -= *= /= %= **= <<= &= |= ^= &&= ||= ??=".split()),
     "BINARY": "".join(_J[w] for w in "=== !== == != <= >= && || ?? ** << + - * / % & | ^ < in instanceof".split()),
     "UNARY": "".join(_J[w] for w in "+ - ! ~ ++ -- typeof void delete".split()),
-    "BRACE": "".join(chr(0xE000 + 2 * 1024 + k) for k in range(1024)),
-    "BRACK": "".join(chr(0xE000 + 1 * 1024 + k) for k in range(1024)),
+    "BRACE": "".join(chr(GROUP + 2 * GROUP_SIZE + k) for k in range(GROUP_SIZE)),
+    "BRACK": "".join(chr(GROUP + 1 * GROUP_SIZE + k) for k in range(GROUP_SIZE)),
 }
 JS_GROUPS = {"paren": ["Args", "ExprOnly", "Params", "ForHead", "Catch", "TypeOnly"], "brack": ["Array", "ExprOnly", "ArrayPattern", "Tuple", "IndexSignature"], "brace": ["Block", "Object", "ObjectPattern", "ClassBody", "TypeBody", "Specs", "Switch", "EnumBody", "Container", "Space2"], "subst": ["ExprOnly", "Container"]}
 

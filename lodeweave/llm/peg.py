@@ -4,6 +4,7 @@ Notation: ``name <- alternatives`` with ``/`` ordered choice, ``* + ?``, ``& !``
 ``'word'`` for a token, CAPITALS for a class of tokens and ``paren:Args`` for a bracket group whose
 content is known to match the rule ``Args``. ``NL`` succeeds before a line break or at the end without
 consuming it, ``NONL`` where there is no line break, ``END`` at the end. Tokens skip line breaks.
+Nesting is limited by memory alone.
 
 Brackets are matched from the inside: a group's content is matched against every rule that may
 stand in such a bracket, and the group becomes one character that tells which of them matched it. What
@@ -13,10 +14,14 @@ a content matched is remembered by its text, so that the memo serves all positio
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable
 
-GROUP = 0xE000
+#: Group characters: from here so many for each kind of bracket, a bit for each rule that its content matches and one more (``MARK``) for use by the checkers.
+GROUP, GROUP_SIZE, MARK = 0xF0000, 2048, 1024
 MOST_MEMO = 300_000
+#: Calls that matching nests for a token, at most: a rule takes up to five, and no rule comes back to itself without a token.
+DEPTH = 400
 
 _NOTATION = re.compile(r"\s*(?:(<-)|'([^']*)'|(\w+):(\w+)|(\w+)|(.))")
 
@@ -135,7 +140,7 @@ class Grammar:
         return run
 
     def _group(self, bracket: str, rule: str) -> Match:
-        low = GROUP + self.kinds[bracket] * 1024
+        low = GROUP + self.kinds[bracket] * GROUP_SIZE
         bit = 1 << self.groups[bracket].index(rule)
 
         def run(i: int) -> int:
@@ -143,7 +148,7 @@ class Grammar:
             while text[i] == "\n":
                 i += 1
             o = ord(text[i]) - low
-            if 0 <= o < 1024 and o & bit:
+            if 0 <= o < GROUP_SIZE and o & bit:
                 return i + 1
             if i > self.far:
                 self.far = i
@@ -179,10 +184,9 @@ class Grammar:
     def furthest(self, rule: str, text: str) -> int | None:
         """None if the rule matches the whole text, else the furthest position at which it failed."""
         self.text, self.memo, self.far = text + "\0", {}, 0
-        try:
-            i = self.rules[rule](0)
-        except RecursionError:
-            i = -1
+        if sys.getrecursionlimit() < (need := DEPTH * (len(text) + 10)):
+            sys.setrecursionlimit(need)  # calls of Python functions don't nest on the stack of the process
+        i = self.rules[rule](0)
         while i >= 0 and self.text[i] == "\n":
             i += 1
         return None if i == len(text) else min(max(self.far, i, 0), len(text))
@@ -193,7 +197,7 @@ class Grammar:
         for k, rule in enumerate(self.groups[bracket]):
             if self.whole(rule, content):
                 bits |= 1 << k
-        return chr(GROUP + self.kinds[bracket] * 1024 + bits) if bits else ""
+        return chr(GROUP + self.kinds[bracket] * GROUP_SIZE + bits) if bits else ""
 
     def whole(self, rule: str, content: str) -> bool:
         return self.matches(rule, content)

@@ -238,3 +238,51 @@ def test_one_pair_for_each_symbol(spark):
     other = (1, "r/a.py", "foo", "function", 'def foo():\n    """Gathers all open orders of one customer."""\n', None)
     df = spark.createDataFrame([row, row, other], "symbol_id long, file_path string, name string, kind string, content string, signature string").withColumn("description", F.lit(1))
     assert [r.description for r in documented_functions(df).collect()] == ["Collects all open orders of one customer."]
+
+
+@pytest.mark.parametrize(("extension", "text"), [
+    *((".ts", f"export default {x}\n") for x in ("class {}", "class extends B {}", "function () {}", "abstract class {}", "class implements I {}", "async function* named() {}")),
+    (".ts", "const a = x as const satisfies T;\nconst b = a satisfies B as const;\nlet c = x as unknown as T;\n"), (".ts", "@dec export default class {}\n"),
+    (".js", "function f() {\n  if (a) {\n    return 1;\n  }\n  for (;;) { switch (b) { case 1: { return; } default: break; } }\n}\n"),
+    (".js", "const f = () => { try { return 1; } finally { g(); } };\nclass A { if(x) { return x; } get y() { return 1; } static { h(); } }\n"),
+    (".ts", "function f(): { a: string } {\n  return { a: '' };\n}\nfoo(function () { return 1; }, { m() { return 2; } });\n"),
+    (".js", "for (;;) if (a) break; else continue;\nwhile (a) { if (b) { break; } }\n"),
+    (".py", "x = f'{a['b']} {f\"{c!r:>{w}}\"} {{x}}'\nde\u0301f\u00b7 = 1\n"),
+])
+def test_valid_sources_of_rare_kinds(extension, text):
+    assert broken(extension, text) is None
+
+
+@pytest.mark.parametrize(("extension", "text", "at"), [
+    (".js", "const a = 1;\nreturn 1;\n", "return"), (".ts", "let a = 1;\nif (a) {\n  return;\n}\n", "{"), (".js", "f();\nbreak;\n", "break"), (".js", "try { return 1; } catch { g(); }\n", "{"),
+    (".js", "export default abstract class A {}\n", None), (".js", "const a = x as const;\n", None), (".ts", "export class {}\n", None), (".py", "x = f'{a['c'}'\n", None), (".py", "f'{x\n", None),
+])
+def test_invalid_sources_of_rare_kinds(extension, text, at):
+    assert broken(extension, text) is not None
+    if at:
+        assert broken(extension, text)[0] == text.index(at)
+
+
+@pytest.mark.parametrize("n", [120, 5000])
+def test_long_chains(n):
+    for extension, text in (
+        (".js", "x = " + "a ? b : " * n + "c;\n"), (".js", "f = " + "a => " * n + "c;\n"), (".ts", "if (a) {}" + " else if (b) {}" * n + "\n"), (".go", "package a\n\nfunc f() {\n\tif a {\n\t}" + " else if b {\n\t}" * n + "\n}\n"),
+        (".js", "a = " * n + "c;\n"), (".py", "x = " + "not " * n + "a\n"), (".py", "x = " + "a if b else " * n + "c\n"),
+    ):
+        assert broken(extension, text) is None
+        assert broken(extension, text.replace("\n", " @@\n")) is not None
+
+
+def test_many_indents_of_one_task():
+    for n in range(40):
+        assert broken(".py", "".join("if a:\n" + " " * (n * 600 + k + 1) + "b\n" for k in range(600))) is None
+
+
+def test_same_verdicts_as_the_interpreter():
+    import glob
+    import sysconfig
+
+    for path in sorted(glob.glob(sysconfig.get_path("stdlib") + "/*.py"))[::4]:
+        content = open(path, "rb").read()
+        ast.parse(content)
+        assert broken(".py", content) is None, path
