@@ -25,10 +25,10 @@ def byte_prefix(text: Column, n: int) -> Column:
 
 
 def describe(label: Column, name: Column, path: Column, signature: Column, content: Column, class_name: Column) -> Column:
-    """A node's text for embedding; empty parts are skipped."""
+    """A node's text for embedding, with the first 500 bytes of its code; empty parts are skipped."""
     part = lambda head, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(head), c))
     return F.concat_ws(
-        ". ", F.concat_ws(" ", label, name), part("in file ", path), part("Signature: ", signature), part("Code: ", F.substring(content, 1, 500)), part("Method of class ", class_name)
+        ". ", F.concat_ws(" ", label, name), part("in file ", path), part("Signature: ", signature), part("Code: ", byte_prefix(content, 500)), part("Method of class ", class_name)
     )
 
 

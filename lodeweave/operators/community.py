@@ -1,10 +1,14 @@
-"""Communities of a weighted undirected graph: adjacency, modularity, components and local moving."""
+"""Communities of a weighted undirected graph: adjacency, modularity, components and local moving.
+
+Each state of a loop is a table of its own: unlike a checkpoint it has its real size in the plans of the
+next round, where estimates of joins of joins would grow with every round.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..sources.tables import shared_folder
+from ..sources.tables import stored
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -27,65 +31,83 @@ def modularity(adjacent: DataFrame, labels: DataFrame) -> DataFrame:
     return parts.select(F.round(F.col("inside") / F.col("total") - F.col("squares") / (F.col("total") * F.col("total")), 6).alias("modularity"))
 
 
-def components(adjacent: DataFrame, rounds: int = 60) -> DataFrame:
+def components(adjacent: DataFrame) -> DataFrame:
     """(id, component): connected components, each named by its least id.
 
-    In every round each node hooks to the neighbour that is least in a random order, if that is less than
-    itself; hooks are followed to their roots, which a random order keeps near; then the edges are
-    contracted to the roots, so that the graph shrinks quickly. All states are materialised in the
-    shared folder; it ends when no edge is left.
+    Nodes are numbers within: a hash of their id, which is also a random order; names are joined at the end,
+    and two ids of one hash would end it with an error. In every round each node hooks to the neighbour
+    that is least in that order, if that is less than itself; hooks are followed to their roots, which a
+    random order keeps near; then the edges are contracted to the roots, so that the graph shrinks
+    quickly. All states are materialised in the shared folder; it ends when no edge is left.
     """
-    shared_folder(adjacent.sparkSession)
-    random = lambda c: F.concat(F.lpad(F.hex(F.xxhash64(c)), 16, "0"), F.col(c).cast("string"))
-    labels = adjacent.select(F.col("i").alias("id"), random("i").alias("component")).distinct()
-    edges = adjacent.where("i != j").select(random("i").alias("i"), random("j").alias("j")).distinct().checkpoint()
-    for _ in range(rounds):
-        if edges.isEmpty():
-            break
-        hooks = edges.groupBy(F.col("i").alias("node")).agg(F.min("j").alias("near")).select("node", F.least("node", "near").alias("parent")).checkpoint()
+    ids = stored(adjacent.select(F.col("i").alias("id")).distinct().select("id", F.xxhash64("id").alias("component")))
+    if not ids.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        raise ValueError("two ids have one hash")
+    labels = ids.select(F.col("component").alias("node"), "component")
+    edges = stored(adjacent.where("i != j").select(F.xxhash64("i").alias("i"), F.xxhash64("j").alias("j")).distinct())
+    while not edges.isEmpty():
+        hooks = stored(edges.groupBy(F.col("i").alias("node")).agg(F.min("j").alias("near")).select("node", F.least("node", "near").alias("parent")))
         while True:
             up = hooks.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
-            further = hooks.join(up, "parent").select("node", F.col("root").alias("parent"), (F.col("root") != F.col("parent")).alias("moved")).checkpoint()
+            further = stored(hooks.join(up, "parent").select("node", F.col("root").alias("parent"), (F.col("root") != F.col("parent")).alias("moved")))
             hooks = further.select("node", "parent")
             if further.where("moved").isEmpty():
                 break
         to = hooks.select(F.col("node").alias("component"), F.col("parent").alias("root"))
-        labels = labels.join(to, "component", "left").select("id", F.coalesce("root", "component").alias("component")).checkpoint()
+        labels = stored(labels.join(to, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
         a, b = (hooks.select(F.col("node").alias(k), F.col("parent").alias(f"{k}_root")) for k in ("i", "j"))
-        edges = edges.join(a, "i").join(b, "j").where("i_root != j_root").select(F.col("i_root").alias("i"), F.col("j_root").alias("j")).distinct().checkpoint()
-    names = labels.groupBy("component").agg(F.min("id").alias("name"))
-    return labels.join(names, "component").select("id", F.col("name").alias("component"))
+        edges = stored(edges.join(a, "i").join(b, "j").where("i_root != j_root").select(F.col("i_root").alias("i"), F.col("j_root").alias("j")).distinct())
+    named = labels.join(ids.select("id", F.col("component").alias("node")), "node")
+    names = named.groupBy("component").agg(F.min("id").alias("name"))
+    return named.join(names, "component").select("id", F.col("name").alias("component"))
+
+
+def numbered(labels: DataFrame) -> DataFrame:
+    """(id, number): communities numbered from 0 in the order of their least ids.
+
+    The communities are sorted in ranges; only how many each range has goes through the driver.
+    """
+    first = labels.groupBy("community").agg(F.min("id").alias("first"))
+    ranges = stored(first.repartitionByRange("first").sortWithinPartitions("first").select("community", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place")))
+    sizes, before = {r.part: r["count"] for r in ranges.groupBy("part").count().collect()}, 0  # a row for each range
+    offsets = []
+    for part in sorted(sizes):
+        offsets.append((part, before))
+        before += sizes[part]
+    offset = labels.sparkSession.createDataFrame(offsets, "part int, before long")
+    return labels.join(ranges.join(F.broadcast(offset), "part").select("community", (F.col("place") + F.col("before")).alias("number")), "community").select("id", "number")
 
 
 def communities(adjacent: DataFrame, sweeps: int = 200) -> DataFrame:
-    """(id, community): local moving by modularity, all nodes of a half at a time, named by a member's id.
+    """(id, community): local moving by modularity, named by a member's id.
 
-    In each sweep the nodes of one half (by hash) move to the neighbouring community with the greatest
-    positive gain, of equal ones the least. Two successive sweeps are the two halves of one cut, and
-    each two have another cut, so that neighbours of one half don't swap for ever. It ends when both
-    sweeps of a cut move nothing; at most after ``sweeps``, as 100 for all nodes, converged or not.
-    The gain of a move is k_in / W - k * total / W^2, the community's total counted without the node.
+    In each sweep every node finds the neighbouring community with the greatest positive gain, of equal
+    ones its own or the least. Each draws a number anew for each sweep; half of those that want to move
+    do, and of two neighbours only the one with the greater number, so that nothing swaps for ever. It ends when no node wants to
+    move; at most after ``sweeps``, converged or not. The gain of a move is k_in / W - k * total / W^2, the
+    community's total counted without the node. Nodes are numbers within, as for ``components``.
     """
-    shared_folder(adjacent.sparkSession)
-    degree = degrees(adjacent).checkpoint()
-    total = degree.agg(F.sum("degree").cast("double"))
-    labels = degree.select("id", F.col("id").alias("community"), "degree").checkpoint()
-    edges = adjacent.where("i != j")
-    still = False
+    degree = stored(degrees(adjacent).select("id", F.xxhash64("id").alias("node"), "degree"))
+    if not degree.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        raise ValueError("two ids have one hash")
+    total = degree.agg(F.sum("degree").cast("double")).first()[0] or 1.0
+    labels = degree.select("node", F.col("node").alias("community"), "degree")
+    edges = stored(adjacent.where("i != j").select(F.xxhash64("i").alias("node"), F.xxhash64("j").alias("other"), "w"))
+    there = lambda df: df.select(F.col("node").alias("other"), "community")
     for sweep in range(sweeps):
         sizes = labels.groupBy("community").agg(F.sum("degree").alias("size"))
-        moving = labels.where(F.pmod(F.xxhash64("id", F.lit(sweep // 2)), F.lit(2)) == sweep % 2)
-        near = edges.join(moving.select(F.col("id").alias("i"), F.col("community").alias("own"), "degree"), "i").join(labels.select(F.col("id").alias("j"), "community"), "j")
-        links = near.groupBy(F.col("i").alias("id"), "own", "degree", "community").agg(F.sum("w").alias("k_in"))
-        gain = F.col("k_in") / F.col("W") - F.col("degree") * (F.col("size") - F.when(F.col("community") == F.col("own"), F.col("degree")).otherwise(F.lit(0))) / (F.col("W") * F.col("W"))
-        rated = links.join(sizes, "community").withColumn("W", total.scalar()).withColumn("gain", gain)
-        best = rated.groupBy("id").agg(F.max_by(F.struct("community", "gain"), F.struct("gain", F.col("community") == F.col("own"))).alias("best"))
-        moved = labels.join(best, "id", "left").select("id", F.col("community").alias("before"), F.when(F.col("best.gain") > 0, F.col("best.community")).otherwise(F.col("community")).alias("community"), "degree").checkpoint()
-        labels = moved.drop("before")
-        still = (still or sweep % 2 == 0) and moved.where("before != community").isEmpty()
-        if sweep % 2 and still:
+        links = edges.join(there(labels), "other").groupBy("node", "community").agg(F.sum("w").alias("k_in"))
+        gain = F.col("k_in") / total - F.col("degree") * (F.col("size") - F.when(F.col("community") == F.col("own"), F.col("degree")).otherwise(F.lit(0))) / (total * total)
+        rated = links.join(labels.withColumnRenamed("community", "own"), "node").join(sizes, "community").withColumn("gain", gain)
+        best = rated.groupBy("node").agg(F.max_by(F.struct("community", "gain"), F.struct("gain", F.col("community") == F.col("own"), -F.col("community"))).alias("best"), F.first("own").alias("own"))
+        wish = stored(best.where("best.gain > 0 and best.community != own").select("node", F.col("best.community").alias("target"), F.xxhash64("node", F.lit(sweep)).alias("turn")))
+        if wish.isEmpty():
             break
-    return labels.select("id", "community")
+        both = edges.join(wish, "node").join(wish.select(F.col("node").alias("other"), F.col("turn").alias("others")), "other")
+        moves = wish.where("turn >= 0").join(both.where("others > turn").select("node"), "node", "left_anti").select("node", "target")
+        labels = stored(labels.join(moves, "node", "left").select("node", F.coalesce("target", "community").alias("community"), "degree"))
+    names = degree.select(F.col("node").alias("community"), F.col("id").alias("name"))
+    return labels.join(degree.select("node", "id"), "node").join(names, "community").select("id", F.col("name").alias("community"))
 
 
 def describe(labels: DataFrame, nodes: DataFrame) -> DataFrame:

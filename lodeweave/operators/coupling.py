@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame, functions as F
 BLOCK_FILES = 128
 
 
+def recent(commits: DataFrame, months: int, time: str = "committed_at") -> DataFrame:
+    """The commits of the last ``months`` before the latest one; those without a time are left out."""
+    since = commits.agg(F.add_months(F.max(time), -months) if dict(commits.dtypes)[time] == "date" else F.max(time) - F.make_ym_interval(F.lit(0), F.lit(months))).scalar()
+    return commits.where(F.col(time) >= since)
+
+
 def changes(commits: DataFrame) -> DataFrame:
     """(repo, commit_id, file), each once; rows without one of them are left out."""
     return commits.where("repo is not null and commit_id is not null and file is not null and file != ''").select("repo", "commit_id", "file").distinct()

@@ -38,6 +38,41 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new.dropDuplicates([key]))
 
 
+def remove_nodes(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Without some nodes (id) and all edges at them."""
+    gone = ids.select("id").distinct()
+    kept = edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti")
+    return nodes.join(gone, "id", "left_anti"), kept
+
+
+def encoded(rows: DataFrame, key: str = "id") -> DataFrame:
+    """(key, json): each row as a JSON text."""
+    return rows.select(key, F.to_json(F.struct(*rows.columns)).alias("json"))
+
+
+def decoded(rows: DataFrame, schema: str) -> DataFrame:
+    """The rows that ``encoded`` made texts of; what isn't right JSON gives nulls."""
+    return rows.select(F.from_json("json", schema).alias("r")).select("r.*")
+
+
+def property_text(properties: Column, name: str) -> Column:
+    """A property of a JSON text as text; empty if it isn't there."""
+    return F.coalesce(F.get_json_object(properties, f"$.{name}"), F.lit(""))
+
+
+def bulk_load(nodes: DataFrame, edges: DataFrame, target: str) -> None:
+    """Writes a graph as tables under ``target``, in place of what is there; nodes by label, edges by type."""
+    nodes.write.mode("overwrite").partitionBy("label").parquet(f"{target}/nodes")
+    edges.write.mode("overwrite").partitionBy("type").parquet(f"{target}/edges")
+
+
+def append(nodes: DataFrame | None, edges: DataFrame | None, target: str) -> None:
+    """Adds nodes and edges to the tables under ``target``."""
+    for rows, name, by in ((nodes, "nodes", "label"), (edges, "edges", "type")):
+        if rows is not None:
+            rows.write.mode("append").partitionBy(by).parquet(f"{target}/{name}")
+
+
 def remove_files(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Without the nodes of the files (file_path) and all edges at them."""
     gone = nodes.join(files.select("file_path").distinct(), "file_path", "left_semi").select("id")

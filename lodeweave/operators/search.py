@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import tokens
+from ..functions.text import code_tokens, tokens
 from ..functions.vectors import cosine
 
 #: Terms of a vocabulary at most, and so the length of a TF-IDF vector.
 VOCABULARY = 100
+#: What parts the words of code.
+WORD_ENDS = r"[^A-Za-z0-9_.\-]+"
 
 
 def postings(docs: DataFrame, key: str, *texts: Column) -> DataFrame:
@@ -17,23 +19,79 @@ def postings(docs: DataFrame, key: str, *texts: Column) -> DataFrame:
     return docs.select(F.col(key), F.explode(words).alias("token")).groupBy("token", key).agg(F.count("*").alias("tf"))
 
 
-def term_search(index: DataFrame, key: str, query: list[str], limit: int) -> DataFrame:
-    """(key, score): the sum of term counts over the query's tokens, a repeated one again; greatest first, then least key."""
-    times = {t: query.count(t) for t in dict.fromkeys(query)}
-    weight = F.coalesce(*(F.when(F.col("token") == t, F.lit(n)) for t, n in times.items()))
-    hits = index.where(F.col("token").isin(*times)).groupBy(key).agg(F.sum(F.col("tf") * weight).alias("score"))
+def _counts(text: Column, query: list[str]) -> dict[str, Column]:
+    """How often each term of a query stands in a text; the text is read where it lies."""
+    def count(term: Column) -> Column:
+        return F.size(F.filter(tokens(text), lambda w: w == term))
+
+    return {t: count(F.lit(t)) for t in dict.fromkeys(query)}
+
+
+def term_search(docs: DataFrame, key: str, text: Column, query: list[str], limit: int) -> DataFrame:
+    """(key, score): the sum of term counts over the query's tokens, a repeated one again; greatest first, then least key.
+
+    One narrow pass over the texts; rows of one key count together.
+    """
+    score = sum((n.cast("long") * query.count(t) for t, n in _counts(text, query).items()), F.lit(0).cast("long"))
+    hits = docs.select(F.col(key), score.alias("score")).where("score > 0").groupBy(key).agg(F.sum("score").alias("score"))
     return hits.orderBy(F.desc("score"), key).limit(limit)
 
 
-def bm25(index: DataFrame, key: str, query: list[str], limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score) by Okapi BM25, whose lengths and frequencies come from the whole index."""
-    lengths = index.groupBy(key).agg(F.sum("tf").alias("length"))
-    stats = lengths.agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("mean"))).scalar()
-    df = index.where(F.col("token").isin(*set(query))).groupBy("token").agg(F.count("*").alias("df"))  # a row for each query token
-    rows = index.join(F.broadcast(df), "token").join(lengths, key).withColumn("stats", stats).withColumns({"n": F.col("stats.n"), "mean": F.col("stats.mean")})
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return rows.groupBy(key).agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), key).limit(limit)
+def bm25(docs: DataFrame, key: str, text: Column, query: list[str], limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(key, score) by Okapi BM25 over the rows of ``docs``, one for each key; texts without tokens are no documents.
+
+    Two narrow passes: one for the number of texts, their mean length and how many have each term, in one
+    row, and one for the scores.
+    """
+    counts = _counts(text, query)
+    names = {t: f"n{k}" for k, t in enumerate(counts)}
+    rows = docs.select(F.col(key), F.size(tokens(text)).alias("length"), *(n.alias(names[t]) for t, n in counts.items())).where("length > 0")
+    facts = rows.agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(n) > 0).alias(n) for n in names.values()))).scalar()
+    score = F.lit(0.0)
+    hits = rows.where(sum((F.col(n) for n in names.values()), F.lit(0)) > 0).withColumn("facts", facts)
+    for n in names.values():
+        tf, df = F.col(n), F.col(f"facts.{n}")
+        idf = F.log(1 + (F.col("facts.n") - df + 0.5) / (df + 0.5))
+        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("facts.mean")))
+    return hits.select(F.col(key), F.round(score, 6).alias("score")).orderBy(F.desc("score"), key).limit(limit)
+
+
+# An index of code tokens: (token, id, n), a row for each token of a node.
+
+
+def code_index(nodes: DataFrame, *texts: str) -> DataFrame:
+    """(token, id, n): how often the code tokens of a node's texts occur; texts are first cut at what stands in no name."""
+    text = F.concat_ws(" ", *(texts or ("name", "signature", "content")))
+    words = nodes.select("id", F.explode(F.split(text, WORD_ENDS)).alias("word")).where("word != ''")
+    return words.select(F.explode(code_tokens(F.col("word"))).alias("token"), "id").groupBy("token", "id").agg(F.count("*").alias("n"))
+
+
+def code_search(index: DataFrame, query: str, limit: int = 0) -> DataFrame:
+    """(id, score): nodes by how many of the query's distinct code tokens they have; greatest first, then least id. No limit if 0."""
+    wanted = index.sparkSession.range(1).select(F.explode(F.flatten(F.transform(F.split(F.lit(query), WORD_ENDS), code_tokens))).alias("token")).where("token != ''").distinct()
+    hits = index.join(F.broadcast(wanted), "token").groupBy("id").agg(F.count("*").alias("score")).orderBy(F.desc("score"), "id")  # the tokens of one query
+    return hits.limit(limit) if limit > 0 else hits
+
+
+def without_nodes(index: DataFrame, ids: DataFrame) -> DataFrame:
+    """The index without the tokens of some nodes (id)."""
+    return index.join(ids.select("id").distinct(), "id", "left_anti").select("token", "id", "n")
+
+
+def with_nodes(index: DataFrame, nodes: DataFrame, *texts: str) -> DataFrame:
+    """The index with some nodes indexed anew: their old tokens go, those of their texts come."""
+    return without_nodes(index, nodes).unionByName(code_index(nodes, *texts))
+
+
+def details(hits: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Search hits with the name, label and path of their nodes; hits of unknown nodes are dropped."""
+    return hits.join(nodes.select("id", "label", "name", "file_path"), "id")
+
+
+def resolve_name(index: DataFrame, nodes: DataFrame, query: str) -> DataFrame:
+    """The one node that a name means: of the ten best hits one of that very name, else the best."""
+    hits = details(code_search(index, query, 10), nodes)
+    return hits.orderBy((F.col("name") == query).desc(), F.desc("score"), "id").limit(1)
 
 
 def nearest(vectors: DataFrame, key: str, vector: str, query: DataFrame, limit: int) -> DataFrame:
@@ -53,28 +111,43 @@ def ranked(hits: DataFrame, key: str, score: str) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), key)) - 1)
 
 
+def terms(docs: DataFrame, key: str, text: Column) -> DataFrame:
+    """(term, first, df): where each term comes first, by key and place, and how many documents have it. One shuffle."""
+    words = docs.where(F.col(key).isNotNull()).select(F.col(key), tokens(text).alias("words"))
+    one = words.select(F.col(key), F.explode(F.array_distinct("words")).alias("term"), "words").select(F.col(key), "term", (F.array_position("words", F.col("term")) - 1).alias("pos"))
+    return one.groupBy("term").agg(F.min(F.struct(F.col(key), F.col("pos"))).alias("first"), F.count("*").alias("df"))
+
+
 def vocabulary(docs: DataFrame, key: str, text: Column, size: int = VOCABULARY) -> DataFrame:
     """(term, idx): the terms that come first in the order of key and place."""
-    words = docs.where(F.col(key).isNotNull()).select(F.col(key), F.posexplode(tokens(text)).alias("pos", "term"))
-    first = words.groupBy("term").agg(F.min(F.struct(F.col(key), F.col("pos"))).alias("first")).orderBy("first", "term").limit(size)
+    first = terms(docs, key, text).orderBy("first", "term").limit(size)
     return first.select("term", (F.row_number().over(Window.orderBy("first", "term")) - 1).alias("idx"))
 
 
+def _idf(docs: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    n = docs.where(F.col(key).isNotNull()).agg(F.count("*")).scalar()
+    return known.withColumn("n", n).withColumn("idf", F.log(F.col("n") / F.col("df"))).drop("n")
+
+
 def frequencies(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """(term, df, idf): documents with each term, and ln(N / df) over all N documents."""
-    n = docs.select(key).distinct().agg(F.count("*")).scalar()
-    df = docs.select(F.col(key), F.explode(F.array_distinct(tokens(text))).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("df"))
-    return df.withColumn("n", n).select("term", "df", F.log(F.col("n") / F.col("df")).alias("idf"))
+    """(term, df, idf): documents with each term, and ln(N / df) over all N documents; one row of ``docs`` for each key."""
+    return _idf(docs, key, terms(docs, key, text)).select("term", "df", "idf")
 
 
-def tfidf(docs: DataFrame, key: str, text: Column, size: int = VOCABULARY) -> DataFrame:
-    """(key, idx, weight): the non-zero parts of each document's unit vector over the vocabulary.
+def tfidf(docs: DataFrame, key: str, text: Column, size: int | None = None) -> DataFrame:
+    """(key, term, weight): the non-zero parts of each document's unit vector over all terms of the corpus.
 
-    A part is tf / max tf * idf, where an idf of 0 counts as 1; what isn't finite is 0.
+    With ``size``, over the first so many terms only, and with their numbers: (key, idx, weight). A part
+    is tf / max tf * idf, where an idf of 0 counts as 1. Counts, lengths and norms of a document are
+    windows over one partitioning.
     """
-    counted = postings(docs, key, text)
-    most = counted.groupBy(key).agg(F.max("tf").alias("most"))
-    terms = vocabulary(docs, key, text, size).join(frequencies(docs, key, text), "term").select(F.col("term").alias("token"), "idx", F.when(F.col("idf") == 0, 1.0).otherwise(F.col("idf")).alias("idf"))
-    parts = counted.join(F.broadcast(terms), "token").join(most, key).select(key, "idx", (F.col("tf") / F.col("most") * F.col("idf")).alias("w"))
-    lengths = parts.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return parts.join(lengths, key).where("norm > 0").select(key, "idx", (F.col("w") / F.col("norm")).alias("weight"))
+    own = Window.partitionBy(key)
+    counted = docs.where(F.col(key).isNotNull()).select(F.col(key), F.explode(tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")).withColumn("most", F.max("tf").over(own))
+    known = terms(docs, key, text)
+    if size is not None:
+        first = known.orderBy("first", "term").limit(size)
+        known = first.withColumn("idx", F.row_number().over(Window.orderBy("first", "term")) - 1)
+    rated = _idf(docs, key, known).select("term", *(["idx"] if size is not None else []), F.when(F.col("idf") == 0, 1.0).otherwise(F.col("idf")).alias("idf"))
+    parts = counted.join(F.broadcast(rated) if size is not None else rated, "term").withColumn("w", F.col("tf") / F.col("most") * F.col("idf"))
+    unit = parts.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(own))).where("norm > 0")
+    return unit.select(key, "term" if size is None else "idx", (F.col("w") / F.col("norm")).alias("weight"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..sources.tables import shared_folder
+from ..sources.tables import stored
 
 #: Levels that a traversal goes at most.
 MOST_DEPTH = 10
@@ -17,14 +17,13 @@ def reach(calls: DataFrame, starts: DataFrame, depth: int, direction: str = "cal
     and comes out only if ``roots``. Each level is one join of the frontier with the edges and one
     anti-join with what is known, materialised in the shared folder; it ends with an empty frontier.
     """
-    shared_folder(calls.sparkSession)
     at, to = ("dst", "src") if direction == "callers" else ("src", "dst")
     steps = calls.select(F.col(at).alias("id"), F.col(to).alias("next")).distinct()
     frontier = starts.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct()
     seen = frontier
     for level in range(1, min(depth, MOST_DEPTH) + 1):
         found = frontier.join(steps, "id").select("root", F.col("next").alias("id")).distinct()
-        frontier = found.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("depth", F.lit(level)).checkpoint()
+        frontier = stored(found.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)

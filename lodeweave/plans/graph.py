@@ -13,7 +13,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.paths import ancestors, basename, dirname, extension, stem
-from ..sources.tables import table
+from ..sources.parsers import parse_calls, parse_symbols
+from ..sources.tables import stored, table
 
 #: Labels that stand for symbols when symbols are counted or changed.
 SYMBOL_LABELS = ("function", "method", "class", "interface", "type_alias", "enum")
@@ -51,7 +52,8 @@ def structure(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _nearest(uses: DataFrame, candidates: DataFrame) -> DataFrame:
     """(src, dst): each use (src, file_path, dir, repo, name) with the nearest candidate (id, rank, name, ...) of its name."""
-    out = uses
+    names = candidates.select("name").distinct()
+    out = uses.join(names, "name", "left_semi")  # most names that are used are defined nowhere
     for level, keys in enumerate((["file_path", "name"], ["dir", "name"], ["repo", "name"], ["name"])):
         best = candidates.groupBy(*keys).agg(F.min(F.concat_ws("|", F.col("rank").cast("string"), "id")).alias(f"c{level}"))
         out = out.join(best, keys, "left")
@@ -121,6 +123,71 @@ def import_edges(files: DataFrame, imports: DataFrame) -> DataFrame:
     return wanted.join(known, "target").select("src", F.concat(F.lit("file:"), F.col("file_path")).alias("dst")).where("src != dst").distinct()
 
 
+def call_sites(symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """(src, file_path, name, receiver, package) of what the symbols' contents call, each once.
+
+    What stands before a dot is an imported package (its alias or last segment), then given as such; the
+    own object (self, cls, this, or a Go method's receiver), whose class is given; or just a name.
+    """
+    pattern = r"(?:([A-Za-z_][A-Za-z0-9_]*)\.)?([A-Za-z_][A-Za-z0-9_]*)\("
+    text = F.col("content")
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("before"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("name"))
+    own = F.regexp_extract(text, r"func \((\w+) ", 1)
+    sites = symbols.where(F.col("label").isin("function", "method")).select(F.col("id").alias("src"), F.col("name").alias("own_name"), "file_path", "class_name", own.alias("own"), F.explode(F.array_distinct(pairs)).alias("c"))
+    alias = F.when(F.coalesce("alias", F.lit("")) != "", F.col("alias")).otherwise(last_segment(F.col("module_path")))
+    known = imports.where("module_path is not null and file_path is not null").groupBy("file_path", alias.alias("before")).agg(F.min("module_path").alias("package"))
+    placed = sites.select("src", "own_name", "file_path", "class_name", "own", F.col("c.before").alias("before"), F.col("c.name").alias("name")).join(known, ["file_path", "before"], "left")
+    is_own = (F.col("class_name") != "") & (F.col("before").isin("self", "cls", "this") | ((F.col("before") != "") & (F.col("before") == F.col("own"))))
+    receiver = F.when(F.col("package").isNotNull(), F.lit("")).when(is_own, F.col("class_name")).otherwise(F.col("before"))
+    return placed.where("name != own_name").select("src", "file_path", "name", receiver.alias("receiver"), F.coalesce("package", F.lit("")).alias("package")).distinct()
+
+
+def last_segment(package: Column) -> Column:
+    """The last part of a package's or module's path."""
+    return F.element_at(F.split(package, r"[/.]"), -1)
+
+
+def resolve(sites: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, dst, rule): each call site (src, name, receiver, package) with the definition that it means.
+
+    By the first rule that finds one: 1 a function of the name below a folder named as the package; 2, with
+    a package, any function of the name; 3 a method of the name in the class that the receiver names; 4 the
+    name among functions, classes, interfaces and type aliases, in this order. Of several the least id.
+    Each rule is a look-up table with one row for each key.
+    """
+    functions = nodes.where("label = 'function'")
+    folder = F.element_at(F.split(dirname(F.col("file_path")), "/"), -1)
+    order = F.when(F.col("label") == "function", 1).when(F.col("label") == "class", 2).when(F.col("label") == "interface", 3).when(F.col("label") == "type_alias", 4)
+    tables = (
+        (functions.groupBy("name", folder.alias("folder")).agg(F.min("id").alias("d1")), ["name", "folder"]),
+        (functions.groupBy("name").agg(F.min("id").alias("d2")), ["name"]),
+        (nodes.where("label = 'method' and class_name != ''").groupBy("name", F.col("class_name").alias("receiver")).agg(F.min("id").alias("d3")), ["name", "receiver"]),
+        (nodes.where(order.isNotNull()).groupBy("name").agg(F.min(F.struct(order.alias("o"), "id")).alias("best")).select("name", F.col("best.id").alias("d4")), ["name"]),
+    )
+    out = sites.join(nodes.select("name").distinct(), "name", "left_semi").withColumn("folder", last_segment(F.col("package")))
+    for known, keys in tables:
+        out = out.join(known, keys, "left")
+    packaged = F.col("package") != ""
+    found = F.coalesce(*(F.when(ok & F.col(d).isNotNull(), F.struct(F.lit(k).alias("rule"), F.col(d).alias("dst"))) for k, d, ok in ((1, "d1", packaged), (2, "d2", packaged), (3, "d3", F.col("receiver") != ""), (4, "d4", F.lit(True)))))
+    return out.select("src", found.alias("f")).where("f.dst != src").groupBy("src", "f.dst").agg(F.min("f.rule").alias("rule"))
+
+
+def parsed_graph(files: DataFrame, mode: str = "file") -> tuple[DataFrame, DataFrame]:
+    """Nodes and calls (src, dst, rule) of source files alone, parsed and resolved.
+
+    ``mode`` file: every symbol of a file calls all that its file calls; span: a symbol calls what stands
+    between its lines.
+    """
+    parsed = stored(parse_symbols(files))
+    numbered = parsed.withColumn("symbol_id", F.xxhash64("file_path", "kind", "class_name", "name", "start_line"))
+    nodes = symbol_nodes(numbered)
+    calls = parse_calls(files).select("file_path", "start_line", "name", "receiver", "package").distinct()
+    places = parsed.select(node_id(F.col("kind"), F.col("file_path"), F.col("class_name"), F.col("name")).alias("src"), "file_path", F.col("start_line").alias("from"), F.col("end_line").alias("to"), F.col("name").alias("own_name")).distinct()
+    inside = F.lit(True) if mode == "file" else (F.col("start_line") >= F.col("from")) & (F.col("start_line") <= F.col("to"))
+    sites = places.join(calls, "file_path").where(inside & (F.col("name") != F.col("own_name"))).select("src", "file_path", "name", "receiver", "package").distinct()
+    return nodes, resolve(sites, nodes)
+
+
 @lru_cache(maxsize=4)
 def _kept(application: str, base: str) -> dict[str, DataFrame]:
     return {}

@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.paths import dirname
-from ..functions.text import code_tokens, describe as describe_node, short_text, tokens
+from ..functions.text import byte_prefix, code_tokens, describe as describe_node, short_text, tokens
 from ..operators import community, coupling, deadcode, graph as ops, search, traversal
-from ..sources.parsers import parse_imports, parse_symbols
-from ..sources.repository import is_ignored, language_of
-from ..sources.tables import shared_folder, table
+from ..sources.parsers import parse_calls, parse_imports, parse_symbols, parse_types
+from ..sources.repository import changed_sources, is_ignored, language_of
+from ..sources.tables import shared_folder, stored, table
 from ..streaming import changes as stream
-from .graph import SYMBOL_LABELS, CodeGraph, heritage, heritage_edges, import_edges, structure, type_edges
+from .graph import SYMBOL_LABELS, CodeGraph, call_sites, heritage, heritage_edges, import_edges, parsed_graph, resolve, structure, type_edges
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -70,8 +70,7 @@ known AS (SELECT regexp_replace(file_path, '\\.[^./]+$', '') AS target, min(file
 import_edges AS (SELECT DISTINCT src, 'file:' || k.file_path AS dst FROM wanted JOIN known k USING (target) WHERE src <> 'file:' || k.file_path)"""
 _CHANGES = "changes AS (SELECT DISTINCT repo, commit_id, file FROM commits WHERE repo IS NOT NULL AND commit_id IS NOT NULL AND file IS NOT NULL AND file <> '')"
 _PAIRS = _CHANGES + """,
-small AS (SELECT c.* FROM changes c JOIN (SELECT repo, commit_id FROM changes GROUP BY 1, 2 HAVING count(*) <= 100) USING (repo, commit_id)),
-pairs AS (SELECT a.repo, a.file AS file_a, b.file AS file_b, count(*) AS co_changes FROM small a JOIN small b ON a.repo = b.repo AND a.commit_id = b.commit_id AND a.file < b.file GROUP BY 1, 2, 3)"""
+pairs AS (SELECT a.repo, a.file AS file_a, b.file AS file_b, count(*) AS co_changes FROM changes a JOIN changes b ON a.repo = b.repo AND a.commit_id = b.commit_id AND a.file < b.file GROUP BY 1, 2, 3)"""
 _ENTRY = "((label = 'function' AND name = 'main') OR (label = 'function' AND regexp_matches(name, '^(Test|test_)')) OR regexp_matches(decorators, 'HandleFunc|Handle|http\\.') OR regexp_matches(name, 'Cmd|Command'))"
 _EXEMPT = f"({_ENTRY} OR is_exported OR regexp_matches(file_path, '_test\\.(go|py)$') OR (label = 'function' AND regexp_matches(name, '^(Test|test_)')) OR (starts_with(name, '__') AND ends_with(name, '__')) OR (label = 'method' AND (name = 'New' || class_name OR name = '__init__')))"
 _PATTERNS = """patterns AS (SELECT id, ['intra_class', 'intra_file', 'dynamic_dispatch', 'framework_dispatch'][max(rank)] AS call_pattern FROM (SELECT c.dst AS id,
@@ -90,13 +89,34 @@ dead AS (SELECT id, label, name, file_path, CASE WHEN coalesce(call_pattern IN (
 )
 _TOKENS = "list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^a-z0-9]+'), lambda t: length(t) >= 2)"
 _DOC_POSTINGS = f"postings AS (SELECT token, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS token FROM documents) GROUP BY 1, 2)"
-_NODE_POSTINGS = "postings AS (SELECT token, id, count(*) AS tf FROM (SELECT id, unnest({0} || {1} || {2}) AS token FROM nodes) GROUP BY 1, 2)".format(_TOKENS.format("name"), _TOKENS.format("substr(content, 1, 500)"), _TOKENS.format("signature"))
+_NODE_POSTINGS = "postings AS (SELECT token, id, count(*) AS tf FROM (SELECT id, unnest({0} || {1} || {2}) AS token FROM nodes) GROUP BY 1, 2)".format(_TOKENS.format("name"), _TOKENS.format("content"), _TOKENS.format("signature"))
+
+
+def _bytes(n: int) -> str:
+    """The SQL of the first bytes of content, a cut character replaced."""
+    fits = f"list_max(list_transform(range(1, {n + 1}), lambda k: CASE WHEN octet_length(encode(substr(content, 1, k::BIGINT))) <= {n} THEN k ELSE 0 END))"
+    return f"CASE WHEN octet_length(encode(content)) <= {n} THEN content WHEN octet_length(encode(substr(content, 1, {n}))) <= {n} THEN substr(content, 1, {n}) ELSE substr(content, 1, {fits}) || CASE WHEN octet_length(encode(substr(content, 1, {fits}))) < {n} THEN chr(65533) ELSE '' END END"
+
+
 _TFIDF = f"""words AS (SELECT doc_id, unnest(toks) AS term, generate_subscripts(toks, 1) AS pos FROM (SELECT doc_id, {_TOKENS.format("text")} AS toks FROM documents)),
 vocab AS (SELECT term, row_number() OVER (ORDER BY d, p, term) - 1 AS idx FROM (SELECT term, (min({{'d': doc_id, 'p': pos}})).d AS d, (min({{'d': doc_id, 'p': pos}})).p AS p FROM words GROUP BY term ORDER BY 2, 3, 1 LIMIT 100)),
 idf AS (SELECT term, df, ln((SELECT count(DISTINCT doc_id) FROM documents)::DOUBLE / df) AS idf FROM (SELECT term, count(DISTINCT doc_id) AS df FROM words GROUP BY term)),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY 1, 2),
 parts AS (SELECT t.doc_id, v.idx, t.tf / m.most * CASE WHEN i.idf = 0 THEN 1.0 ELSE i.idf END AS w FROM tf t JOIN vocab v USING (term) JOIN idf i USING (term) JOIN (SELECT doc_id, max(tf)::DOUBLE AS most FROM tf GROUP BY 1) m USING (doc_id)),
 tfidf AS (SELECT p.doc_id, p.idx, p.w / n.norm AS weight FROM parts p JOIN (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM parts GROUP BY 1) n USING (doc_id) WHERE n.norm > 0)"""
+_SPARSE_OF = """words AS (SELECT {1}, unnest({2}) AS term FROM {0}), tf AS (SELECT {1}, term, count(*) AS tf FROM words GROUP BY 1, 2), idf AS (SELECT term, ln((SELECT count(DISTINCT {1}) FROM {0})::DOUBLE / count(*)) AS idf FROM tf GROUP BY term),
+parts AS (SELECT t.{1}, t.term, t.tf / m.most * CASE WHEN i.idf = 0 THEN 1.0 ELSE i.idf END AS w FROM tf t JOIN idf i USING (term) JOIN (SELECT {1}, max(tf)::DOUBLE AS most FROM tf GROUP BY 1) m USING ({1})),
+sparse AS (SELECT p.{1}, p.term, p.w / n.norm AS weight FROM parts p JOIN (SELECT {1}, sqrt(sum(w * w)) AS norm FROM parts GROUP BY 1) n USING ({1}) WHERE n.norm > 0)"""
+_LONG = f"label || ' ' || name || '. in file ' || file_path || CASE WHEN signature <> '' THEN '. Signature: ' || signature ELSE '' END || CASE WHEN content <> '' THEN '. Code: ' || {_bytes(500)} ELSE '' END || CASE WHEN class_name <> '' THEN '. Method of class ' || class_name ELSE '' END"
+_SPARSE = _SPARSE_OF.format("documents", "doc_id", _TOKENS.format("text"))
+_SPARSE_NODES = f"described AS (SELECT id, {_LONG} AS text FROM nodes), " + _SPARSE_OF.format("described", "id", _TOKENS.format("text"))
+#: The set of code tokens of a word.
+_CODE_TOKENS = (
+    "list_distinct([lower({0})] || list_filter("
+    "regexp_split_to_array(lower({0}), '[_.\\-\\s]+') || regexp_split_to_array(lower(regexp_replace({0}, '([a-z])([A-Z])', '\\1 \\2', 'g')), '[_.\\-\\s]+')"
+    " || regexp_split_to_array(lower(regexp_replace(regexp_replace({0}, '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g')), '[_.\\-\\s]+')"
+    " || regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_replace({0}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g')), '[_.\\-\\s]+'), lambda t: t <> ''))"
+)
 _QUERY_TERMS = ("cache", "graph", "merge", "graph")
 _TIMES = "(VALUES ('cache', 1), ('graph', 2), ('merge', 1)) q(token, n)"
 
@@ -158,23 +178,33 @@ def imports(spark, base):
     return import_edges(table(spark, base, "files"), table(spark, base, "imports"))
 
 
-@query("parse_symbols", "SELECT DISTINCT file_id, name, kind FROM symbols WHERE kind IN ('function', 'method') AND file_id IN (SELECT file_id FROM files WHERE content IS NOT NULL)")
+_HAVE = "file_id IN (SELECT file_id FROM files WHERE content IS NOT NULL)"
+
+
+@query("parse_symbols", f"SELECT DISTINCT file_id, name, kind FROM symbols WHERE {_HAVE} UNION SELECT file_id, class_name, 'class' FROM symbols WHERE class_name <> '' AND {_HAVE} AND NOT regexp_matches(file_path, '\\.go$') UNION SELECT s.file_id, s.class_name, 'class' FROM symbols s JOIN files f USING (file_id) WHERE s.class_name <> '' AND contains(f.content::VARCHAR, 'type ' || s.class_name || ' struct')")
 def parsed_symbols(spark, base):
-    """Functions and methods as parsed from the files, of files that the symbols table knows: the same as there."""
-    found = parse_symbols(table(spark, base, "files")).where("kind in ('function', 'method')").select("file_id", "name", "kind").distinct()
+    """Functions, methods, classes and interfaces as parsed from the files that the symbols table knows: those there, and the classes that it names with their methods only."""
+    found = parse_symbols(table(spark, base, "files")).where("kind in ('function', 'method', 'class', 'interface')").select("file_id", "name", "kind").distinct()
+    return found.join(table(spark, base, "symbols").select("file_id").distinct(), "file_id", "left_semi")
+
+
+@query("parse_positions", f"SELECT DISTINCT file_id, name, kind, coalesce(class_name, '') AS class_name, start_line, end_line FROM symbols WHERE kind <> 'class' AND {_HAVE}")
+def parsed_positions(spark, base):
+    """Where the functions, methods and interfaces of these files begin and end, and their classes."""
+    found = parse_symbols(table(spark, base, "files")).where("kind in ('function', 'method', 'interface')").select("file_id", "name", "kind", "class_name", "start_line", "end_line").distinct()
     return found.join(table(spark, base, "symbols").select("file_id").distinct(), "file_id", "left_semi")
 
 
 @query("parse_symbols_all")
 def all_parsed_symbols(spark, base):
-    """All that is parsed from all files: functions, methods, classes and interfaces with all columns."""
+    """All that is parsed from all files, with type aliases, enums and all columns."""
     return parse_symbols(table(spark, base, "files"))
 
 
-@query("parse_imports", "SELECT DISTINCT file_id, module_path, is_relative FROM imports WHERE module_path <> 'logging' AND file_id IN (SELECT file_id FROM files WHERE content IS NOT NULL)")
+@query("parse_imports", f"SELECT DISTINCT file_id, module_path, is_relative FROM imports WHERE {_HAVE} UNION SELECT file_id, 'logging', false FROM files WHERE file_id IN (SELECT file_id FROM imports) AND regexp_matches(rel_path, '\\.py$') AND regexp_matches(content::VARCHAR, '(^|\\\\x0A|\\\\x0D|\\\\xBF)import logging(\\\\x0A|\\\\x0D|$)')")
 def parsed_imports(spark, base):
-    """Imported modules as parsed, of files that the imports table knows; it leaves out one module of the standard library."""
-    found = parse_imports(table(spark, base, "files")).where("module_path != 'logging'").select("file_id", "module_path", "is_relative").distinct()
+    """Imported modules as parsed, of files that the imports table knows; one module of the standard library, which that table lacks, is read from the texts by both sides."""
+    found = parse_imports(table(spark, base, "files")).select("file_id", "module_path", "is_relative").distinct()
     return found.join(table(spark, base, "imports").select("file_id").distinct(), "file_id", "left_semi")
 
 
@@ -184,6 +214,60 @@ def all_parsed_imports(spark, base):
     return parse_imports(table(spark, base, "files"))
 
 
+@query("parse_calls")
+def all_parsed_calls(spark, base):
+    """All call sites of all files, with receivers and packages."""
+    return parse_calls(table(spark, base, "files"))
+
+
+@query("parse_types")
+def all_parsed_types(spark, base):
+    """The types that the signatures of all files name."""
+    return parse_types(table(spark, base, "files"))
+
+
+@query("parsed_graph")
+def graph_of_files(spark, base):
+    """The calls of the graph that is parsed from the files alone, resolved by package, receiver and name."""
+    return parsed_graph(table(spark, base, "files"), "span")[1]
+
+
+_SITES = """known_alias AS (SELECT file_path, CASE WHEN coalesce(alias, '') <> '' THEN alias ELSE regexp_split_to_array(module_path, '[/.]')[-1] END AS before, min(module_path) AS package FROM imports WHERE module_path IS NOT NULL AND file_path IS NOT NULL GROUP BY 1, 2),
+raw_sites AS (SELECT DISTINCT id AS src, name AS own_name, file_path, class_name, regexp_extract(content, 'func \\((\\w+) ', 1) AS own, unnest(regexp_extract_all(content, '(?:([A-Za-z_][A-Za-z0-9_]*)\\.)?([A-Za-z_][A-Za-z0-9_]*)\\(', 1)) AS before, unnest(regexp_extract_all(content, '(?:([A-Za-z_][A-Za-z0-9_]*)\\.)?([A-Za-z_][A-Za-z0-9_]*)\\(', 2)) AS name FROM nodes WHERE label IN ('function', 'method')),
+sites AS (SELECT DISTINCT src, r.file_path, name, CASE WHEN package IS NOT NULL THEN '' WHEN class_name <> '' AND (r.before IN ('self', 'cls', 'this') OR (r.before <> '' AND r.before = own)) THEN class_name ELSE r.before END AS receiver, coalesce(package, '') AS package FROM raw_sites r LEFT JOIN known_alias k ON k.file_path = r.file_path AND k.before = r.before WHERE name <> own_name)"""
+_RULES = """funcs AS (SELECT id, name, string_split(regexp_replace(CASE WHEN contains(file_path, '/') THEN dir ELSE '' END, '/$', ''), '/')[-1] AS folder FROM nodes WHERE label = 'function'),
+ruled AS (SELECT src, id AS dst, 1 AS rule, name, package, receiver, 0 AS o FROM sites s JOIN funcs f USING (name) WHERE s.package <> '' AND f.folder = regexp_split_to_array(s.package, '[/.]')[-1]
+  UNION ALL SELECT src, id, 2, name, package, receiver, 0 FROM sites s JOIN funcs USING (name) WHERE s.package <> ''
+  UNION ALL SELECT src, n.id, 3, s.name, package, receiver, 0 FROM sites s JOIN nodes n ON n.name = s.name AND n.label = 'method' AND n.class_name = s.receiver WHERE s.receiver <> ''
+  UNION ALL SELECT src, n.id, 4, s.name, package, receiver, CASE n.label WHEN 'function' THEN 1 WHEN 'class' THEN 2 ELSE 3 END FROM sites s JOIN nodes n ON n.name = s.name AND n.label IN ('function', 'class', 'interface')),
+resolved AS (SELECT src, dst, min(rule) AS rule FROM (SELECT src, dst, rule FROM (SELECT *, row_number() OVER (PARTITION BY src, name, package, receiver ORDER BY rule, o, dst) AS k FROM ruled) WHERE k = 1) WHERE src <> dst GROUP BY 1, 2)"""
+
+
+@query("resolve_receivers", f"WITH {_NODES}, {_SITES}, {_RULES} SELECT src, dst, rule FROM resolved")
+def resolve_receivers(spark, base):
+    """Calls of the symbols, resolved by package, receiver and name in this order."""
+    nodes = CodeGraph(spark, base).symbols
+    return resolve(call_sites(nodes, table(spark, base, "imports")), nodes)
+
+
+@query("gitignore_filter", "SELECT DISTINCT file_id, rel_path FROM files WHERE NOT ((regexp_matches('/' || rel_path, '/tests?/|/[^/]*_test\\.go$') AND NOT regexp_matches('/' || rel_path, '^/tests/[^/]*\\.go$')) OR regexp_matches('/' || rel_path, '^/core/'))")
+def gitignore_filter(spark, base):
+    """Files that a list of ignore patterns with exceptions and anchors leaves."""
+    return table(spark, base, "files").where(~is_ignored(F.col("rel_path"), ("# remarks", "", "test/", "tests/", "*_test.go", "!/tests/*.go", "/core/"))).select("file_id", "rel_path").distinct()
+
+
+@query("changed_sources", f"WITH {_CHANGES} SELECT repo, commit_id, file FROM changes WHERE regexp_matches(lower(file), '\\.(py|go|ts|tsx|js|jsx|mjs|cjs)$') AND NOT regexp_matches('/' || file, '/(node_modules|__pycache__|venv|coverage|htmlcov)/')")
+def changed_sources_of(spark, base):
+    """Changed files that are source files and not ignored."""
+    return changed_sources(coupling.changes(table(spark, base, "commits")))
+
+
+@query("recent_commits", f"WITH {_CHANGES.replace('FROM commits WHERE', 'FROM commits WHERE committed_at >= (SELECT max(committed_at) - INTERVAL 6 MONTH FROM commits) AND')} SELECT repo, count(DISTINCT commit_id) AS commits FROM changes GROUP BY repo")
+def recent_commits(spark, base):
+    """Commits of the last six months by repository."""
+    return coupling.changes(coupling.recent(table(spark, base, "commits"), 6)).groupBy("repo").agg(F.countDistinct("commit_id").alias("commits"))
+
+
 @query("resolve_calls", f"WITH {_NODES}, {_CALLS} SELECT src, dst FROM calls")
 def resolve_calls(spark, base):
     """Calls, resolved to the nearest definition."""
@@ -293,13 +377,13 @@ def substring_search(spark, base):
     return ops.substring_search(CodeGraph(spark, base).symbols, "Cache", 20).select("id", "name")
 
 
-@query("snippet", f"WITH {_NODES} SELECT id, substr(content, 1, 200) AS snippet FROM nodes")
+@query("snippet", f"WITH {_NODES} SELECT id, {_bytes(200)} AS snippet FROM nodes")
 def snippet(spark, base):
-    """The first characters of each node's content."""
-    return CodeGraph(spark, base).symbols.select("id", F.substring("content", 1, 200).alias("snippet"))
+    """The first 200 bytes of each node's content."""
+    return CodeGraph(spark, base).symbols.select("id", byte_prefix(F.col("content"), 200).alias("snippet"))
 
 
-@query("node_text", f"WITH {_NODES} SELECT id, label || ' ' || name || CASE WHEN signature <> '' THEN ' ' || signature ELSE '' END || ' ' || file_path AS short, label || ' ' || name || '. in file ' || file_path || CASE WHEN signature <> '' THEN '. Signature: ' || signature ELSE '' END || CASE WHEN content <> '' THEN '. Code: ' || substr(content, 1, 500) ELSE '' END || CASE WHEN class_name <> '' THEN '. Method of class ' || class_name ELSE '' END AS long FROM nodes")
+@query("node_text", f"WITH {_NODES} SELECT id, label || ' ' || name || CASE WHEN signature <> '' THEN ' ' || signature ELSE '' END || ' ' || file_path AS short, label || ' ' || name || '. in file ' || file_path || CASE WHEN signature <> '' THEN '. Signature: ' || signature ELSE '' END || CASE WHEN content <> '' THEN '. Code: ' || {_bytes(500)} ELSE '' END || CASE WHEN class_name <> '' THEN '. Method of class ' || class_name ELSE '' END AS long FROM nodes")
 def node_text(spark, base):
     """The texts that stand for a node in searches."""
     c = F.col
@@ -434,6 +518,30 @@ def upsert_nodes(spark, base):
     return ops.upsert(nodes, fresh).select("id", "name")
 
 
+@query("node_json", f"WITH {_NODES} SELECT id, label, name, start_line, is_exported, name AS property FROM nodes")
+def node_json(spark, base):
+    """Nodes that went through JSON texts and back, and a property taken from the text."""
+    texts = ops.encoded(CodeGraph(spark, base).symbols.select("id", "label", "name", "start_line", "is_exported"))
+    named = texts.select("id", ops.property_text(F.col("json"), "name").alias("property"))
+    return ops.decoded(texts, "id string, label string, name string, start_line int, is_exported boolean").join(named, "id")
+
+
+@query("vector_store", "WITH v AS (SELECT DISTINCT node_id, computed_at, len(embedding) AS size FROM node_vectors WHERE node_id IS NOT NULL), late AS (SELECT node_id, computed_at + INTERVAL 1 DAY AS computed_at, 0 AS size FROM v WHERE node_id LIKE 'class:%') SELECT DISTINCT node_id, computed_at FROM late UNION ALL SELECT node_id, max(computed_at) FROM v WHERE node_id NOT IN (SELECT node_id FROM late) GROUP BY 1")
+def vector_store(spark, base):
+    """The stored vectors' times after those of all classes were computed again a day later."""
+    rows = table(spark, base, "node_vectors").where("node_id is not null").select("node_id", "computed_at")
+    old = rows.groupBy("node_id").agg(F.max("computed_at").alias("computed_at"))
+    fresh = rows.where("node_id like 'class:%'").groupBy("node_id").agg((F.max("computed_at") + F.expr("INTERVAL 1 DAY")).alias("computed_at"))
+    return ops.upsert(old, fresh, "node_id")
+
+
+@query("remove_node", f"WITH {_NODES}, {_CALLS}, hub AS (SELECT dst AS id FROM calls GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1) SELECT src, dst FROM calls WHERE src NOT IN (SELECT id FROM hub) AND dst NOT IN (SELECT id FROM hub)")
+def remove_node(spark, base):
+    """Calls that remain when the most called node is removed."""
+    g = CodeGraph(spark, base)
+    return ops.remove_nodes(g.symbols, g.calls, _hub(g))[1].select("src", "dst")
+
+
 # Dead code ----------------------------------------------------------------------------------------
 
 
@@ -529,9 +637,9 @@ def coupled(spark, base):
 
 @query("postings", f"WITH {_NODES}, {_NODE_POSTINGS} SELECT token, id, tf FROM postings")
 def postings(spark, base):
-    """The inverted index of symbols: name, begin of content, signature."""
+    """The inverted index of symbols: name, whole content, signature."""
     c = F.col
-    return search.postings(CodeGraph(spark, base).symbols, "id", c("name"), F.substring(c("content"), 1, 500), c("signature"))
+    return search.postings(CodeGraph(spark, base).symbols, "id", c("name"), c("content"), c("signature"))
 
 
 @query("index_size", f"WITH {_DOC_POSTINGS} SELECT count(DISTINCT token) AS tokens, count(*) AS postings, sum(tf)::BIGINT AS words FROM postings")
@@ -544,13 +652,13 @@ def index_size(spark, base):
 @query("fts_topk", f"WITH {_DOC_POSTINGS} SELECT doc_id, sum(tf * n)::BIGINT AS score FROM postings JOIN {_TIMES} USING (token) GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 20")
 def fts_topk(spark, base):
     """Documents with the most query terms."""
-    return search.term_search(search.postings(table(spark, base, "documents"), "doc_id", F.col("text")), "doc_id", list(_QUERY_TERMS), 20)
+    return search.term_search(table(spark, base, "documents"), "doc_id", F.col("text"), list(_QUERY_TERMS), 20)
 
 
 @query("fts_bm25", f"WITH {_DOC_POSTINGS}, lengths AS (SELECT doc_id, sum(tf) AS length FROM postings GROUP BY 1), stats AS (SELECT count(*) AS n, avg(length) AS mean FROM lengths), df AS (SELECT token, count(*) AS df FROM postings WHERE token IN ('cache', 'graph', 'merge') GROUP BY 1) SELECT doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS score FROM postings JOIN df USING (token) JOIN lengths USING (doc_id), stats GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 20")
 def fts_bm25(spark, base):
     """Documents by BM25."""
-    return search.bm25(search.postings(table(spark, base, "documents"), "doc_id", F.col("text")), "doc_id", list(dict.fromkeys(_QUERY_TERMS)), 20)
+    return search.bm25(table(spark, base, "documents"), "doc_id", F.col("text"), list(dict.fromkeys(_QUERY_TERMS)), 20)
 
 
 @query("fts_code_tokens", f"WITH {_NODES}, split AS (SELECT id, name, regexp_replace(name, '([a-z])([A-Z])', '\\1 \\2', 'g') AS camel FROM nodes), digits AS (SELECT *, regexp_replace(regexp_replace(camel, '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g') AS digit, regexp_replace(regexp_replace(name, '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g') AS plain FROM split) SELECT DISTINCT id, token FROM (SELECT id, lower(name) AS token FROM digits UNION ALL SELECT id, unnest(regexp_split_to_array(lower(name), '[_.\\-\\s]+') || regexp_split_to_array(lower(camel), '[_.\\-\\s]+') || regexp_split_to_array(lower(digit), '[_.\\-\\s]+') || regexp_split_to_array(lower(plain), '[_.\\-\\s]+')) FROM digits) WHERE token <> ''")
@@ -587,23 +695,71 @@ def tfidf_idf(spark, base):
     return search.frequencies(table(spark, base, "documents"), "doc_id", F.col("text")).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-@query("tfidf", f"WITH {_TFIDF} SELECT doc_id, idx, round(weight, 6) AS weight FROM tfidf")
+@query("tfidf", f"WITH {_SPARSE} SELECT doc_id, term, round(weight, 6) AS weight FROM sparse")
 def tfidf(spark, base):
-    """TF-IDF vectors of the documents, their non-zero parts."""
-    return search.tfidf(table(spark, base, "documents"), "doc_id", F.col("text")).select("doc_id", "idx", F.round("weight", 6).alias("weight"))
+    """TF-IDF vectors of the documents over all terms, their non-zero parts."""
+    return search.tfidf(table(spark, base, "documents"), "doc_id", F.col("text")).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
 
+@query("tfidf_100", f"WITH {_TFIDF} SELECT doc_id, idx, round(weight, 6) AS weight FROM tfidf")
+def tfidf_100(spark, base):
+    """TF-IDF vectors of the documents over the first 100 terms."""
+    return search.tfidf(table(spark, base, "documents"), "doc_id", F.col("text"), search.VOCABULARY).select("doc_id", "idx", F.round("weight", 6).alias("weight"))
 
-@query("hybrid_rrf", f"WITH {_DOC_POSTINGS}, {_TFIDF}, f AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS rank FROM (SELECT doc_id, sum(tf * n)::BIGINT AS score FROM postings JOIN {_TIMES} USING (token) GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 40)), q AS (SELECT idx, weight FROM tfidf WHERE doc_id = (SELECT min(doc_id) FROM f WHERE rank = 0)), v AS (SELECT doc_id, row_number() OVER (ORDER BY sim DESC, doc_id) - 1 AS rank FROM (SELECT doc_id, round(sum(t.weight * q.weight), 6) AS sim FROM tfidf t JOIN q USING (idx) GROUP BY 1 ORDER BY sim DESC, doc_id LIMIT 40)) SELECT doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM f UNION ALL SELECT * FROM v) GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 20")
+
+@query("tfidf_nodes", f"WITH {_NODES}, {_SPARSE_NODES} SELECT id, term, round(weight, 6) AS weight FROM sparse")
+def tfidf_nodes(spark, base):
+    """TF-IDF vectors of the symbols' texts over all terms."""
+    c = F.col
+    texts = CodeGraph(spark, base).symbols.select("id", describe_node(c("label"), c("name"), c("file_path"), c("signature"), c("content"), c("class_name")).alias("text"))
+    return search.tfidf(texts, "id", F.col("text")).select("id", "term", F.round("weight", 6).alias("weight"))
+
+
+@query("hybrid_rrf", f"WITH {_DOC_POSTINGS}, {_SPARSE}, f AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS rank FROM (SELECT doc_id, sum(tf * n)::BIGINT AS score FROM postings JOIN {_TIMES} USING (token) GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 40)), q AS (SELECT term, weight FROM sparse WHERE doc_id = (SELECT min(doc_id) FROM f WHERE rank = 0)), v AS (SELECT doc_id, row_number() OVER (ORDER BY sim DESC, doc_id) - 1 AS rank FROM (SELECT doc_id, round(sum(t.weight * q.weight), 6) AS sim FROM sparse t JOIN q USING (term) GROUP BY 1 ORDER BY sim DESC, doc_id LIMIT 40)) SELECT doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM f UNION ALL SELECT * FROM v) GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 20")
 def hybrid_rrf(spark, base):
     """Term and vector search of documents, fused: the vector is that of the best term hit."""
     docs = table(spark, base, "documents")
-    terms = search.ranked(search.term_search(search.postings(docs, "doc_id", F.col("text")), "doc_id", list(_QUERY_TERMS), 40), "doc_id", "score")
-    vectors = search.tfidf(docs, "doc_id", F.col("text"))
-    asked = vectors.join(F.broadcast(terms.where("rank = 0").select("doc_id")), "doc_id").select("idx", F.col("weight").alias("q"))  # 100 rows at most
-    near = vectors.join(F.broadcast(asked), "idx").groupBy("doc_id").agg(F.round(F.sum(F.col("weight") * F.col("q")), 6).alias("sim")).orderBy(F.desc("sim"), "doc_id").limit(40)
+    terms = stored(search.ranked(search.term_search(docs, "doc_id", F.col("text"), list(_QUERY_TERMS), 40), "doc_id", "score"))
+    vectors = stored(search.tfidf(docs, "doc_id", F.col("text")))
+    asked = vectors.join(F.broadcast(terms.where("rank = 0").select("doc_id")), "doc_id").select("term", F.col("weight").alias("q"))  # the terms of one document
+    near = vectors.join(asked, "term").groupBy("doc_id").agg(F.round(F.sum(F.col("weight") * F.col("q")), 6).alias("sim")).orderBy(F.desc("sim"), "doc_id").limit(40)
     return search.fuse(terms, search.ranked(near, "doc_id", "sim"), "doc_id", 20)
 
 
+_WORD_TOKENS = _CODE_TOKENS.format("word")
+_CODE_INDEX = f"words AS (SELECT id, unnest(regexp_split_to_array(name || ' ' || signature, '[^A-Za-z0-9_.\\-]+')) AS word FROM nodes), code AS (SELECT token, id, count(*) AS n FROM (SELECT id, unnest({_WORD_TOKENS}) AS token FROM words WHERE word <> '') GROUP BY 1, 2)"
+_CODE_QUERY = f"wanted AS (SELECT DISTINCT unnest({_WORD_TOKENS}) AS token FROM (VALUES ('getCache'), ('merge_graph')) q(word)), hits AS (SELECT id, count(*) AS score FROM code JOIN wanted USING (token) GROUP BY 1 ORDER BY score DESC, id LIMIT 20)"
+
+
+def _code_index(spark, base) -> DataFrame:
+    return search.code_index(CodeGraph(spark, base).symbols, "name", "signature")
+
+
+@query("code_search", f"WITH {_NODES}, {_CODE_INDEX}, {_CODE_QUERY} SELECT h.id, h.score, n.label, n.name, n.file_path FROM hits h JOIN nodes n USING (id)")
+def code_search(spark, base):
+    """Symbols with the most code tokens of a query, with their details."""
+    return search.details(search.code_search(_code_index(spark, base), "getCache merge_graph", 20), CodeGraph(spark, base).symbols)
+
+
+@query("code_update", f"WITH {_NODES}, {_CODE_INDEX}, fresh AS (SELECT id, unnest({_CODE_TOKENS.format("'Renamed' || name")}) AS token FROM nodes WHERE label = 'class') SELECT token, id, n FROM code WHERE id NOT IN (SELECT id FROM fresh) UNION ALL SELECT token, id, count(*) FROM fresh GROUP BY 1, 2")
+def code_update(spark, base):
+    """The index of code tokens after all classes were indexed anew under other names."""
+    fresh = CodeGraph(spark, base).symbols.where("label = 'class'").withColumn("name", F.concat(F.lit("Renamed"), "name"))
+    return search.with_nodes(_code_index(spark, base), fresh, "name")
+
+
+@query("code_remove", f"WITH {_NODES}, {_CODE_INDEX} SELECT token, id, n FROM code WHERE id IN (SELECT id FROM nodes WHERE file_path NOT LIKE '%.go')")
+def code_remove(spark, base):
+    """The index of code tokens without the symbols of Go files."""
+    return search.without_nodes(_code_index(spark, base), CodeGraph(spark, base).symbols.where(F.col("file_path").endswith(".go")))
+
+
+@query("code_resolve", f"WITH {_NODES}, {_CODE_INDEX}, wanted AS (SELECT DISTINCT unnest({_WORD_TOKENS}) AS token FROM (VALUES ('getCache')) q(word)), hits AS (SELECT id, count(*) AS score FROM code JOIN wanted USING (token) GROUP BY 1 ORDER BY score DESC, id LIMIT 10) SELECT h.id, h.score, n.name FROM hits h JOIN nodes n USING (id) ORDER BY n.name = 'getCache' DESC, h.score DESC, h.id LIMIT 1")
+def code_resolve(spark, base):
+    """The symbol that a name means, by the search of code tokens."""
+    return search.resolve_name(_code_index(spark, base), CodeGraph(spark, base).symbols, "getCache").select("id", "score", "name")
+
+
 # Communities --------------------------------------------------------------------------------------
 
 _ADJ = "adj AS (SELECT i, j, count(*) AS w FROM (SELECT src AS i, dst AS j FROM calls UNION ALL SELECT dst, src FROM calls) GROUP BY 1, 2)"
@@ -640,7 +796,22 @@ def community_labels(spark, base):
     return community.describe(communities(spark, base), CodeGraph(spark, base).symbols)
 
 
-@query("components")
+@query("community_numbers")
+def community_numbers(spark, base):
+    """Communities numbered in the order of their least members."""
+    return community.numbered(communities(spark, base))
+
+
+@query("community_quality", f"WITH {_NODES}, {_CALLS} SELECT count(DISTINCT id) AS nodes, true AS good FROM (SELECT src AS id FROM calls UNION SELECT dst FROM calls)")
+def community_quality(spark, base):
+    """How many nodes have a community, and whether the partition's modularity is at least 0.6 (of 100 nodes or more)."""
+    adjacent = adjacency(spark, base)
+    labels = stored(communities(spark, base))
+    worth = community.modularity(adjacent, labels)
+    return labels.agg(F.countDistinct("id").alias("nodes")).withColumn("good", (F.col("nodes") < 100) | worth.select(F.col("modularity") >= 0.6).scalar())
+
+
+@query("components", f"WITH {_NODES}, {_CALLS}, {_ADJ}, reached AS (WITH RECURSIVE walk(id, root) AS (SELECT i, i FROM adj UNION SELECT a.j, w.root FROM walk w JOIN adj a ON a.i = w.id) SELECT id, min(root) AS component FROM walk GROUP BY id) SELECT id, component FROM reached")
 def connected(spark, base):
     """Connected components of the call graph."""
     return community.components(adjacency(spark, base))

@@ -8,8 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.paths import extension
 
-# Patterns that are always ignored, and the languages of extensions.
-IGNORED = (".git/", "node_modules/", "__pycache__/", "*.pyc", ".venv/", "venv/", "dist/", "build/", ".idea/", ".vscode/", "*.egg-info/", ".mypy_cache/", ".pytest_cache/", "coverage/", "*.min.js", "*.lock")
+# Patterns that are always ignored (besides a tool's own folder), and the languages of extensions.
+IGNORED = (
+    ".git/", "node_modules/", "__pycache__/", ".venv/", "venv/", ".tox/", ".eggs/", "*.egg-info/", ".pytest_cache/", ".mypy_cache/", "coverage/", "htmlcov/", ".coverage",
+    "*.pyc", "*.pyo", "*.pyd", ".DS_Store", "Thumbs.db",
+)
+#: Build results and locks, which are ignored as well by default.
+ALSO_IGNORED = ("dist/", "build/", ".idea/", ".vscode/", "*.min.js", "*.lock")
 LANGUAGES = {".py": "python", ".go": "go", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript"}
 
 
@@ -29,14 +34,49 @@ def pattern_regex(pattern: str) -> str | None:
     return ("^/" if anchored else "/") + body + ("/" if folder else "(?:/|$)")
 
 
-def is_ignored(path: Column, patterns: tuple[str, ...] = IGNORED) -> Column:
-    """Does a pattern match the path or a folder above it?"""
-    rules = [r for p in patterns if (r := pattern_regex(p))]
-    return F.concat(F.lit("/"), path).rlike("|".join(f"(?:{r})" for r in rules)) if rules else F.lit(False)
-
-
-def scan(spark: SparkSession, root: str, patterns: tuple[str, ...] = IGNORED) -> DataFrame:
-    """(path, rel_path, language, content, sha256) of the source files below ``root``."""
+def is_ignored(path: Column, patterns: tuple[str, ...] = IGNORED + ALSO_IGNORED) -> Column:
+    """Does a pattern match the path or a folder above it? The last one that matches decides; ``!`` takes back."""
+    found = F.lit(False)
+    positive: list[str] = []
+
+    def any_of(rules: list[str]) -> Column:
+        return F.concat(F.lit("/"), path).rlike("|".join(f"(?:{r})" for r in rules)) if rules else F.lit(False)
+
+    for p in patterns:
+        back = p.strip().startswith("!")
+        rule = pattern_regex(p.strip().removeprefix("!").removeprefix("\\"))
+        if rule is None:
+            continue
+        if back:
+            found, positive = (found | any_of(positive)) & ~any_of([rule]), []
+        else:
+            positive.append(rule)
+    return found | any_of(positive)
+
+
+def read_ignore_file(spark: SparkSession, root: str) -> tuple[str, ...]:
+    """The patterns of ``.gitignore`` in a repository's root, in their order; none if there is no such file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/.gitignore")  # file sources leave out hidden files
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return ()
+    stream = system.open(path)
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return tuple(p for line in text.splitlines() if (p := line.strip()) and p[0] != "#")
+
+
+def changed_sources(changed: DataFrame, path: str = "file", patterns: tuple[str, ...] = IGNORED) -> DataFrame:
+    """The changed paths that are source files and not ignored."""
+    return changed.where(language_of(F.col(path)).isNotNull() & ~is_ignored(F.col(path), patterns))
+
+
+def scan(spark: SparkSession, root: str, patterns: tuple[str, ...] | None = None) -> DataFrame:
+    """(path, rel_path, language, content, sha256) of the source files below ``root``; without those that
+    ``patterns`` ignore: if not given, the usual ones and those of its ``.gitignore``."""
+    patterns = IGNORED + ALSO_IGNORED + read_ignore_file(spark, root) if patterns is None else patterns
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = re.sub("^file:/*", "/", root.rstrip("/"))
     path = F.regexp_replace("path", "^file:/*", "/")

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import time
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..sources.parsers import parse_calls, parse_imports, parse_symbols, parse_types
 
 
 def quiet_batches(events: DataFrame, time: str, path: str, gap: str, *keys: str, late: str | None = None) -> DataFrame:
@@ -25,28 +31,64 @@ def route(previous: DataFrame, current: DataFrame, key: str = "rel_path", state:
     return a.join(b, key, "full_outer").select(key, change.alias("change")).where("change is not null")
 
 
-def reindex_into(target: str, key: str = "file_path"):
+def reindex_into(target: str, key: str = "file_path", buckets: int = 64):
     """A ``foreachBatch`` sink that replaces the rows of every file in the batch and keeps all others.
 
-    The table under ``target`` is partitioned by a hash bucket of the key, of which there are 64; only
-    the buckets that the batch touches are rewritten, from a checkpoint that outlives lost executors.
-    A repeated batch gives the same table.
+    The table under ``target`` is partitioned by a hash bucket of the key; only the buckets that the
+    batch touches are rewritten, from a checkpoint that outlives lost executors. ``buckets`` holds for
+    the table's life: choose it so that a bucket is a few GB. A repeated batch gives the same table.
     """
 
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(64)).cast("int"))
-        touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # 64 at most
+        fresh = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # as many as there are buckets
         if not touched:
             return
         try:
             old = spark.read.parquet(target).where(F.col("bucket").isin(touched))
             kept = old.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
-        except Exception as e:  # no table yet
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            kept = fresh
+            kept = fresh  # no table yet
         kept = kept.checkpoint()
         kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
 
     return sink
+
+
+def reindex_files(targets: dict[str, str], buckets: int = 64, after: Callable[[SparkSession], None] | None = None):
+    """A ``foreachBatch`` sink for changed files (file_id, repo, rel_path, content; null content for a deleted one).
+
+    Runs the phases that need a file alone, symbols, imports, calls and types, and puts their rows in the
+    tables under ``targets`` (symbols, imports, calls, types: path) in place of the files' old ones.
+    ``after`` is called when a batch is done, for the phases over the whole graph: see ``at_most_every``.
+    """
+    phases = {"symbols": parse_symbols, "imports": parse_imports, "calls": parse_calls, "types": parse_types}
+
+    def sink(batch: DataFrame, number: int) -> None:
+        files = batch.where("file_id is not null and repo is not null and rel_path is not null").checkpoint()
+        paths = files.select(F.concat_ws("/", "repo", "rel_path").alias("file_path")).distinct()
+        for name, target in targets.items():
+            found = phases[name](files)
+            gone = paths.join(found.select("file_path").distinct(), "file_path", "left_anti")  # files without rows lose their old ones too
+            marks = gone.select("file_path", *(F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema if f.name != "file_path"))
+            reindex_into(target, "file_path", buckets)(found.unionByName(marks), number)
+        if after is not None:
+            after(batch.sparkSession)
+
+    return sink
+
+
+def at_most_every(seconds: float, step: Callable[[SparkSession], None], clock: Callable[[], float] = time.monotonic) -> Callable[[SparkSession], None]:
+    """Calls ``step`` unless it ran less than ``seconds`` ago; the first time it always runs."""
+    last: list[float] = []
+
+    def run(spark: SparkSession) -> None:
+        now = clock()
+        if not last or now - last[0] >= seconds:
+            last[:] = [now]
+            step(spark)
+
+    return run

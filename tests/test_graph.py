@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeweave.operators import community, coupling, deadcode, graph as ops, traversal
-from lodeweave.plans.graph import call_edges, heritage, heritage_edges, import_edges, structure, symbol_nodes, type_edges
+from lodeweave.plans.graph import call_edges, call_sites, heritage, heritage_edges, import_edges, parsed_graph, resolve, structure, symbol_nodes, type_edges
 
 SYMBOL = "symbol_id long, file_id long, repo string, file_path string, name string, kind string, start_line int, end_line int, content string, signature string, class_name string, is_exported boolean, decorators array<string>"
 
@@ -187,3 +187,60 @@ def test_components_of_random_graphs(spark, seed):
         parent[b] = a
     got = {x.id: x.component for x in community.components(community.adjacency(edges(spark, *pairs))).collect()}
     assert got == {v: root(v) for v in parent}
+
+
+def _symbols(spark, *rows):
+    return spark.createDataFrame([(f"{kind}:{path}:{cls + '.' if cls else ''}{name}", kind, name, path, "r", cls, content) for kind, path, cls, name, content in rows], "id string, label string, name string, file_path string, repo string, class_name string, content string")
+
+
+def test_resolution_by_package_receiver_and_name(spark):
+    nodes = _symbols(
+        spark, ("method", "p/a.go", "Parser", "helper", ""), ("method", "p/a.go", "Parser", "Parse", "func (p *Parser) Parse() {\n\tp.helper()\n\tv.validate()\n}"), ("method", "p/b.go", "Service", "validate", ""), ("method", "p/c.go", "Other", "validate", ""),
+        ("method", "p/b.go", "Service", "run", "def run(self):\n    self.validate()\n"), ("function", "x/ingestion/run.go", "", "RunPipeline", ""), ("function", "a/cmd/run.go", "", "RunPipeline", ""), ("function", "a/cmd/main.go", "", "main", "func main() {\n\tingestion.RunPipeline()\n\tother.RunPipeline()\n}"),
+    )
+    imports = spark.createDataFrame([("a/cmd/main.go", "example/x/ingestion", ""), ("a/cmd/main.go", None, "q")], "file_path string, module_path string, alias string")
+    got = {(r.src, r.dst): r.rule for r in resolve(call_sites(nodes, imports), nodes).collect()}
+    assert got == {
+        ("method:p/a.go:Parser.Parse", "method:p/a.go:Parser.helper"): 3, ("method:p/b.go:Service.run", "method:p/b.go:Service.validate"): 3,
+        ("function:a/cmd/main.go:main", "function:x/ingestion/run.go:RunPipeline"): 1, ("function:a/cmd/main.go:main", "function:a/cmd/run.go:RunPipeline"): 4,
+    }
+
+
+def test_graph_of_files(spark):
+    go = b"package main\n\nimport \"r/svc\"\n\nfunc main() {\n\tsvc.Start()\n}\n"
+    svc = b"package svc\n\ntype S struct{}\n\nfunc Start() {\n\tstop()\n}\n\nfunc stop() {}\n"
+    files = spark.createDataFrame([(1, "r", "main.go", go), (2, "r", "svc/service.go", svc)], "file_id long, repo string, rel_path string, content binary")
+    for mode, more in (("span", set()), ("file", {("class:r/svc/service.go:S", "function:r/svc/service.go:stop")})):
+        nodes, calls = parsed_graph(files, mode)
+        assert nodes.count() == 4
+        assert {(r.src, r.dst) for r in calls.collect()} == {("function:r/main.go:main", "function:r/svc/service.go:Start"), ("function:r/svc/service.go:Start", "function:r/svc/service.go:stop")} | more
+
+
+def test_numbered_communities(spark):
+    labels = spark.createDataFrame([("c", "x"), ("a", "y"), ("d", "x"), ("b", "z"), ("e", "y")], "id string, community string")
+    assert {r.id: r.number for r in community.numbered(labels).collect()} == {"a": 0, "e": 0, "b": 1, "c": 2, "d": 2}
+
+
+def test_modularity_of_communities(spark):
+    for edges, least in (([(i, i + 1) for i in range(200)], 0.5), ([(0, i) for i in range(1, 60)], -0.01), ([(c * 8 + a, c * 8 + b) for c in range(6) for a in range(8) for b in range(a)] + [(c * 8, c * 8 + 8) for c in range(5)], 0.75)):
+        adjacent = community.adjacency(spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in edges], "src string, dst string"))
+        labels = community.communities(adjacent).persist()
+        assert community.modularity(adjacent, labels).first()[0] >= least
+
+
+def test_bulk_load_and_append(spark, tmp_path):
+    nodes = spark.createDataFrame([("a", "function"), ("b", "class")], "id string, label string")
+    edges = spark.createDataFrame([("a", "b", "calls")], "src string, dst string, type string")
+    target = f"file://{tmp_path}/graph"
+    ops.bulk_load(nodes, edges, target)
+    ops.append(spark.createDataFrame([("c", "function")], "id string, label string"), edges.withColumn("dst", F.lit("c")), target)
+    assert {r.id for r in spark.read.parquet(f"{target}/nodes").collect()} == {"a", "b", "c"}
+    assert spark.read.parquet(f"{target}/edges").count() == 2
+    ops.bulk_load(nodes.where("id = 'a'"), edges.limit(0), target)
+    assert spark.read.parquet(f"{target}/nodes").count() == 1
+
+
+def test_recent_commits(spark):
+    rows = spark.createDataFrame([("r", "c1", "a", "2024-01-10"), ("r", "c2", "a", "2024-06-01"), ("r", "c3", "a", "2024-07-10"), ("r", "c4", "a", None)], "repo string, commit_id string, file string, t string").withColumn("committed_at", F.col("t").cast("timestamp_ntz"))
+    assert {r.commit_id for r in coupling.recent(rows, 6).collect()} == {"c1", "c2", "c3"}
+    assert {r.commit_id for r in coupling.recent(rows, 2).collect()} == {"c2", "c3"}
