@@ -98,7 +98,7 @@ def p5_nearest(spark: SparkSession, base: str) -> DataFrame:
 
 def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     """Token ids of every document."""
-    return encode_corpus(spread(table(spark, base, "documents")), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return encode_corpus(spread(table(spark, base, "documents").select("doc_id", "text")), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
@@ -109,7 +109,7 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
 
 def p7_leaks(spark: SparkSession, base: str) -> DataFrame:
     """Every overlap of at least 12 words, at most 2 of them exchanged, of a document with an item."""
-    return find_leaks(spread(table(spark, base, "documents")), table(spark, base, "eval_items")).where("overlap_words >= 12")
+    return find_leaks(table(spark, base, "documents"), table(spark, base, "eval_items")).where("overlap_words >= 12")
 
 
 def p8_found(spark: SparkSession, base: str) -> DataFrame:
@@ -120,7 +120,7 @@ def p8_found(spark: SparkSession, base: str) -> DataFrame:
 def p8_restored(spark: SparkSession, base: str) -> DataFrame:
     """Garbled documents with the wrong decodings that were undone and the restored text."""
     documents = table(spark, base, "documents")
-    return restore_texts(documents, source=spread(documents))
+    return restore_texts(documents, source=spread(documents.select("doc_id", "text")))
 
 
 QUERIES = {"p1_found": p1_found, "p1_shared": p1_shared, "p2_found": p2_found, "p2_verdicts": p2_verdicts, "p2_rates": p2_rates, "p3_found": p3_found, "p3_reasons": p3_reasons, "p3_handwritten": p3_handwritten, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_restored": p8_restored}
