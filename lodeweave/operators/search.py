@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import code_tokens, tokens
 from ..functions.vectors import cosine
+from ..sources.tables import spread, stored
 
 #: Terms of a vocabulary at most, and so the length of a TF-IDF vector.
 VOCABULARY = 100
@@ -19,12 +20,14 @@ def postings(docs: DataFrame, key: str, *texts: Column) -> DataFrame:
     return docs.select(F.col(key), F.explode(words).alias("token")).groupBy("token", key).agg(F.count("*").alias("tf"))
 
 
-def _counts(text: Column, query: list[str]) -> dict[str, Column]:
-    """How often each term of a query stands in a text; the text is read where it lies."""
-    def count(term: Column) -> Column:
-        return F.size(F.filter(tokens(text), lambda w: w == term))
+def _read(docs: DataFrame, key: str, text: Column) -> DataFrame:
+    """(key, words): each text's tokens; a table of one file is spread over the cluster first."""
+    return spread(docs.select(F.col(key), text.alias("text"))).select(F.col(key), tokens(F.col("text")).alias("words"))
 
-    return {t: count(F.lit(t)) for t in dict.fromkeys(query)}
+
+def _count(term: str) -> Column:
+    """How often a term stands in the column words."""
+    return F.size("words") - F.size(F.array_remove("words", F.lit(term)))
 
 
 def term_search(docs: DataFrame, key: str, text: Column, query: list[str], limit: int) -> DataFrame:
@@ -32,20 +35,19 @@ def term_search(docs: DataFrame, key: str, text: Column, query: list[str], limit
 
     One narrow pass over the texts; rows of one key count together.
     """
-    score = sum((n.cast("long") * query.count(t) for t, n in _counts(text, query).items()), F.lit(0).cast("long"))
-    hits = docs.select(F.col(key), score.alias("score")).where("score > 0").groupBy(key).agg(F.sum("score").alias("score"))
+    score = sum((_count(t).cast("long") * query.count(t) for t in dict.fromkeys(query)), F.lit(0).cast("long"))
+    hits = _read(docs, key, text).select(F.col(key), score.alias("score")).where("score > 0").groupBy(key).agg(F.sum("score").alias("score"))
     return hits.orderBy(F.desc("score"), key).limit(limit)
 
 
 def bm25(docs: DataFrame, key: str, text: Column, query: list[str], limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score) by Okapi BM25 over the rows of ``docs``, one for each key; texts without tokens are no documents.
 
-    Two narrow passes: one for the number of texts, their mean length and how many have each term, in one
-    row, and one for the scores.
+    One narrow pass gives a few numbers for each text; from them come, in one row, the number of texts, their
+    mean length and how many have each term, and then the scores.
     """
-    counts = _counts(text, query)
-    names = {t: f"n{k}" for k, t in enumerate(counts)}
-    rows = docs.select(F.col(key), F.size(tokens(text)).alias("length"), *(n.alias(names[t]) for t, n in counts.items())).where("length > 0")
+    names = {t: f"n{k}" for k, t in enumerate(dict.fromkeys(query))}
+    rows = stored(_read(docs, key, text).select(F.col(key), F.size("words").alias("length"), *(_count(t).alias(n) for t, n in names.items())).where("length > 0"))
     facts = rows.agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(n) > 0).alias(n) for n in names.values()))).scalar()
     score = F.lit(0.0)
     hits = rows.where(sum((F.col(n) for n in names.values()), F.lit(0)) > 0).withColumn("facts", facts)
@@ -56,6 +58,12 @@ def bm25(docs: DataFrame, key: str, text: Column, query: list[str], limit: int,
     return hits.select(F.col(key), F.round(score, 6).alias("score")).orderBy(F.desc("score"), key).limit(limit)
 
 
+def nearest(vectors: DataFrame, key: str, vector: str, query: DataFrame, limit: int) -> DataFrame:
+    """(key, similarity) of the vectors most similar to the one of ``query`` (one row, column q); only positive ones."""
+    compared = vectors.withColumn("q", query.select("q").limit(1).scalar()).select(key, F.round(cosine(F.col(vector), F.col("q")), 6).alias("similarity"))
+    return compared.where("similarity > 0").groupBy(key).agg(F.max("similarity").alias("similarity")).orderBy(F.desc("similarity"), key).limit(limit)
+
+
 # An index of code tokens: (token, id, n), a row for each token of a node.
 
 
@@ -94,12 +102,6 @@ def resolve_name(index: DataFrame, nodes: DataFrame, query: str) -> DataFrame:
     return hits.orderBy((F.col("name") == query).desc(), F.desc("score"), "id").limit(1)
 
 
-def nearest(vectors: DataFrame, key: str, vector: str, query: DataFrame, limit: int) -> DataFrame:
-    """(key, similarity) of the vectors most similar to the one of ``query`` (one row, column q); only positive ones."""
-    compared = vectors.withColumn("q", query.select("q").limit(1).scalar()).select(key, F.round(cosine(F.col(vector), F.col("q")), 6).alias("similarity"))
-    return compared.where("similarity > 0").groupBy(key).agg(F.max("similarity").alias("similarity")).orderBy(F.desc("similarity"), key).limit(limit)
-
-
 def fuse(left: DataFrame, right: DataFrame, key: str, limit: int, k: int = 60) -> DataFrame:
     """(key, score): reciprocal-rank fusion of two short result lists (key, rank from 0)."""
     both = left.select(key, "rank").union(right.select(key, "rank"))
@@ -113,7 +115,7 @@ def ranked(hits: DataFrame, key: str, score: str) -> DataFrame:
 
 def terms(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """(term, first, df): where each term comes first, by key and place, and how many documents have it. One shuffle."""
-    words = docs.where(F.col(key).isNotNull()).select(F.col(key), tokens(text).alias("words"))
+    words = _read(docs.where(F.col(key).isNotNull()), key, text)
     one = words.select(F.col(key), F.explode(F.array_distinct("words")).alias("term"), "words").select(F.col(key), "term", (F.array_position("words", F.col("term")) - 1).alias("pos"))
     return one.groupBy("term").agg(F.min(F.struct(F.col(key), F.col("pos"))).alias("first"), F.count("*").alias("df"))
 
@@ -142,7 +144,7 @@ def tfidf(docs: DataFrame, key: str, text: Column, size: int | None = None) -> D
     windows over one partitioning.
     """
     own = Window.partitionBy(key)
-    counted = docs.where(F.col(key).isNotNull()).select(F.col(key), F.explode(tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")).withColumn("most", F.max("tf").over(own))
+    counted = _read(docs.where(F.col(key).isNotNull()), key, text).select(F.col(key), F.explode("words").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")).withColumn("most", F.max("tf").over(own))
     known = terms(docs, key, text)
     if size is not None:
         first = known.orderBy("first", "term").limit(size)
