@@ -90,3 +90,17 @@ def test_whole_operator(spark):
     assert got[100].restored == PROSE["de"]
     assert got[104].restored == PROSE["ru"]
     assert restore_texts(df.limit(0)).count() == 0
+
+
+def test_mixed_chains(restorer):
+    once = PROSE["de"].split(". ")[0].encode("mac_roman").decode("cp1252", "replace")
+    twice = once.encode("utf-8").decode("cp1252", "replace")
+    assert twice != once
+    text, used = restorer.restore(twice)
+    assert used
+    assert text == PROSE["de"].split(". ")[0]
+
+
+@pytest.mark.parametrize("text", ["ПОЧЕМУ ИНДЕКС ПОЗДНО ОБНОВЛЯЕТСЯ?", "почему модуль всё ещё зависит от графа", "①thread 🏳️‍🌈layer 𝔘𝔫𝔦index ½plan ক্ষrelay échain"])
+def test_upper_case_and_rare_letters_stay(restorer, text):
+    assert restorer.restore(text) == (text, [])
