@@ -34,6 +34,16 @@ def is_allowed(name: Column, path: Column, pattern: Column) -> Column:
     return (path.contains("server.go") & name.startswith("handle")) | (path.contains("cmd.go") & name.rlike("^(setup|configure|output)")) | name.startswith("register") | F.coalesce(pattern.isin("dynamic_dispatch", "framework_dispatch", "interface_impl", "callback"), F.lit(False))
 
 
+def inner_calls(nodes: DataFrame, calls: DataFrame) -> DataFrame:
+    """(src, dst, within) of calls within a file (intra_file) or else between the methods of a class (intra_class)."""
+    ends = nodes.select("id", "label", "file_path", "class_name")
+    src, dst = (ends.select(*(F.col(c).alias(f"{p}_{c}") for c in ends.columns)) for p in ("s", "d"))
+    same_class = (F.col("s_label") == "method") & (F.col("d_label") == "method") & (F.col("s_class_name") != "") & (F.col("s_class_name") == F.col("d_class_name"))
+    within = F.when(F.col("s_file_path") == F.col("d_file_path"), "intra_file").when(same_class, "intra_class")
+    both = calls.join(src, F.col("src") == F.col("s_id")).join(dst, F.col("dst") == F.col("d_id"))
+    return both.select("src", "dst", within.alias("within")).where("within is not null")
+
+
 def call_patterns(nodes: DataFrame, calls: DataFrame) -> DataFrame:
     """(id, call_pattern) of callees: dispatched by a framework or dynamically, else called within their file or class."""
     ends = nodes.select("id", "label", "name", "file_path", "class_name")

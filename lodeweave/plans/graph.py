@@ -205,6 +205,12 @@ class CodeGraph:
             self.kept[name] = make().persist()
         return self.kept[name]
 
+    def release(self) -> None:
+        """Lets go of what is kept, as when the tables have changed."""
+        for df in self.kept.values():
+            df.unpersist()
+        self.kept.clear()
+
     @property
     def symbols(self) -> DataFrame:
         return self._keep("symbols", lambda: symbol_nodes(table(self.spark, self.base, "symbols")))

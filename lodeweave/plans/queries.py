@@ -572,13 +572,11 @@ def call_patterns(spark, base):
     return deadcode.call_patterns(g.symbols, g.calls)
 
 
-@query("intra_class", f"WITH {_NODES}, {_CALLS} SELECT c.src, c.dst FROM calls c JOIN nodes s ON s.id = c.src JOIN nodes d ON d.id = c.dst WHERE s.file_path = d.file_path")
+@query("intra_class", f"WITH {_NODES}, {_CALLS} SELECT * FROM (SELECT c.src, c.dst, CASE WHEN s.file_path = d.file_path THEN 'intra_file' WHEN s.label = 'method' AND d.label = 'method' AND s.class_name <> '' AND s.class_name = d.class_name THEN 'intra_class' END AS within FROM calls c JOIN nodes s ON s.id = c.src JOIN nodes d ON d.id = c.dst) WHERE within IS NOT NULL")
 def intra_class(spark, base):
-    """Calls within a file."""
+    """Calls within a file, or between the methods of a class."""
     g = CodeGraph(spark, base)
-    place = g.symbols.select("id", "file_path")
-    s, d = (place.select(F.col("id").alias(k), F.col("file_path").alias(f"{k}_path")) for k in ("src", "dst"))
-    return g.calls.join(s, "src").join(d, "dst").where("src_path = dst_path").select("src", "dst")
+    return deadcode.inner_calls(g.symbols, g.calls)
 
 
 @query("dead_code", f"WITH {_NODES}, {_CALLS}, {_HERITAGE}, {_DEAD} SELECT id, label, name, file_path, confidence FROM dead")

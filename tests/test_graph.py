@@ -244,3 +244,9 @@ def test_recent_commits(spark):
     rows = spark.createDataFrame([("r", "c1", "a", "2024-01-10"), ("r", "c2", "a", "2024-06-01"), ("r", "c3", "a", "2024-07-10"), ("r", "c4", "a", None)], "repo string, commit_id string, file string, t string").withColumn("committed_at", F.col("t").cast("timestamp_ntz"))
     assert {r.commit_id for r in coupling.recent(rows, 6).collect()} == {"c1", "c2", "c3"}
     assert {r.commit_id for r in coupling.recent(rows, 2).collect()} == {"c2", "c3"}
+
+
+def test_inner_calls(spark):
+    nodes = _symbols(spark, ("method", "a.go", "S", "x", ""), ("method", "b.go", "S", "y", ""), ("method", "c.go", "T", "y", ""), ("function", "a.go", "", "f", ""))
+    calls = edges(spark, ("method:a.go:S.x", "method:b.go:S.y"), ("method:a.go:S.x", "method:c.go:T.y"), ("method:a.go:S.x", "function:a.go:f"))
+    assert {(r.dst, r.within) for r in deadcode.inner_calls(nodes, calls).collect()} == {("method:b.go:S.y", "intra_class"), ("function:a.go:f", "intra_file")}
