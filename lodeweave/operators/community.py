@@ -6,14 +6,24 @@ next round, where estimates of joins of joins would grow with every round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sources.tables import stored
 
+#: Rows of adjacency that one task settles: about 60 bytes each.
+TASK_ROWS = 8_000_000
+
 
 def adjacency(edges: DataFrame) -> DataFrame:
     """(i, j, w): each directed edge adds 1 to both directions, a loop 2 to its own."""
-    return edges.select(F.col("src").alias("i"), F.col("dst").alias("j")).union(edges.select("dst", "src")).groupBy("i", "j").agg(F.count("*").alias("w"))
+    pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    ways = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("i"), F.col("b").alias("j"), (2 * F.col("n")).alias("w"))))
+    both = F.array(F.struct(F.col("a").alias("i"), F.col("b").alias("j"), F.col("n").alias("w")), F.struct(F.col("b").alias("i"), F.col("a").alias("j"), F.col("n").alias("w")))
+    return pairs.select(F.inline(ways.otherwise(both)))
 
 
 def degrees(adjacent: DataFrame) -> DataFrame:
@@ -78,36 +88,153 @@ def numbered(labels: DataFrame) -> DataFrame:
     return labels.join(ranges.join(F.broadcast(offset), "part").select("community", (F.col("place") + F.col("before")).alias("number")), "community").select("id", "number")
 
 
-def communities(adjacent: DataFrame, sweeps: int = 200) -> DataFrame:
+def communities(adjacent: DataFrame) -> DataFrame:
     """(id, community): local moving by modularity, named by a member's id.
 
-    In each sweep every node finds the neighbouring community with the greatest positive gain, of equal
-    ones its own or the least. Each draws a number anew for each sweep; half of those that want to move
-    do, and of two neighbours only the one with the greater number, so that nothing swaps for ever. It ends when no node wants to
-    move; at most after ``sweeps``, converged or not. The gain of a move is k_in / W - k * total / W^2, the
-    community's total counted without the node. Nodes are numbers within, as for ``components``.
+    In each sweep every node finds the neighbouring community with the greatest gain, of equal ones its
+    own or the least. Of neighbours that want to move only the one with the greatest number does, drawn
+    anew for each sweep, and of the others only those whose gain is more than they can lose to all with
+    lesser numbers that enter the same community or leave it: so every sweep raises the modularity, nothing
+    swaps for ever, and it ends when no node wants to move, after as many sweeps as that takes. The gain
+    of a move is k_in / W - k * total / W^2, the community's total counted without the node, in whole
+    numbers of W^2. Nodes are numbers within, as for ``components``.
+
+    A graph of at most ``TASK_ROWS`` rows, for which a sweep as joins is nearly all overhead, settles in
+    one task; a larger one by joins and groupings. Both end by the same rule.
     """
-    degree = stored(degrees(adjacent).select("id", F.xxhash64("id").alias("node"), "degree"))
+    known = stored(adjacent.select("i", F.xxhash64("i").alias("node"), F.xxhash64("j").alias("other"), "w"))
+    degree = stored(known.groupBy(F.col("i").alias("id"), "node").agg(F.sum("w").alias("degree")))
     if not degree.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         raise ValueError("two ids have one hash")
-    total = degree.agg(F.sum("degree").cast("double")).first()[0] or 1.0
+    edges = known.select("node", "other", "w")
+    labels = _in_task(edges) if edges.count() <= TASK_ROWS else _by_joins(edges, degree.select("node", "degree"))
+    names = degree.select(F.col("node").alias("community"), F.col("id").alias("name"))
+    return labels.join(degree.select("node", "id"), "node").join(names, "community").select("id", F.col("name").alias("community"))
+
+
+def _by_joins(edges: DataFrame, degree: DataFrame) -> DataFrame:
+    """(node, community) of edges (node, other, w), a sweep at a time as joins and groupings."""
+    total = degree.agg(F.sum("degree")).first()[0] or 1
+    exact = "bigint" if total < 3_000_000_000 else "decimal(38,0)"  # holds W^2
+    whole = lambda c: F.col(c).cast(exact)
     labels = degree.select("node", F.col("node").alias("community"), "degree")
-    edges = stored(adjacent.where("i != j").select(F.xxhash64("i").alias("node"), F.xxhash64("j").alias("other"), "w"))
-    there = lambda df: df.select(F.col("node").alias("other"), "community")
-    for sweep in range(sweeps):
+    edges = edges.where("node != other")
+    sweep = 0
+    while True:
         sizes = labels.groupBy("community").agg(F.sum("degree").alias("size"))
-        links = edges.join(there(labels), "other").groupBy("node", "community").agg(F.sum("w").alias("k_in"))
-        gain = F.col("k_in") / total - F.col("degree") * (F.col("size") - F.when(F.col("community") == F.col("own"), F.col("degree")).otherwise(F.lit(0))) / (total * total)
-        rated = links.join(labels.withColumnRenamed("community", "own"), "node").join(sizes, "community").withColumn("gain", gain)
-        best = rated.groupBy("node").agg(F.max_by(F.struct("community", "gain"), F.struct("gain", F.col("community") == F.col("own"), -F.col("community"))).alias("best"), F.first("own").alias("own"))
-        wish = stored(best.where("best.gain > 0 and best.community != own").select("node", F.col("best.community").alias("target"), F.xxhash64("node", F.lit(sweep)).alias("turn")))
+        links = edges.join(labels.select(F.col("node").alias("other"), "community"), "other").groupBy("node", "community").agg(F.sum("w").alias("k_in"))
+        near = links.unionByName(labels.select("node", "community", F.lit(0).cast("bigint").alias("k_in"))).groupBy("node", "community").agg(F.sum("k_in").alias("k_in"))  # its own always among them
+        gain = whole("k_in") * F.lit(total).cast(exact) - whole("degree") * (F.col("size") - F.when(F.col("community") == F.col("own"), F.col("degree")).otherwise(F.lit(0))).cast(exact)
+        rated = near.join(labels.withColumnRenamed("community", "own"), "node").join(sizes, "community").withColumn("gain", gain)
+        best = rated.groupBy("node", "own", "degree").agg(F.max_by(F.struct("community", "gain"), F.struct("gain", F.col("community") == F.col("own"), -F.col("community").cast("decimal(20,0)"))).alias("best"), F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("now"))
+        wish = stored(best.where("best.gain > 0 and best.gain > now").select("node", "own", "degree", F.col("best.community").alias("target"), (F.col("best.gain") - F.col("now")).alias("margin"), F.xxhash64("node", F.lit(sweep)).alias("turn")))
         if wish.isEmpty():
-            break
-        both = edges.join(wish, "node").join(wish.select(F.col("node").alias("other"), F.col("turn").alias("others")), "other")
-        moves = wish.where("turn >= 0").join(both.where("others > turn").select("node"), "node", "left_anti").select("node", "target")
+            return labels.select("node", "community")
+        both = edges.join(wish.select("node", "turn"), "node").join(wish.select(F.col("node").alias("other"), F.col("turn").alias("others")), "other")
+        free = wish.join(both.where("others > turn or (others = turn and other > node)").select("node"), "node", "left_anti")
+        before = lambda c: F.sum("degree").over(Window.partitionBy(c).orderBy("turn", "node").rowsBetween(Window.unboundedPreceding, -1))
+        lost = whole("degree") * (F.coalesce(before("target"), F.lit(0)) + F.coalesce(before("own"), F.lit(0))).cast(exact)
+        moves = free.withColumn("lost", lost).where("margin > lost").select("node", "target")
         labels = stored(labels.join(moves, "node", "left").select("node", F.coalesce("target", "community").alias("community"), "degree"))
-    names = degree.select(F.col("node").alias("community"), F.col("id").alias("name"))
-    return labels.join(degree.select("node", "id"), "node").join(names, "community").select("id", F.col("name").alias("community"))
+        sweep += 1
+
+
+def _in_task(edges: DataFrame) -> DataFrame:
+    """(node, community) of edges (node, other, w), in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[c.to_numpy() for c in b.columns] for b in batches]
+        if parts:
+            node, other, w = map(np.concatenate, zip(*parts))
+            del parts
+            nodes = np.unique(node)
+            found = settled(*(np.searchsorted(nodes, x).astype(np.int32) for x in (node, other)), w, len(nodes))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[found])], ["node", "community"])
+
+    return stored(edges.coalesce(1).mapInArrow(run, "node long, community long"))
+
+
+def settled(node: np.ndarray, other: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """The community of each of ``n`` nodes: local moving of edges, both directions given, until no node wants to move.
+
+    Only nodes whose rating may have changed are rated again: neighbours of what moved, and, once these
+    have settled, all that touch a community whose total has changed.
+    """
+    degree = np.bincount(node, weights=w, minlength=n).astype(np.int64)
+    total = int(degree.sum())
+    order = np.argsort(node, kind="stable")
+    order = order[node[order] != other[order]]
+    node, other, w = node[order], other[order], w[order]
+    start = np.searchsorted(node, np.arange(n + 1))
+    own, size, changed = np.arange(n), degree.copy(), np.zeros(n, bool)
+    random = np.random.default_rng(1)
+    active = np.arange(n)
+    while True:
+        if len(active) == 0:
+            touched = changed[own]
+            touched[node[changed[own[other]]]] = True
+            active, changed = np.flatnonzero(touched), np.zeros(n, bool)
+            if len(active) == 0:
+                return own
+        who, to, margin = _wishes(active, own, size, degree, total, start, other, w)
+        turn = np.full(n, -1.0)
+        turn[who] = random.permutation(len(who))
+        at = _rows(start, who)
+        beaten = np.zeros(n, bool)
+        beaten[node[at][turn[other[at]] > turn[node[at]]]] = True
+        free = np.flatnonzero(~beaten[who])
+        free = free[np.argsort(turn[who[free]])]
+        who_, to_, d = who[free], to[free], degree[who[free]]
+        may = margin[free] > d * (_before(to_, d) + _before(own[who_], d))
+        moved, target = who_[may], to_[may]
+        for c, sign in ((own[moved], -1), (target, 1)):
+            np.add.at(size, c, sign * degree[moved])
+            changed[c] = True
+        own[moved] = target
+        again = np.zeros(n, bool)
+        again[other[_rows(start, moved)]] = True
+        again[who] = True
+        active = np.flatnonzero(again)
+
+
+def _rows(start: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Where the edges of ``nodes`` stand, those of node v from start[v] to start[v + 1]."""
+    many = start[nodes + 1] - start[nodes]
+    return np.repeat(start[nodes] - np.cumsum(many) + many, many) + np.arange(many.sum())
+
+
+def _before(group: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """For each entry the sum of ``d`` of those before it in its group."""
+    order = np.argsort(group, kind="stable")
+    sums = np.cumsum(d[order]) - d[order]
+    first = np.diff(group[order], prepend=-1) != 0
+    out = np.empty_like(sums)
+    out[order] = sums - np.maximum.accumulate(np.where(first, sums, 0))
+    return out
+
+
+def _wishes(active: np.ndarray, own: np.ndarray, size: np.ndarray, degree: np.ndarray, total: int, start: np.ndarray, other: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes of ``active`` that want to move, where to, and how much more they gain there."""
+    at = _rows(start, active)
+    n = len(own)
+    key = np.repeat(active, start[active + 1] - start[active]) * n + own[other[at]]
+    order = np.argsort(key)
+    key, weight = key[order], w[at][order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    if len(first) == 0:
+        return active[:0], active[:0], active[:0]
+    k_in = np.add.reduceat(weight, first)
+    who, to = np.divmod(key[first], n)
+    home = own[who] == to
+    gain = k_in * total - degree[who] * (size[to] - np.where(home, degree[who], 0))
+    now = -degree * (size[own] - degree)
+    now[who[home]] = gain[home]
+    begin = np.flatnonzero(np.diff(who, prepend=-1))
+    best = np.maximum.reduceat(gain, begin)
+    place = np.flatnonzero(gain == np.repeat(best, np.diff(begin, append=len(who))))
+    place = place[np.diff(who[place], prepend=-1) != 0]  # of equal ones the least
+    place = place[(gain[place] > 0) & (gain[place] > now[who[place]])]
+    return who[place], to[place], gain[place] - now[who[place]]
 
 
 def describe(labels: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -51,14 +51,14 @@ def structure(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _nearest(uses: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(src, dst): each use (src, file_path, dir, repo, name) with the nearest candidate (id, rank, name, ...) of its name."""
+    """(src, dst): each use (src, file_path, dir, repo, name) with the nearest candidate (id, rank, name, ...) of its name; a row for each use."""
     names = candidates.select("name").distinct()
     out = uses.join(names, "name", "left_semi")  # most names that are used are defined nowhere
     for level, keys in enumerate((["file_path", "name"], ["dir", "name"], ["repo", "name"], ["name"])):
         best = candidates.groupBy(*keys).agg(F.min(F.concat_ws("|", F.col("rank").cast("string"), "id")).alias(f"c{level}"))
         out = out.join(best, keys, "left")
     found = F.coalesce("c0", "c1", "c2", "c3")
-    return out.select("src", F.substr(found, F.lit(3)).alias("dst")).where("dst is not null and dst != src").distinct()
+    return out.select("src", F.substr(found, F.lit(3)).alias("dst")).where("dst is not null and dst != src")
 
 
 def _uses(nodes: DataFrame, names: Column) -> DataFrame:
@@ -73,16 +73,14 @@ def _candidates(nodes: DataFrame, order: tuple[str, ...]) -> DataFrame:
 def call_edges(nodes: DataFrame) -> DataFrame:
     """(src, dst) of functions and methods that call something of a known name other than their own."""
     callers = nodes.where(F.col("label").isin("function", "method"))
-    uses = _uses(callers, F.array_remove(F.regexp_extract_all("content", F.lit(CALL), F.lit(1)), F.lit("")))
-    own = callers.select(F.col("id").alias("src"), F.col("name").alias("own"))
-    calls = _nearest(uses, _candidates(nodes, ("function", "method", "class", "interface")))
-    return calls.join(own, "src").join(nodes.select(F.col("id").alias("dst"), F.col("name").alias("callee")), "dst").where("own != callee").select("src", "dst")
+    names = F.array_remove(F.array_remove(F.regexp_extract_all("content", F.lit(CALL), F.lit(1)), F.lit("")), F.col("name"))
+    return _nearest(_uses(callers, names), _candidates(nodes, ("function", "method", "class", "interface")))  # what is found has the name: a row for each edge
 
 
 def type_edges(nodes: DataFrame) -> DataFrame:
     """(src, dst) of symbols whose signature names a class or interface as a type."""
     uses = _uses(nodes.where(F.col("label").isin("function", "method")), F.regexp_extract_all("signature", F.lit(TYPE_REF), F.lit(1)))
-    return _nearest(uses, _candidates(nodes, ("class", "interface")))
+    return _nearest(uses, _candidates(nodes, ("class", "interface"))).distinct()
 
 
 def heritage(nodes: DataFrame) -> DataFrame:
@@ -102,7 +100,7 @@ def heritage(nodes: DataFrame) -> DataFrame:
 def heritage_edges(nodes: DataFrame) -> DataFrame:
     """(src, dst, type) of classes and their bases that are known."""
     uses = heritage(nodes).join(nodes.select("id", "file_path", "repo"), "id").select(F.col("id").alias("src"), "file_path", dirname(F.col("file_path")).alias("dir"), "repo", F.col("base").alias("name"), "type")
-    typed = _nearest(uses.drop("type"), _candidates(nodes, ("class", "interface")))
+    typed = _nearest(uses.drop("type"), _candidates(nodes, ("class", "interface"))).distinct()
     names = nodes.select(F.col("id").alias("dst"), F.col("name").alias("base"))
     kinds = uses.groupBy("src", F.col("name").alias("base")).agg(F.min("type").alias("type"))
     return typed.join(names, "dst").join(kinds, ["src", "base"]).select("src", "dst", "type")

@@ -164,6 +164,48 @@ def test_communities_end_where_no_move_gains(spark):
         assert max(gain.values()) <= gain[own] + 1e-12
 
 
+@pytest.mark.parametrize("rows", [0, 1000])
+def test_communities_settle_where_all_move_at_once(spark, monkeypatch, rows):
+    """Leaves between two hubs prefer the smaller community: if all move at once, they never settle."""
+    from collections import Counter
+
+    monkeypatch.setattr(community, "TASK_ROWS", rows)  # by joins, and in one task
+    pairs = [(hub, f"n{i:02}") for i in range(40) for hub in "ab"] + [("a", "a")]
+    adjacent = community.adjacency(edges(spark, *pairs)).persist()
+    labels = {r.id: r.community for r in community.communities(adjacent).collect()}
+    near = {v: Counter() for v in labels}
+    for r in adjacent.collect():
+        near[r.i][r.j] += r.w
+    degree = {v: sum(near[v].values()) for v in labels}
+    size, total = Counter(), sum(degree.values())
+    for v, c in labels.items():
+        size[c] += degree[v]
+    for v, own in labels.items():
+        k = Counter()
+        for u, w in near[v].items():
+            k[labels[u]] += w * (u != v)
+        gain = {c: k[c] * total - degree[v] * (size[c] - degree[v] * (c == own)) for c in {*k, own}}
+        assert max(gain.values()) <= gain[own]
+
+
+def test_settled_equals_brute_force_rule():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    for n, m in ((1, 1), (30, 60), (400, 1500)):
+        a, b = r.integers(0, n, m), r.integers(0, n, m)
+        w = np.zeros((n, n), int)
+        np.add.at(w, (a, b), 1)
+        w += w.T
+        i, j = np.nonzero(w)
+        found = community.settled(i, j, w[i, j], n)
+        d, total = w.sum(1), w.sum()
+        bare = w - np.diag(np.diag(w))
+        for v in set(i.tolist()):
+            gain = {c: bare[v][found == c].sum() * total - d[v] * (d[found == c].sum() - d[v] * (c == found[v])) for c in {*found[np.flatnonzero(bare[v])].tolist(), found[v]}}
+            assert max(gain.values()) <= max(gain[found[v]], 0)
+
+
 def test_long_path_is_one_component(spark):
     path = community.adjacency(edges(spark, *((f"n{i:03}", f"n{i + 1:03}") for i in range(60))))
     assert {r.component for r in community.components(path).collect()} == {"n000"}
