@@ -243,13 +243,11 @@ def describe(labels: DataFrame, nodes: DataFrame) -> DataFrame:
     Only the least names are needed, so they are aggregated in three steps of ``min`` with nothing
     collected.
     """
-    named = labels.join(nodes.select("id", "name"), "id").select("community", "name")
-    sizes = named.groupBy("community").agg(F.count("*").alias("member_count"))
-    distinct = named.distinct()
-    first = distinct.groupBy("community").agg(F.min("name").alias("a"))
-    second = distinct.join(first, "community").where("name > a").groupBy("community").agg(F.min("name").alias("b"))
-    third = distinct.join(second, "community").where("name > b").groupBy("community").agg(F.min("name").alias("c"))
-    wide = sizes.join(first, "community").join(second, "community", "left").join(third, "community", "left")
+    named = stored(labels.join(nodes.select("id", "name"), "id").groupBy("community", "name").agg(F.count("*").alias("n")))
+    sizes = named.groupBy("community").agg(F.sum("n").alias("member_count"), F.min("name").alias("a"))
+    second = named.join(sizes.select("community", "a"), "community").where("name > a").groupBy("community").agg(F.min("name").alias("b"))
+    third = named.join(second, "community").where("name > b").groupBy("community").agg(F.min("name").alias("c"))
+    wide = sizes.join(second, "community", "left").join(third, "community", "left")
     shown = F.concat_ws(", ", "a", "b", "c")
     more = F.when(F.col("member_count") > 3, F.concat(F.lit(", +"), (F.col("member_count") - 3).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
     return wide.select("community", "member_count", F.concat(F.lit("Community ("), shown, more, F.lit(")")).alias("label"))

@@ -39,6 +39,16 @@ def symbol_nodes(symbols: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.max_by("s", F.col("s.symbol_id")).alias("s")).select("id", "s.*")
 
 
+def without_texts(symbols: DataFrame) -> DataFrame:
+    return symbols.withColumns({"content": F.lit(""), "signature": F.lit(""), "decorators": F.array().cast("array<string>")})
+
+
+def only_calls(symbols: DataFrame) -> DataFrame:
+    """Symbols with nothing left of a content but what it calls, for ``call_edges`` the same."""
+    called = F.array_distinct(F.regexp_extract_all("content", F.lit(CALL), F.lit(1)))
+    return without_texts(symbols.withColumn("called", F.array_join(F.transform(called, lambda n: F.concat(n, F.lit("("))), " "))).drop("content").withColumnRenamed("called", "content")
+
+
 def structure(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """File and folder nodes (id, label, name, file_path), and contains edges (src, dst)."""
     paths = files.where("repo is not null and rel_path is not null").select(F.concat_ws("/", "repo", "rel_path").alias("file_path")).distinct()
@@ -215,7 +225,14 @@ class CodeGraph:
 
     @property
     def calls(self) -> DataFrame:
-        return self._keep("calls", lambda: call_edges(self.symbols))
+        """Of the symbols if these are kept already, else of nodes with as much of each text as calls need."""
+        return self._keep("calls", lambda: call_edges(self.kept["symbols"] if "symbols" in self.kept else self._keep("callers", lambda: symbol_nodes(only_calls(table(self.spark, self.base, "symbols"))))))
+
+    def names(self) -> DataFrame:
+        """(id, name) of the symbols."""
+        if "symbols" in self.kept:
+            return self.symbols.select("id", "name")
+        return symbol_nodes(without_texts(table(self.spark, self.base, "symbols"))).select("id", "name")
 
     def nodes(self) -> DataFrame:
         """(id, label, name, file_path) of files, folders and symbols."""

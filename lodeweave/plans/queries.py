@@ -791,7 +791,7 @@ def communities(spark, base):
 @query("community_labels")
 def community_labels(spark, base):
     """The size and name of every community."""
-    return community.describe(communities(spark, base), CodeGraph(spark, base).symbols)
+    return community.describe(stored(communities(spark, base)), CodeGraph(spark, base).names())
 
 
 @query("community_numbers")

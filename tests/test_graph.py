@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeweave.operators import community, coupling, deadcode, graph as ops, traversal
-from lodeweave.plans.graph import call_edges, call_sites, heritage, heritage_edges, import_edges, parsed_graph, resolve, structure, symbol_nodes, type_edges
+from lodeweave.plans.graph import CodeGraph, call_edges, call_sites, heritage, heritage_edges, import_edges, parsed_graph, resolve, structure, symbol_nodes, type_edges
 
 SYMBOL = "symbol_id long, file_id long, repo string, file_path string, name string, kind string, start_line int, end_line int, content string, signature string, class_name string, is_exported boolean, decorators array<string>"
 
@@ -292,3 +292,16 @@ def test_inner_calls(spark):
     nodes = _symbols(spark, ("method", "a.go", "S", "x", ""), ("method", "b.go", "S", "y", ""), ("method", "c.go", "T", "y", ""), ("function", "a.go", "", "f", ""))
     calls = edges(spark, ("method:a.go:S.x", "method:b.go:S.y"), ("method:a.go:S.x", "method:c.go:T.y"), ("method:a.go:S.x", "function:a.go:f"))
     assert {(r.dst, r.within) for r in deadcode.inner_calls(nodes, calls).collect()} == {("method:b.go:S.y", "intra_class"), ("function:a.go:f", "intra_file")}
+
+
+def test_calls_of_what_is_left_of_texts(spark, tmp_path):
+    """Calls, and their names, don't need the texts of symbols through a shuffle: the same without."""
+    rows = [(k, kind, f"n{k}", f"r/d{k % 3}/f{k % 5}.py", "r", "", 1, 2, True, "s", text, ["d"]) for k, (kind, text) in enumerate([("function", "def n0(a): n1(n2(3)); n1 (); _n3(n4(n9("), ("method", "n0()n2("), ("class", None), ("function", ""), ("function", "x.n0(1)\u00e9n2(2)"), ("function", "n0((n5(")])]
+    symbols = spark.createDataFrame(rows, "symbol_id long, kind string, name string, file_path string, repo string, class_name string, start_line int, end_line int, is_exported boolean, signature string, content string, decorators array<string>")
+    symbols.write.parquet(f"{tmp_path}/symbols.parquet")
+    want = {(r.src, r.dst) for r in call_edges(symbol_nodes(symbols)).collect()}
+    g = CodeGraph(spark, str(tmp_path))
+    assert {(r.src, r.dst) for r in g.calls.collect()} == want and len(want) > 5
+    assert {(r.id, r.name) for r in g.names().collect()} == {(r.id, r.name) for r in symbol_nodes(symbols).collect()}
+    assert "symbols" not in g.kept
+    g.release()
