@@ -102,14 +102,20 @@ def communities(adjacent: DataFrame) -> DataFrame:
     A graph of at most ``TASK_ROWS`` rows, for which a sweep as joins is nearly all overhead, settles in
     one task; a larger one by joins and groupings. Both end by the same rule.
     """
+    degree, _, labels = settle(adjacent)
+    names = degree.select(F.col("node").alias("community"), F.col("id").alias("name"))
+    return labels.join(degree.select("node", "id"), "node").join(names, "community").select("id", F.col("name").alias("community"))
+
+
+def settle(adjacent: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``communities`` in numbers: (id, node, degree), the adjacency (i, j, w) of nodes, and (node, community)."""
     known = stored(adjacent.select("i", F.xxhash64("i").alias("node"), F.xxhash64("j").alias("other"), "w"))
     degree = stored(known.groupBy(F.col("i").alias("id"), "node").agg(F.sum("w").alias("degree")))
     if not degree.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         raise ValueError("two ids have one hash")
     edges = known.select("node", "other", "w")
     labels = _in_task(edges) if edges.count() <= TASK_ROWS else _by_joins(edges, degree.select("node", "degree"))
-    names = degree.select(F.col("node").alias("community"), F.col("id").alias("name"))
-    return labels.join(degree.select("node", "id"), "node").join(names, "community").select("id", F.col("name").alias("community"))
+    return degree, edges.select(F.col("node").alias("i"), F.col("other").alias("j"), "w"), labels
 
 
 def _by_joins(edges: DataFrame, degree: DataFrame) -> DataFrame:

@@ -803,10 +803,9 @@ def community_numbers(spark, base):
 @query("community_quality", f"WITH {_NODES}, {_CALLS} SELECT count(DISTINCT id) AS nodes, true AS good FROM (SELECT src AS id FROM calls UNION SELECT dst FROM calls)")
 def community_quality(spark, base):
     """How many nodes have a community, and whether the partition's modularity is at least 0.6 (of 100 nodes or more)."""
-    adjacent = adjacency(spark, base)
-    labels = stored(communities(spark, base))
-    worth = community.modularity(adjacent, labels)
-    return labels.agg(F.countDistinct("id").alias("nodes")).withColumn("good", (F.col("nodes") < 100) | worth.select(F.col("modularity") >= 0.6).scalar())
+    _, adjacent, labels = community.settle(adjacency(spark, base))
+    worth = community.modularity(adjacent, labels.withColumnRenamed("node", "id"))
+    return labels.agg(F.countDistinct("node").alias("nodes")).withColumn("good", (F.col("nodes") < 100) | worth.select(F.col("modularity") >= 0.6).scalar())
 
 
 @query("components", f"WITH {_NODES}, {_CALLS}, {_ADJ}, reached AS (WITH RECURSIVE walk(id, root) AS (SELECT i, i FROM adj UNION SELECT a.j, w.root FROM walk w JOIN adj a ON a.i = w.id) SELECT id, min(root) AS component FROM walk GROUP BY id) SELECT id, component FROM reached")

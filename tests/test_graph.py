@@ -305,3 +305,13 @@ def test_calls_of_what_is_left_of_texts(spark, tmp_path):
     assert {(r.id, r.name) for r in g.names().collect()} == {(r.id, r.name) for r in symbol_nodes(symbols).collect()}
     assert "symbols" not in g.kept
     g.release()
+
+
+@pytest.mark.parametrize("rows", [0, 1000])
+def test_settled_numbers_are_the_named_communities(spark, monkeypatch, rows):
+    monkeypatch.setattr(community, "TASK_ROWS", rows)
+    adjacent = community.adjacency(edges(spark, ("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("y", "z"), ("z", "x"), ("a", "x"), ("z", "z")))
+    degree, numbers, labels = community.settle(adjacent)
+    named = community.communities(adjacent)
+    assert {r.id: r.degree for r in degree.collect()} == {r.id: r.degree for r in community.degrees(adjacent).collect()}
+    assert community.modularity(numbers, labels.withColumnRenamed("node", "id")).first() == community.modularity(adjacent, named).first()
