@@ -6,23 +6,28 @@ candidate; each candidate is compressed with a zstandard dictionary of every lan
 and the one with the least bytes, the cost of its chain included, is taken. Only a candidate whose costs
 and the least size of a compressed text together are already too long is not compressed: it can't win.
 If none is shorter than the text as it stands, the text stays as it is; else what was found is looked at
-again, so that chains may mix. Dictionaries are trained on a bounded sample of the corpus.
+again, so that chains may mix. Dictionaries hold the lines whose words are most common in the whole corpus.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Texts of each language, at most, that its dictionary is trained on, their characters at most, and the dictionary's size.
-SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 100_000, 32_768
-#: Decisions that a task keeps.
+from ..sources.tables import stored
+
+#: The size of a language's dictionary, and the part of its texts that a common pair of characters stands in.
+DICTIONARY_BYTES, COMMON = 32_768, 0.015
+#: Lines that are decided together.
+LINES = 1_000
+#: Decisions, and counts, that a task keeps.
 MEMO = 200_000
 
 # The encodings and the confusions of them that are considered.
@@ -36,11 +41,15 @@ _PAIRS = (  # written in, read as
 _WIDE_PAIRS = (("utf_8", "gbk"), ("utf_8", "shift_jis"), ("utf_8", "cp949"), ("utf_8", "big5"), ("shift_jis", "gbk"), ("gbk", "shift_jis"), ("cp949", "gbk"), ("gbk", "cp949"), ("big5", "gbk"), ("gbk", "big5"), ("euc_jp", "gbk"))
 #: Bytes that a chain costs: a step of UTF-8, which few texts allow by chance, and another.
 UTF8_COST, OTHER_COST = 2, 6
-#: Bytes that an oddity and a pair of characters that the sample doesn't have cost, above what zstandard counts.
+#: Bytes that an oddity and a pair of characters that is not common cost, above what zstandard counts.
 ODDITY_COST, UNSEEN_COST = 4, 2
 LOST = "�"
-#: A compressed frame has a magic number, a descriptor, a window and a block of a byte at least.
-LEAST_FRAME = 4 + 1 + 1 + 3 + 1
+#: A compressed frame has a magic number, a descriptor, a window and the head of a block, and a byte at least. In a block that
+#: isn't one repeated byte stand the text as it is or two heads, the modes and the states of three codes, 18 bits at least.
+FRAME = 4 + 1 + 1 + 3
+LEAST_FRAME, LEAST_CODED = FRAME + 1, FRAME + 3 + 3
+#: What counts the changed words of a line, in one number with their costs.
+CHANGED = 1 << 40
 #: Times that a restored line is looked at again.
 MOST_STEPS = 3
 
@@ -48,6 +57,8 @@ _SEQUENCES = "[{}][{}]|[{}][{}]{{2}}|[{}][{}]{{3}}"
 _SEQUENCE = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 _QUOTED = re.compile("\"[^\"\n]{1,60}\"|`[^`\n]{1,60}`|“[^”\n]{1,60}”|«[^»\n]{1,60}»|„[^“”\n]{1,60}[“”]|‘[^’\n]{1,60}’|「[^」\n]{1,60}」|『[^』\n]{1,60}』|(?<!\\w)'[^'\n]{1,60}'(?!\\w)")
 
+#: Two characters in a row that are not ASCII, as every sequence of UTF-8 has.
+_ROW = re.compile("[^\x00-\x7f]{2}")
 _MARKS = frozenset("\"`“«„‘「『'")
 
 
@@ -146,7 +157,7 @@ _LIST, _COSTS = list(CHAINS), np.array(list(CHAINS.values()))
 
 def readings(word: str) -> Iterator[tuple[Chain, str | None]]:
     """Every chain that changes a word, and what it gives; nothing for one that the word can't have gone through."""
-    for read_as in (*_UTF8_READ_AS, "cp1252 lower"):
+    for read_as in (*_UTF8_READ_AS, "cp1252 lower") if _ROW.search(word) else ():
         now = word
         for n in (1, 2, 3):
             after = _utf8_step(now, read_as)
@@ -171,17 +182,19 @@ _SCRIPTS = {"ru": "cyrillic", "uk": "cyrillic", "ko": "hangul", "ja": "han", "zh
 #: Letters of one script in a row: Latin, Cyrillic, Hangul, Han with Kana, others.
 _RANGES = ("A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "\u0400-\u052f", "\uac00-\ud7af", "\u3005-\u3007\u3040-\u9fff")
 _LETTERS = re.compile("|".join(f"([{r}]+)" for r in (*_RANGES, "^\\W\\d_" + "".join(_RANGES))))
+_NOT_ASCII = re.compile(_LETTERS.pattern.replace("A-Za-z\xaa", "\xaa", 1))
+_NOT_LATIN = re.compile("[" + "".join(_RANGES[1:]) + "]|[^\\W\\d_" + "".join(_RANGES) + "]")
 _NAMES = ("", "latin", "cyrillic", "hangul", "han", "other")
 _CONTROL = re.compile("[\x7f-\x9f\ue000-\uf8ff]")
 
 
 def _script(text: str) -> str:
     """The script of most letters that are not ASCII."""
-    if max(text) < "\u0250":
+    if text.isascii() or not _NOT_LATIN.search(text):
         return "latin"
     seen = dict.fromkeys(_NAMES, 0)
-    for m in _LETTERS.finditer(text):
-        seen[_NAMES[m.lastindex]] += m.end() - m.start() if m.lastindex > 1 else len(m[0].encode()) - len(m[0])
+    for m in _NOT_ASCII.finditer(text.replace(" ", "")):
+        seen[_NAMES[m.lastindex]] += m.end() - m.start()
     return max(seen, key=lambda s: (seen[s], s)) if any(seen.values()) else "latin"
 
 
@@ -205,6 +218,13 @@ def _pairs(word: str) -> set[str]:
     return {a + b for a, b in zip(marked, marked[1:]) if a >= "\x80" or b >= "\x80"}
 
 
+def _least_size(text: str) -> int:
+    """Less than this no text of its kind is when compressed."""
+    if text.count(text[0]) == len(text):
+        return LEAST_FRAME
+    return LEAST_CODED if len(text) >= LEAST_CODED - FRAME else FRAME + len(text)
+
+
 class Restorer:
     """Decides lines by description length under the languages' dictionaries."""
 
@@ -219,24 +239,28 @@ class Restorer:
         self.plain = [zstandard.ZstdCompressor(level=3, write_content_size=False)]
         self.known = pairs
         self.memo: dict[tuple[str, ...], Chain] = {}
-        self.words: dict[str, tuple[int, np.ndarray, np.ndarray, dict[int, str]]] = {}
-
-    def length(self, text: str) -> int:
-        raw = text.encode("utf-8", "surrogatepass")
-        return min(len(c.compress(raw)) for c in self.compressors.get(_script(text), self.plain))
+        self.words: dict[str, tuple[int, np.ndarray, dict[int, str]]] = {}
+
+    def lengths(self, texts: list[str]) -> np.ndarray:
+        """The least sizes of texts under the dictionaries of their scripts, a dictionary at a time, so that it stays in the CPU's cache."""
+        out, of = np.zeros(len(texts), np.int64), {}
+        for i, text in enumerate(texts):
+            of.setdefault(_script(text), []).append(i)
+        for script, at in of.items():
+            raw = [texts[i].encode("utf-8", "surrogatepass") for i in at]
+            out[at] = np.min([[len(made.compress(x)) for x in raw] for made in self.compressors.get(script, self.plain)], axis=0)
+        return out
 
     def extra(self, word: str) -> int:
-        """What a word costs above its compressed size: oddities, and pairs of characters that the sample doesn't have."""
+        """What a word costs above its compressed size: oddities, and pairs of characters that are not common."""
         return ODDITY_COST * _oddities(word) + UNSEEN_COST * len(_pairs(word) - self.known)
 
-    def word(self, word: str) -> tuple[int, np.ndarray, np.ndarray, dict[int, str]]:
-        """A word's extra cost; by chain, what it costs more with it and whether it changes; and its readings."""
+    def word(self, word: str) -> tuple[int, np.ndarray, dict[int, str]]:
+        """A word's extra cost; by chain, what it costs more with it, and ``CHANGED`` if it changes; and its readings."""
         if (found := self.words.get(word)) is None:
-            if len(self.words) > MEMO:
-                self.words.clear()
             own = self.extra(word)
             made: dict[str, int] = {}
-            more, texts = np.zeros(len(_LIST), np.int32), {}
+            more, texts = np.zeros(len(_LIST), np.int64), {}
             for chain, text in readings(word):
                 k = _NUMBER[chain]
                 if text is None:  # all words of a line were misread, or none
@@ -247,53 +271,81 @@ class Restorer:
                 texts[k], more[k] = text, made[text]
                 if chain[0][0] == "utf_8":  # and all letters of a word
                     more[k] += ODDITY_COST * sum(c in word and c.isalpha() for c in text if c >= "\x80")
-            changed = np.zeros(len(_LIST), bool)
-            changed[list(texts)] = True
-            found = self.words[word] = (own, more, changed, texts)
+            more[list(texts)] += CHANGED
+            found = self.words[word] = (own, more, texts)
         return found
 
-    def chain(self, words: tuple[str, ...]) -> Chain:
-        """The chain with the least description of these words; none if they are best as they stand."""
-        if (best := self.memo.get(words)) is None:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            best = self._step(words)
-            if best:
-                then = self.chain(tuple(sorted(undo(w, best) for w in words))) if len(best) < MOST_STEPS else ()
-                best = (*best, *then)
-            self.memo[words] = best
-        return best
-
-    def _step(self, words: tuple[str, ...]) -> Chain:
-        own, more, changed, texts = zip(*map(self.word, words))
-        least = self.length(" ".join(words)) + sum(own)
-        cost = sum(more, _COSTS + sum(own))
-        best, done = (), {words}
-        for k in np.flatnonzero(np.logical_or.reduce(changed) & (cost + LEAST_FRAME < least)).tolist():
-            read = tuple([t.get(k, w) for w, t in zip(words, texts)])
-            if cost[k] + LEAST_FRAME < least and read not in done:
-                done.add(read)
-                if (n := self.length(" ".join(read)) + int(cost[k])) < least:
-                    best, least = _LIST[k], n
-        return best
+    def decide(self, lines: Iterable[tuple[str, ...]]) -> None:
+        """Puts into ``memo`` for the words of each line the chain with the least description; none if they are best as they stand."""
+        new = [words for words in dict.fromkeys(lines) if words not in self.memo]
+        for i in range(0, len(new), LINES):
+            part = new[i : i + LINES]
+            found = dict(zip(part, self._steps(part)))
+            after = {words: tuple(sorted(undo(w, chain) for w in words)) for words, chain in found.items() if chain and len(chain) < MOST_STEPS}
+            if after:
+                self.decide(after.values())
+            self.memo.update({words: (*chain, *self.memo[after[words]]) if words in after else chain for words, chain in found.items()})
+
+    def _steps(self, lines: list[tuple[str, ...]]) -> list[Chain]:
+        """For each line the first links of its chain."""
+        known = [[self.word(w) for w in words] for words in lines]
+        now = np.array([sum(own for own, _, _ in line) for line in known])
+        start = np.cumsum([0, *map(len, lines[:-1])])
+        both = np.add.reduceat(np.stack([more for line in known for _, more, _ in line]), start) + (now[:, None] + _COSTS)
+        many = (both + CHANGED // 2) // CHANGED
+        cost = both - many * CHANGED
+        chains: list[Chain] = [()] * len(lines)
+        tried = np.flatnonzero(many.any(axis=1))
+        least = np.zeros(len(lines), np.int64)
+        least[tried] = self.lengths([" ".join(lines[i]) for i in tried.tolist()]) + now[tried]
+        at, chain = np.nonzero((many > 0) & (cost + LEAST_FRAME < least[:, None]))
+        costs = cost[at, chain]
+        candidates: dict[tuple[int, str], tuple[int, int]] = {}
+        for i, k, c, limit in zip(at.tolist(), chain.tolist(), costs.tolist(), least[at].tolist()):
+            read = " ".join([texts.get(k, w) for w, (_, _, texts) in zip(lines[i], known[i])])
+            if c + _least_size(read) < limit and ((old := candidates.get((i, read))) is None or c < old[0]):
+                candidates[i, read] = c, k
+        likely = {i: (c, k, read) for (i, read), (c, k) in sorted(candidates.items(), key=lambda x: -x[1][0])}  # the one of least cost, as it lets others be left out
+        for wave in (likely.items(), ((i, (c, k, read)) for (i, read), (c, k) in candidates.items() if k != likely[i][1])):
+            left = [(i, *x) for i, x in wave if x[0] + _least_size(x[2]) <= least[i]]
+            for (i, c, k, _), n in zip(left, self.lengths([read for *_, read in left]).tolist()):
+                if n + c < least[i] or (n + c == least[i] and chains[i] and k < _NUMBER[chains[i]]):
+                    chains[i], least[i] = _LIST[k], n + c
+        return chains
+
+    @staticmethod
+    def _words(line: str) -> tuple[str, ...]:
+        """The words of a line that are not ASCII, quoted or lost, in order."""
+        bare = _QUOTED.sub(" ", line) if _MARKS.intersection(line) else line
+        words = {w for w in bare.split(" ") if not w.isascii()}
+        if LOST in bare:
+            words = {w for w in words if not w.replace(LOST, "").isascii()} | {LOST}
+        return tuple(sorted(words))
+
+    def restore_all(self, texts: list[str]) -> list[tuple[str, list[str]]]:
+        """The texts with garbled lines restored, and the chains used; ``lost`` for what can't be restored."""
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        if len(self.words) > MEMO:
+            self.words.clear()
+        split = [text.split("\n") for text in texts]
+        found = [[(i, self._words(line)) for i, line in enumerate(lines) if not line.isascii()] for lines in split]
+        bare = lambda words: tuple([w for w in words if w != LOST]) if LOST in words else words
+        self.decide(w for rows in found for _, words in rows if (w := bare(words)))
+        out = []
+        for lines, rows in zip(split, found):
+            used = []
+            for i, words in rows:
+                if (w := bare(words)) and (chain := self.memo[w]):
+                    lines[i] = self._outside(lines[i], chain)
+                    used.append("+".join(f"{w}<{r}" for w, r in chain))
+                if LOST in words:
+                    used.append("lost")
+            out.append(("\n".join(lines), used))
+        return out
 
     def restore(self, text: str) -> tuple[str, list[str]]:
-        """The text with garbled lines restored, and the chains used; ``lost`` for what can't be restored."""
-        lines, used = text.split("\n"), []
-        for i, line in enumerate(lines):
-            if line.isascii():
-                continue
-            bare = _QUOTED.sub(" ", line) if _MARKS.intersection(line) else line
-            words = {w for w in bare.split(" ") if not w.isascii()}
-            if LOST in bare:
-                words = {w for w in words if not w.replace(LOST, "").isascii()}
-            words = tuple(sorted(words))
-            if words and (chain := self.chain(words)):
-                lines[i] = self._outside(line, chain)
-                used.append("+".join(f"{w}<{r}" for w, r in chain))
-            if LOST in bare:
-                used.append("lost")
-        return "\n".join(lines), used
+        return self.restore_all([text])[0]
 
     @staticmethod
     def _outside(line: str, chain: Chain) -> str:
@@ -308,62 +360,137 @@ class Restorer:
         return "".join(out)
 
 
-def learn(texts: list[str]) -> tuple[bytes, set[str]]:
-    """The dictionary of a language's texts, and the pairs of characters that several of them have.
+class Tally:
+    """What the texts of a language hold: in how many each word and each pair of characters stands, and their distinct lines.
 
-    Lines that UTF-8 read with another encoding would explain, and those with replacement characters,
-    are left out; lines of more common words come first. Lines that several texts have count once, so
-    that near-copies of a garbled text don't make it common.
+    Of lines only the words that are not ASCII and not quoted count. Lines that UTF-8 read with another
+    encoding would explain, and those with replacement characters, are left out. Lines that several texts
+    have count once, so that near-copies of a garbled text don't make it common.
     """
-    words_in: Counter[str] = Counter()
-    pairs_in: Counter[str] = Counter()
-    lines: list[tuple[str, ...]] = []
-    odd: dict[str, bool] = {}
-
-    def explained(word: str) -> bool:
-        if word not in odd:
-            odd[word] = any(_oddities(u) <= _oddities(word) for r in ("cp1252", "cp1251", "cp1250", "mac_roman", "cp437") if (u := _utf8_step(word, r)) != word)
-        return odd[word]
 
-    for text in texts:
-        words, pairs = set(), set()
+    def __init__(self) -> None:
+        self.texts = 0
+        self.words: Counter[str] = Counter()
+        self.pairs: Counter[str] = Counter()
+        self.lines: set[str] = set()
+
+    def add(self, text: str, memo: dict[str, frozenset[str] | None]) -> None:
+        """``memo``: the pairs of a word, None if a wrong decoding explains it."""
+        self.texts += 1
+        if text.isascii():
+            return
+        words: set[str] = set()
         for line in text.split("\n"):
-            own = tuple(w for w in _QUOTED.sub(" ", line).split(" ") if not w.isascii())
-            if own and LOST not in line and not any(map(explained, own)):
-                lines.append(own)
-                words.update(own)
-                pairs.update(*map(_pairs, own))
-        words_in.update(words)
-        pairs_in.update(pairs)
-    rated = sorted({(-min(words_in[w] for w in own), " ".join(own)) for own in lines})
+            if line.isascii() or LOST in line:
+                continue
+            bare = _QUOTED.sub(" ", line) if _MARKS.intersection(line) else line
+            own = [w for w in bare.split(" ") if not w.isascii()]
+            for w in own:
+                if w not in memo:
+                    memo[w] = None if _explained(w) else frozenset(_pairs(w))
+                if memo[w] is None:
+                    break
+            else:
+                if own:
+                    self.lines.add(" ".join(own))
+                    words.update(own)
+        self.words.update(words)
+        self.pairs.update(set().union(*[memo[w] for w in words]))
+
+    def __len__(self) -> int:
+        return len(self.words) + len(self.pairs) + len(self.lines)
+
+
+def _explained(word: str) -> bool:
+    return _ROW.search(word) is not None and any(_oddities(u) <= _oddities(word) for r in ("cp1252", "cp1251", "cp1250", "mac_roman", "cp437") if (u := _utf8_step(word, r)) != word)
+
+
+def _least_texts(texts: int) -> float:
+    """In so many of a language's texts a common pair of characters stands."""
+    return max(2, COMMON * texts)
+
+
+def _body(lines: list[str]) -> bytes:
+    """The dictionary of lines, the most common first, as far as it goes: what is most common stands last, where references to it are shortest."""
     body, size = [], 0
-    for _, line in rated:
+    for line in lines:
         raw = line.encode("utf-8", "surrogatepass") + b"\n"
         if size + len(raw) > DICTIONARY_BYTES:
             break
         body.append(raw)
         size += len(raw)
-    common = {p for p, n in pairs_in.items() if n >= max(2, 0.015 * len(texts))}
-    return b"".join(reversed(body)), common  # what is most common stands last, where references to it are shortest
-
-
-def train(df: DataFrame, text: Column, lang: Column, key: Column) -> tuple[dict[str, bytes], set[str]]:
-    """A dictionary for each language from at most about ``SAMPLE_TEXTS`` of its texts, chosen by a hash of ``key``."""
-    rows = df.select(text.alias("text"), F.lower(F.trim(lang)).alias("lang"), F.xxhash64(key).alias("h")).where(F.length("text") <= SAMPLE_CHARS).where(F.col("lang").rlike("^[a-z]{2,3}$") & (F.col("lang") != "und"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # codes of two or three letters
-    rule = F.lit(False)
-    for code, n in counts.items():
-        rule = rule | ((F.col("lang") == code) & (F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE_TEXTS / n))))
-    texts: dict[str, list[str]] = {}
-    for r in rows.where(rule).orderBy("lang", "h").collect():  # the bounded sample
-        texts.setdefault(r.lang, []).append(r.text)
-    dictionaries, pairs = {}, set()
-    for code, found in texts.items():
-        body, common = learn(found)
-        pairs |= common
-        if len(body) >= 64:
-            dictionaries[code] = body
-    return dictionaries, pairs
+    return b"".join(reversed(body))
+
+
+def learn(texts: list[str]) -> tuple[bytes, set[str]]:
+    """The dictionary of a language's texts, lines of more common words first, and the pairs of characters that several of them have."""
+    found, memo = Tally(), {}
+    for text in texts:
+        found.add(text, memo)
+    rated = sorted((-min(found.words[w] for w in line.split(" ")), line) for line in found.lines)
+    return _body([line for _, line in rated]), {p for p, n in found.pairs.items() if n >= _least_texts(found.texts)}
+
+
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, kind, value, n) of texts (text, lang): partial counts of texts, words and pairs, and lines."""
+    found: dict[str, Tally] = {}
+    memo: dict[str, frozenset[str] | None] = {}
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for lang, t in found.items():
+            for kind, n in (("text", {"": t.texts}), ("word", t.words), ("pair", t.pairs), ("line", dict.fromkeys(t.lines, 1))):
+                yield pa.RecordBatch.from_arrays([pa.array([x] * len(n), pa.string()) for x in (lang, kind)] + [pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["lang", "kind", "value", "n"])
+
+    for batch in batches:
+        for text, lang in zip(*(c.to_pylist() for c in batch.columns)):
+            if lang not in found:
+                found[lang] = Tally()
+            found[lang].add(text, memo)
+        if len(memo) > MEMO:
+            memo.clear()
+        if sum(map(len, found.values())) > MEMO:
+            yield from rows()
+            found.clear()
+    yield from rows()
+
+
+def _first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (lang, n, line) in the order of languages the first lines of each that fill a dictionary."""
+    last, size = None, 0
+    for batch in batches:
+        lang = np.array(batch.column(0).to_pylist(), object)
+        sizes = pc.binary_length(batch.column(2).cast(pa.binary())).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        keep = np.zeros(len(lang), bool)
+        begin = [0, *(np.flatnonzero(lang[1:] != lang[:-1]) + 1), len(lang)]
+        for i, j in zip(begin, begin[1:]):
+            if i < j:
+                sums = np.cumsum(sizes[i:j]) + (size if lang[i] == last else 0)
+                keep[i:j] = sums <= DICTIONARY_BYTES
+                last, size = lang[i], int(sums[-1])
+        yield batch.filter(pa.array(keep))
+
+
+def train(df: DataFrame, text: Column, lang: Column) -> tuple[dict[str, bytes], set[str]]:
+    """``learn`` of all texts of each language, as groupings and joins: dictionaries, and the common pairs.
+
+    Only what the dictionaries hold and the common pairs go through the driver: of each language
+    ``DICTIONARY_BYTES``, and no more pairs than stand in so large a part of its texts.
+    """
+    texts = df.select(text.cast("string").alias("text"), F.lower(F.trim(lang)).alias("lang")).where(F.col("text").isNotNull() & F.col("lang").rlike("^[a-z]{2,3}$") & (F.col("lang") != "und"))  # codes of two or three letters
+    seen = stored(texts.mapInArrow(_tallied, "lang string, kind string, value string, n long").groupBy("lang", "kind", "value").agg(F.sum("n").alias("n")), "kind")
+    kind = lambda k: seen.where(F.col("kind") == k)
+    many = kind("text").select("lang", F.greatest(F.lit(2.0), COMMON * F.col("n")).alias("least"))
+    pairs = {r.value for r in kind("pair").join(F.broadcast(many), "lang").where("n >= least").select("value").distinct().collect()}
+    lines = kind("line").select("lang", F.xxhash64("value").alias("a"), F.xxhash64(F.lit(1), "value").alias("b"), F.col("value").alias("line"))
+    words = lines.select("lang", "a", "b", F.explode(F.array_distinct(F.split("line", " "))).alias("value"))
+    rates = words.join(kind("word").select("lang", "value", "n"), ["lang", "value"]).groupBy("lang", "a", "b").agg(F.min("n").alias("n"))
+    rated = lines.join(rates, ["lang", "a", "b"]).select("lang", "n", "line")
+    first = lambda rows: rows.sortWithinPartitions("lang", F.desc("n"), "line").mapInArrow(_first_lines, rows.schema)
+    found: dict[str, list[tuple[int, str]]] = {}
+    for r in first(first(rated).repartition("lang")).collect():
+        found.setdefault(r.lang, []).append((-r.n, r.line))
+    bodies = {code: _body([line for _, line in sorted(rows)]) for code, rows in found.items()}
+    return {code: body for code, body in bodies.items() if len(body) >= 64}, pairs
 
 
 _RESTORERS: list[tuple[tuple, Restorer]] = []
@@ -372,12 +499,12 @@ _RESTORERS: list[tuple[tuple, Restorer]] = []
 def restore_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source: DataFrame | None = None) -> DataFrame:
     """(``id_col``, chains, lost, restored): the records with garbled lines.
 
-    One narrow pass; only the sample for the dictionaries, whose size is bounded, goes through the
-    driver. Words in quotation marks or backticks are taken for quoted and left out. Null, empty and
+    One pass counts what the dictionaries are made of and one narrow pass restores; only the dictionaries
+    and the common pairs of characters, whose sizes are bounded, go through the driver. Words in quotation marks or backticks are taken for quoted and left out. Null, empty and
     ASCII texts are never garbled; ``lost`` says that replacement characters remain.
     """
     spark = df.sparkSession
-    learnt = spark.sparkContext.broadcast(train(df, F.col(text_col), F.col(lang_col), F.col(id_col)))
+    learnt = spark.sparkContext.broadcast(train(df, F.col(text_col), F.col(lang_col)))
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,14 +513,13 @@ def restore_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         restorer = _RESTORERS[0][1]
         for batch in batches:
             at, chains, lost, texts = [], [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                if t and not t.isascii():
-                    text, used = restorer.restore(t)
-                    if used:
-                        at.append(i)
-                        chains.append(sorted(set(used) - {"lost"}))
-                        lost.append("lost" in used)
-                        texts.append(text)
+            given = [(i, t) for i, t in enumerate(batch.column(1).to_pylist()) if t and not t.isascii()]
+            for (i, _), (text, used) in zip(given, restorer.restore_all([t for _, t in given])):
+                if used:
+                    at.append(i)
+                    chains.append(sorted(set(used) - {"lost"}))
+                    lost.append("lost" in used)
+                    texts.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(chains, pa.list_(pa.string())), pa.array(lost, pa.bool_()), pa.array(texts, pa.string())], [id_col, "chains", "lost", "restored"])
 
     return (source or df).select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, chains array<string>, lost boolean, restored string")

@@ -120,7 +120,7 @@ def p8_found(spark: SparkSession, base: str) -> DataFrame:
 def p8_restored(spark: SparkSession, base: str) -> DataFrame:
     """Garbled documents with the wrong decodings that were undone and the restored text."""
     documents = table(spark, base, "documents")
-    return restore_texts(documents, source=spread(documents.select("doc_id", "text")))
+    return restore_texts(spread(documents.select("doc_id", "text", "lang")), source=spread(documents.select("doc_id", "text")))
 
 
 QUERIES = {"p1_found": p1_found, "p1_shared": p1_shared, "p2_found": p2_found, "p2_verdicts": p2_verdicts, "p2_rates": p2_rates, "p3_found": p3_found, "p3_reasons": p3_reasons, "p3_handwritten": p3_handwritten, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_restored": p8_restored}

@@ -104,3 +104,34 @@ def test_mixed_chains(restorer):
 @pytest.mark.parametrize("text", ["ПОЧЕМУ ИНДЕКС ПОЗДНО ОБНОВЛЯЕТСЯ?", "почему модуль всё ещё зависит от графа", "①thread 🏳️‍🌈layer 𝔘𝔫𝔦index ½plan ক্ষrelay échain"])
 def test_upper_case_and_rare_letters_stay(restorer, text):
     assert restorer.restore(text) == (text, [])
+
+
+def test_dictionaries_hold_the_whole_corpus(spark, monkeypatch):
+    """As ``learn`` of all texts of a language: more than a few hundred of them, and a long one."""
+    from lodeweave.llm import garbled_text
+
+    r = random.Random(2)
+    words = {lang: [w for w in text.split() if not w.isascii()] for lang, text in PROSE.items()}
+    texts = {lang: ["\n".join(" ".join(r.choices(words[lang], k=r.randint(1, 3))) + f" plain ä{r.randint(0, 300)}" for _ in range(3)) for _ in range(900)] + ["plain", ""] for lang in ("de", "pl")}
+    texts["de"] += ["Änderung GrÃ¶ÃŸe\nl�st", "„zitierte Wörter“ außen"]
+    texts["fr"] = ["long " * 30_000 + PROSE["fr"]]
+    learnt = []
+    train = garbled_text.train
+    monkeypatch.setattr(garbled_text, "train", lambda *a: learnt.append(train(*a)) or learnt[-1])
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, ts in texts.items() for t in ts)]
+    restore_texts(spark.createDataFrame([*rows, (-1, None, "de"), (-2, "Größe", None), (-3, "größer", "und")], "doc_id long, text string, lang string"))
+    want = {lang: learn(ts) for lang, ts in texts.items()}
+    assert learnt == [({lang: body for lang, (body, _) in want.items()}, want["de"][1] | want["pl"][1])]
+    assert "côté".encode() in learnt[0][0]["fr"]
+
+
+def test_first_lines_of_each_language_fill_a_dictionary():
+    import pyarrow as pa
+
+    from lodeweave.llm.garbled_text import DICTIONARY_BYTES, _first_lines
+
+    line = "é" * (DICTIONARY_BYTES // 8)  # a third doesn't fit with its end of line
+    batch = lambda *rows: pa.RecordBatch.from_pylist([{"lang": k, "n": 1, "line": x} for k, x in rows], pa.schema([("lang", pa.string()), ("n", pa.int64()), ("line", pa.string())]))
+    batches = [batch(("de", line), ("de", line)), batch(("de", line), ("de", line), ("de", "ä"), ("fr", line)), batch(), batch(("fr", "ô"), ("pl", line * 5), ("pl", "ż"))]
+    got = [(r["lang"], len(r["line"])) for b in _first_lines(iter(batches)) for r in b.to_pylist()]
+    assert got == [("de", len(line))] * 3 + [("fr", len(line)), ("fr", 1)]
