@@ -102,7 +102,11 @@ def communities(adjacent: DataFrame) -> DataFrame:
     A graph of at most ``TASK_ROWS`` rows, for which a sweep as joins is nearly all overhead, settles in
     one task; a larger one by joins and groupings. Both end by the same rule.
     """
-    degree, _, labels = settle(adjacent)
+    return named(*settle(adjacent)[::2])
+
+
+def named(degree: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, community) of what ``settle`` gives, each community named by a member's id."""
     names = degree.select(F.col("node").alias("community"), F.col("id").alias("name"))
     return labels.join(degree.select("node", "id"), "node").join(names, "community").select("id", F.col("name").alias("community"))
 
@@ -110,10 +114,21 @@ def communities(adjacent: DataFrame) -> DataFrame:
 def settle(adjacent: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``communities`` in numbers: (id, node, degree), the adjacency (i, j, w) of nodes, and (node, community)."""
     known = stored(adjacent.select("i", F.xxhash64("i").alias("node"), F.xxhash64("j").alias("other"), "w"))
-    degree = stored(known.groupBy(F.col("i").alias("id"), "node").agg(F.sum("w").alias("degree")))
+    return _settle(known.select(F.col("i").alias("id"), "node").distinct(), known.select("node", "other", "w"))
+
+
+def settle_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``settle`` of the adjacency of edges (src, dst), which are numbered before they are grouped, so that no ids are shuffled with them."""
+    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", F.xxhash64("id").alias("node"))
+    numbers = edges.select(F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst"))
+    return _settle(ids, stored(adjacency(numbers).select(F.col("i").alias("node"), F.col("j").alias("other"), "w")))
+
+
+def _settle(ids: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``settle`` of ids (id, node) and edges (node, other, w) in both directions."""
+    degree = stored(ids.join(edges.groupBy("node").agg(F.sum("w").alias("degree")), "node").select("id", "node", "degree"))
     if not degree.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         raise ValueError("two ids have one hash")
-    edges = known.select("node", "other", "w")
     labels = _in_task(edges) if edges.count() <= TASK_ROWS else _by_joins(edges, degree.select("node", "degree"))
     return degree, edges.select(F.col("node").alias("i"), F.col("other").alias("j"), "w"), labels
 

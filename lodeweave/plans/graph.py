@@ -61,18 +61,28 @@ def structure(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _nearest(uses: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(src, dst): each use (src, file_path, dir, repo, name) with the nearest candidate (id, rank, name, ...) of its name; a row for each use."""
-    names = candidates.select("name").distinct()
-    out = uses.join(names, "name", "left_semi")  # most names that are used are defined nowhere
-    for level, keys in enumerate((["file_path", "name"], ["dir", "name"], ["repo", "name"], ["name"])):
-        best = candidates.groupBy(*keys).agg(F.min(F.concat_ws("|", F.col("rank").cast("string"), "id")).alias(f"c{level}"))
-        out = out.join(best, keys, "left")
-    found = F.coalesce("c0", "c1", "c2", "c3")
-    return out.select("src", F.substr(found, F.lit(3)).alias("dst")).where("dst is not null and dst != src")
+    """(src, dst): each use (label, file_path, tail, repo, name) with the nearest candidate (id, rank, name, ...) of its name; a row for each use.
+
+    Most names have one candidate, which is the nearest to all; only the uses of others look for nearer ones.
+    """
+    ranked = F.min(F.concat_ws("|", F.col("rank").cast("string"), "id"))
+    known = uses.join(candidates.groupBy("name").agg(ranked.alias("c3"), (F.count("*") > 1).alias("several")), "name")  # most names that are used are defined nowhere
+    more = known.where("several").withColumn("dir", dirname(F.col("file_path")))
+    for level, keys in enumerate((["file_path", "name"], ["dir", "name"], ["repo", "name"])):
+        more = more.join(candidates.groupBy(*keys).agg(ranked.alias("found")), keys, "left")
+        more = more.withColumn("c3" if level == 2 else "best", F.coalesce(*["best"] * (level > 0), "found", *["c3"] * (level == 2))).drop("found")
+    src = F.concat_ws(":", "label", "file_path", "tail")
+    out = known.where("not several").select("label", "file_path", "tail", "c3").union(more.select("label", "file_path", "tail", "c3"))
+    return out.select(src.alias("src"), F.substr("c3", F.lit(3)).alias("dst")).where("dst is not null and dst != src")
+
+
+def _tail() -> Column:
+    """What stands in an id after its label and path."""
+    return F.substr("id", F.length("label") + F.length("file_path") + F.lit(3)).alias("tail")
 
 
 def _uses(nodes: DataFrame, names: Column) -> DataFrame:
-    return nodes.select(F.col("id").alias("src"), "file_path", dirname(F.col("file_path")).alias("dir"), "repo", F.explode(F.array_distinct(names)).alias("name"))
+    return nodes.select("label", "file_path", _tail(), "repo", F.explode(F.array_distinct(names)).alias("name"))
 
 
 def _candidates(nodes: DataFrame, order: tuple[str, ...]) -> DataFrame:
@@ -109,8 +119,8 @@ def heritage(nodes: DataFrame) -> DataFrame:
 
 def heritage_edges(nodes: DataFrame) -> DataFrame:
     """(src, dst, type) of classes and their bases that are known."""
-    uses = heritage(nodes).join(nodes.select("id", "file_path", "repo"), "id").select(F.col("id").alias("src"), "file_path", dirname(F.col("file_path")).alias("dir"), "repo", F.col("base").alias("name"), "type")
-    typed = _nearest(uses.drop("type"), _candidates(nodes, ("class", "interface"))).distinct()
+    uses = heritage(nodes).join(nodes.select("id", "label", "file_path", "repo"), "id").select(F.col("id").alias("src"), "label", "file_path", _tail(), "repo", F.col("base").alias("name"), "type")
+    typed = _nearest(uses.drop("src", "type"), _candidates(nodes, ("class", "interface"))).distinct()
     names = nodes.select(F.col("id").alias("dst"), F.col("name").alias("base"))
     kinds = uses.groupBy("src", F.col("name").alias("base")).agg(F.min("type").alias("type"))
     return typed.join(names, "dst").join(kinds, ["src", "base"]).select("src", "dst", "type")

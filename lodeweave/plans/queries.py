@@ -785,7 +785,8 @@ def modularity(spark, base):
 @query("communities")
 def communities(spark, base):
     """Communities of the call graph."""
-    return community.communities(adjacency(spark, base))
+    degree, _, labels = community.settle_edges(CodeGraph(spark, base).calls)
+    return community.named(degree, labels)
 
 
 @query("community_labels")
@@ -803,7 +804,7 @@ def community_numbers(spark, base):
 @query("community_quality", f"WITH {_NODES}, {_CALLS} SELECT count(DISTINCT id) AS nodes, true AS good FROM (SELECT src AS id FROM calls UNION SELECT dst FROM calls)")
 def community_quality(spark, base):
     """How many nodes have a community, and whether the partition's modularity is at least 0.6 (of 100 nodes or more)."""
-    _, adjacent, labels = community.settle(adjacency(spark, base))
+    _, adjacent, labels = community.settle_edges(CodeGraph(spark, base).calls)
     worth = community.modularity(adjacent, labels.withColumnRenamed("node", "id"))
     return labels.agg(F.countDistinct("node").alias("nodes")).withColumn("good", (F.col("nodes") < 100) | worth.select(F.col("modularity") >= 0.6).scalar())
 

@@ -315,3 +315,43 @@ def test_settled_numbers_are_the_named_communities(spark, monkeypatch, rows):
     named = community.communities(adjacent)
     assert {r.id: r.degree for r in degree.collect()} == {r.id: r.degree for r in community.degrees(adjacent).collect()}
     assert community.modularity(numbers, labels.withColumnRenamed("node", "id")).first() == community.modularity(adjacent, named).first()
+
+
+@pytest.mark.parametrize("rows", [0, 1000])
+def test_settled_edges_are_the_settled_adjacency(spark, monkeypatch, rows):
+    monkeypatch.setattr(community, "TASK_ROWS", rows)
+    calls = edges(spark, ("a", "b"), ("b", "a"), ("b", "c"), ("c", "a"), ("x", "y"), ("y", "z"), ("z", "x"), ("a", "x"), ("z", "z"), ("a", "b"))
+    one, two = community.settle_edges(calls), community.settle(community.adjacency(calls))
+    for a, b in zip(one, two):
+        assert sorted(a.collect()) == sorted(b.select(a.columns).collect())
+    assert sorted(community.named(*one[::2]).collect()) == sorted(community.communities(community.adjacency(calls)).collect())
+    assert community.settle_edges(calls.limit(0))[0].isEmpty()
+
+
+def test_nearest_candidate_of_names_with_one_and_several(spark):
+    """Each level, ranks within it, ids that hold a path twice, and names that only one node or none has."""
+    from lodeweave.plans import graph
+
+    symbols = [
+        ("function", "r/a/f.py", "once", "r", "", ""), ("function", "s/b/g.py", "twice", "s", "", "once(twice("), ("function", "r/a/f.py", "twice", "r", "", "once( nowhere("),
+        ("function", "r/a/h.py", "u", "r", "", "twice(once(near(u("), ("method", "r/a/f.py", "v", "r", "r/a/f.py:C", "twice(near(once("), ("function", "r/c/k.py", "w", "r", "", "twice(near("),
+        ("function", "q/d.py", "x", "q", "", "twice(near(once("), ("class", "q/e/z.py", "near", "q", "", ""), ("interface", "r/a/i.py", "near", "r", "", ""), ("function", "r/a/j.py", "near", "r", "", ""), ("function", "r/d/y.py", "near", None, "", "twice("),
+    ]
+    rows = [(k, *s) for k, s in enumerate(symbols)]
+    nodes = graph.symbol_nodes(spark.createDataFrame([(*r, 1, 2, None, None, None) for r in rows], "symbol_id long, kind string, file_path string, name string, repo string, class_name string, content string, start_line int, end_line int, is_exported boolean, signature string, decorators array<string>"))
+    order = {"function": 1, "method": 2, "class": 3, "interface": 4}
+    ident = lambda s: f"{s[0]}:{s[1]}:{s[4] + '.' if s[4] else ''}{s[2]}"
+    folder = lambda p: p.rpartition("/")[0]
+    want = set()
+    for s in symbols:
+        if s[0] in ("function", "method"):
+            for name in set(s[5].replace("(", " ").split()) - {s[2]}:
+                found = [c for c in symbols if c[2] == name]
+                levels = [[c for c in found if c[1] == s[1]], [c for c in found if folder(c[1]) == folder(s[1])], [c for c in found if c[3] == s[3] and s[3]], found]
+                for level in levels:
+                    if level:
+                        want.add((ident(s), min((order[c[0]], ident(c)) for c in level)[1]))
+                        break
+    got = [(r.src, r.dst) for r in graph.call_edges(nodes).collect()]
+    assert sorted(got) == sorted(want)
+    assert len(want) > 12
