@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +136,56 @@ def test_first_lines_of_each_language_fill_a_dictionary():
     batches = [batch(("de", line), ("de", line)), batch(("de", line), ("de", line), ("de", "ä"), ("fr", line)), batch(), batch(("fr", "ô"), ("pl", line * 5), ("pl", "ż"))]
     got = [(r["lang"], len(r["line"])) for b in _first_lines(iter(batches)) for r in b.to_pylist()]
     assert got == [("de", len(line))] * 3 + [("fr", len(line)), ("fr", 1)]
+
+
+def test_costs_of_a_core_are_those_of_its_words(restorer):
+    """Against whole words by definition: every chain's reading, its oddities and its uncommon pairs; words of one core are priced once."""
+    from lodeweave.llm import garbled_text as g
+
+    by_definition = lambda w: g.ODDITY_COST * g._oddities(w) + g.UNSEEN_COST * len(g._pairs(w) - restorer.known)
+    r = random.Random(3)
+    letters = "abcXYZ'.:^07\x7f\\~äöüßçÃ©¼Σςσİıµºª²½ñŁłą—’“\xa0\xad\x85́жЯРќ日本語한글・ⅠΩ🙂ﬁ　´¨"
+    words = ["".join(r.choice(letters) for _ in range(r.randint(1, 9))) for _ in range(3_000)]
+    words += [garbled for text in PROSE.values() for written, read in (("utf-8", "cp1252"), ("utf-8", "mac_roman"), ("cp1252", "cp437"), ("mac_roman", "cp1252")) for garbled in text.encode(written, "ignore").decode(read, "ignore").split()]
+    words = [w for w in words if not w.isascii()]
+    for word in words:
+        before, number, after = restorer.word(word)
+        made = dict(g.readings(word))
+        assert restorer.extra(word) == by_definition(word)
+        assert {k: before + text + after for k, text in restorer.readings[number].items()} == {k: text for k, text in made.items() if text is not None}
+        for k, chain in enumerate(g.CHAINS):
+            more = 0
+            if k in made:
+                more = g.ODDITY_COST if made[k] is None else g.CHANGED + by_definition(made[k]) - by_definition(word)
+                if made[k] is not None and chain[0][0] == "utf_8":
+                    more += g.ODDITY_COST * sum(c in word and c.isalpha() for c in made[k] if c >= "\x80")
+            assert restorer.more[number, k] == more
+    fresh = Restorer({"de": learn([PROSE["de"]] * 4)[0]}, restorer.known)
+    fresh.restore("\n".join(f"{before}größer{after}" for before in ("", "ver", "nach") for after in ("", "n", "nd", "t")))
+    assert (len(fresh.words), len(fresh.cores)) == (12, 1)
+
+
+def test_one_dictionary_for_a_line_that_no_reading_can_beat(restorer):
+    """Under the dictionary of its words; the least size is looked for only if a reading is shorter than that."""
+
+    class Counting:
+        calls = 0
+
+        def __init__(self, made):
+            self.made = made
+
+        def compress(self, raw):
+            Counting.calls += 1
+            return self.made.compress(raw)
+
+    counting = Restorer({}, restorer.known)
+    counting.compressors = {script: [Counting(c) for c in made] for script, made in restorer.compressors.items()}
+    counting.homes, counting.votes = restorer.homes, restorer.votes.copy()
+    short = ["It’s", "schön", "Garde-à-vous"]
+    assert [counting.restore(line) for line in short] == [(line, []) for line in short]
+    assert Counting.calls == len(short)
+    lines = [*short, PROSE["fr"], PROSE["pl"], *PROSE["de"].split(". ")]
+    each = [restorer.lengths(lines, [k] * len(lines)) for k in range(len(restorer.compressors["latin"]))]
+    assert (np.min(each, axis=0) == restorer.lengths(lines)).all()
+    garbled = [line.encode().decode("cp1252") for line in PROSE["de"].split(". ")]
+    assert [counting.restore(line)[0] for line in garbled] == PROSE["de"].split(". ")
