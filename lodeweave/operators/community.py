@@ -259,16 +259,16 @@ def _wishes(active: np.ndarray, own: np.ndarray, size: np.ndarray, degree: np.nd
 
 
 def describe(labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(community, member_count, label): named after the first three names in order, and how many more.
+    """(community, member_count, members, label): of labels (id, community) and nodes (id, name).
 
-    Only the least names are needed, so they are aggregated in three steps of ``min`` with nothing
-    collected.
+    Communities are named by a member's id, as in ``communities``; a node without a label is one of its own.
+    Each is labelled with the first three of all its members' names in order, equal ones repeated, and how
+    many more there are; where no member has a name, with the number of members. A community's ids and
+    names are gathered in its row.
     """
-    named = stored(labels.join(nodes.select("id", "name"), "id").groupBy("community", "name").agg(F.count("*").alias("n")))
-    sizes = named.groupBy("community").agg(F.sum("n").alias("member_count"), F.min("name").alias("a"))
-    second = named.join(sizes.select("community", "a"), "community").where("name > a").groupBy("community").agg(F.min("name").alias("b"))
-    third = named.join(second, "community").where("name > b").groupBy("community").agg(F.min("name").alias("c"))
-    wide = sizes.join(second, "community", "left").join(third, "community", "left")
-    shown = F.concat_ws(", ", "a", "b", "c")
-    more = F.when(F.col("member_count") > 3, F.concat(F.lit(", +"), (F.col("member_count") - 3).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
-    return wide.select("community", "member_count", F.concat(F.lit("Community ("), shown, more, F.lit(")")).alias("label"))
+    each = labels.select("id", "community").join(nodes.select("id", "name"), "id", "full").select(F.coalesce("community", "id").alias("community"), "id", "name")
+    groups = each.groupBy("community").agg(F.count("*").alias("member_count"), F.sort_array(F.collect_list("id")).alias("members"), F.sort_array(F.collect_list("name")).alias("names"))
+    known = F.size("names")
+    more = F.when(known > 3, F.concat(F.lit(", +"), (known - 3).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
+    inside = F.when(known == 0, F.concat(F.col("member_count").cast("string"), F.lit(" members"))).otherwise(F.concat(F.array_join(F.slice("names", 1, 3), ", "), more))
+    return groups.select("community", "member_count", "members", F.concat(F.lit("Community ("), inside, F.lit(")")).alias("label"))

@@ -239,10 +239,10 @@ class CodeGraph:
         return self._keep("calls", lambda: call_edges(self.kept["symbols"] if "symbols" in self.kept else self._keep("callers", lambda: symbol_nodes(only_calls(table(self.spark, self.base, "symbols"))))))
 
     def names(self) -> DataFrame:
-        """(id, name) of the symbols."""
-        if "symbols" in self.kept:
-            return self.symbols.select("id", "name")
-        return symbol_nodes(without_texts(table(self.spark, self.base, "symbols"))).select("id", "name")
+        """(id, label, name) of the symbols, of what is kept already if there is any."""
+        kept = self.kept.get("symbols", self.kept.get("callers"))
+        nodes = symbol_nodes(without_texts(table(self.spark, self.base, "symbols"))) if kept is None else kept
+        return nodes.select("id", "label", "name")
 
     def nodes(self) -> DataFrame:
         """(id, label, name, file_path) of files, folders and symbols."""

@@ -791,8 +791,9 @@ def communities(spark, base):
 
 @query("community_labels")
 def community_labels(spark, base):
-    """The size and name of every community."""
-    return community.describe(stored(communities(spark, base)), CodeGraph(spark, base).names())
+    """The size, members and name of every community; symbols that neither call nor are called are one each."""
+    labels = communities(spark, base)  # first, so that names come from the nodes of its calls
+    return community.describe(labels, CodeGraph(spark, base).names().where(F.col("label").isin("function", "method", "class", "interface")))
 
 
 @query("community_numbers")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.operators import community, coupling, deadcode, graph as ops, traversal
 from lodeweave.plans.graph import CodeGraph, call_edges, call_sites, heritage, heritage_edges, import_edges, parsed_graph, resolve, structure, symbol_nodes, type_edges
+from lodeweave.plans.queries import QUERIES
 
 SYMBOL = "symbol_id long, file_id long, repo string, file_path string, name string, kind string, start_line int, end_line int, content string, signature string, class_name string, is_exported boolean, decorators array<string>"
 
@@ -355,3 +356,30 @@ def test_nearest_candidate_of_names_with_one_and_several(spark):
     got = [(r.src, r.dst) for r in graph.call_edges(nodes).collect()]
     assert sorted(got) == sorted(want)
     assert len(want) > 12
+
+
+def test_labels_leave_no_member_out(spark):
+    """Equal names, members that no node is known of, and nodes in no community."""
+    names = {"a1": "run", "a2": "run", "a3": "stop", "a4": "walk", "b1": "go", "b2": "go", "c2": "x", "e1": "alone"}
+    of = {"a1": "a1", "a2": "a1", "a3": "a1", "a4": "a1", "b1": "b2", "b2": "b2", "c1": "c2", "c2": "c2", "c3": "c2", "d1": "d1", "d2": "d1"}
+    nodes = spark.createDataFrame(list(names.items()), "id string, name string")
+    got = {r.community: (r.member_count, r.members, r.label) for r in community.describe(spark.createDataFrame(list(of.items()), "id string, community string"), nodes).collect()}
+    assert got == {
+        "a1": (4, ["a1", "a2", "a3", "a4"], "Community (run, run, stop, +1 more)"), "b2": (2, ["b1", "b2"], "Community (go, go)"), "c2": (3, ["c1", "c2", "c3"], "Community (x)"),
+        "d1": (2, ["d1", "d2"], "Community (2 members)"), "e1": (1, ["e1"], "Community (alone)"),
+    }
+
+
+def test_labels_of_all_symbols(spark):
+    """Of the smallest tables each function, method, class and interface has its place, whether it calls or not."""
+    base = "/root/testdata/sf0.001"
+    names = {r.id: r.name for r in CodeGraph(spark, base).symbols.where("label in ('function', 'method', 'class', 'interface')").collect()}
+    calling = {r.id: r.community for r in QUERIES["communities"](spark, base).collect()}
+    assert calling.keys() < names.keys()
+    want = {}
+    for i in sorted(names):
+        want.setdefault(calling.get(i, i), []).append(i)
+    for c, ids in want.items():
+        known = sorted(names[i] for i in ids)
+        want[c] = (len(ids), ids, "Community (" + ", ".join(known[:3]) + (f", +{len(known) - 3} more)" if len(known) > 3 else ")"))
+    assert {r.community: (r.member_count, r.members, r.label) for r in QUERIES["community_labels"](spark, base).collect()} == want
